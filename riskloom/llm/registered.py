@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, decontam, license, media, pii, tokencount
+from riskloom.llm import bpe, chat, decontam, license, linededup, media, pii, tokencount
 
 
 def vocabulary(name: str) -> str:
@@ -52,8 +52,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_decontamination, op3_chat_formatting, op5_license_scan, op6_token_counts, op7_bpe_codec, op8_media_columns, op9_pii]
+    own = [op2_decontamination, op3_chat_formatting, op5_license_scan, op6_token_counts, op7_bpe_codec, op8_media_columns, op9_pii, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 
