@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, decontam, license, linededup, media, pii, tokencount
+from riskloom.llm import bagminhash, bpe, chat, decontam, license, linededup, media, pii, tokencount
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(turns.unionByName(own))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.license_scan(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_decontamination, op3_chat_formatting, op5_license_scan, op6_token_counts, op7_bpe_codec, op8_media_columns, op9_pii, op10_line_dedup]
+    own = [op2_decontamination, op3_chat_formatting, op4_near_dedup, op5_license_scan, op6_token_counts, op7_bpe_codec, op8_media_columns, op9_pii, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 
