@@ -71,6 +71,17 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def passed(rows: DataFrame, text: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows whose text passes a test, with their columns as they are; make() is called once a task and returns the test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            yield batch.filter(pa.array([test(t) for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of consecutive texts of about `most` characters together; a null is an empty text."""
     part, size = [], 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bagminhash, bpe, chat, decontam, license, linededup, media, pii, tokencount
+from riskloom.llm import bagminhash, bpe, chat, decontam, license, linededup, media, pii, tokencount, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,9 +64,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_decontamination, op3_chat_formatting, op4_near_dedup, op5_license_scan, op6_token_counts, op7_bpe_codec, op8_media_columns, op9_pii, op10_line_dedup]
-    return {f.__name__: f for f in own}
+    own = [op1_toxicity, op2_decontamination, op3_chat_formatting, op4_near_dedup, op5_license_scan, op6_token_counts, op7_bpe_codec, op8_media_columns, op9_pii, op10_line_dedup]
+    return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
