@@ -206,7 +206,3 @@ def best_sentence(text: Column, question: Column) -> Column:
     s = F.filter(F.split(F.trim(text), SENTENCE_SPLIT), lambda x: F.trim(x) != "")
     scored = F.transform(s, lambda x, i: F.struct((F.size(F.array_intersect(q, F.array_distinct(tokenize(x)))) / F.nullif(F.size(q), F.lit(0))).alias("score"), (-i).alias("ord"), x.alias("sentence")))
     return F.array_max(scored)["sentence"]
-
-
-def llm_tier(complexity: Column) -> Column:
-    return F.when(complexity >= 0.66, "large").when(complexity >= 0.33, "medium").otherwise("small")
