@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from riskloom.operators.ordering import ranked, running
+
 
 def bin_of(p: Column, bins: int = 10) -> Column:
     """The equal-width bin of a probability, the last one closed on the right."""
@@ -31,6 +33,9 @@ def curve(df: DataFrame, score: str = "score", label: str = "label", group: list
     """
     keys = group or []
     per = df.groupBy(*keys, score).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.sum((F.col(label) == 0).cast("bigint")).alias("neg"))
+    if not keys:
+        whole = df.agg(F.coalesce(F.sum((F.col(label) == 1).cast("bigint")), F.lit(0)).alias("n_pos"), F.coalesce(F.sum((F.col(label) == 0).cast("bigint")), F.lit(0)).alias("n_neg"))
+        return running(per, [F.desc(score)], {"tp": "pos", "fp": "neg"}).join(F.broadcast(whole)).select(score, "pos", "neg", "tp", "fp", "n_pos", "n_neg")
     own, order = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(F.desc(score))
     return per.select(*keys, score, "pos", "neg", F.sum("pos").over(order).alias("tp"), F.sum("neg").over(order).alias("fp"), F.sum("pos").over(own).alias("n_pos"), F.sum("neg").over(own).alias("n_neg"))
 
@@ -79,9 +84,8 @@ def wilcoxon(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """One row n, w, z: signed ranks of the differences that are not 0 (average ranks on ties), normal approximation."""
     d = pairs.select((F.col(x) - F.col(y)).alias("d")).where("d <> 0")
     per = d.groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))
-    before = F.sum("k").over(W.orderBy("m")) - F.col("k")
-    ranked = per.withColumn("rank", before + (F.col("k") + 1) / 2.0)
-    s = ranked.agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("wp"), F.sum(F.col("rank") * F.col("down")).alias("wm"), F.sum(F.col("k") ** 3 - F.col("k")).alias("ties"))
+    placed = running(per, [F.col("m")], {"upto": "k"}).withColumn("rank", F.col("upto") - F.col("k") + (F.col("k") + 1) / 2.0)
+    s = placed.agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("wp"), F.sum(F.col("rank") * F.col("down")).alias("wm"), F.sum(F.col("k") ** 3 - F.col("k")).alias("ties"))
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     return s.select("n", F.least("wp", "wm").alias("w"), ((F.least("wp", "wm") - n * (n + 1) / 4) / sd).alias("z"))
@@ -99,9 +103,9 @@ def bootstrap(df: DataFrame, value: Column, replicas: int = 1000, seed: int = 40
 
 def time_split(df: DataFrame, *order: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """df with split: the oldest part trains, the next validates, the rest tests; bounds are truncated row counts."""
-    n = F.count("*").over(W.partitionBy())
-    rn = F.row_number().over(W.orderBy(*order))
-    return df.withColumn("_n", n).withColumn("_rn", rn).withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * train), "train").when(F.col("_rn") <= F.floor(F.col("_n") * (train + validation)), "validation").otherwise("test")).drop("_n", "_rn")
+    total = df.agg(F.count("*").alias("_n"))
+    rows = ranked(df, [F.col(c) for c in order], "_rn").join(F.broadcast(total))
+    return rows.withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * train), "train").when(F.col("_rn") <= F.floor(F.col("_n") * (train + validation)), "validation").otherwise("test")).drop("_n", "_rn")
 
 
 def forward_chain(df: DataFrame, base: str) -> DataFrame:

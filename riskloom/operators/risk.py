@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskloom.functions.scalars import logit, sigmoid
+from riskloom.operators.evaluation import curve
 
 #: Features in order, with their group and default where it is not 0.
 FEATURES = {
@@ -70,11 +71,9 @@ def explain(parts: DataFrame, key: str, least: float = 0.05, top: int = 3) -> Da
 def thresholds(scored: DataFrame, score: str = "score", label: str = "label", max_false_block: float = 0.05, canary_recall: float = 0.9) -> DataFrame:
     """One row canary, block; 0.35 and 0.65 where a class is missing.
 
-    Counts at or above each distinct score come from a range-partitioned sort: per-partition sums and one small total.
+    Counts at or above each distinct score are running sums over a range-partitioned table.
     """
-    per = scored.groupBy(score).agg(F.sum((F.col(label) == 0).cast("bigint")).alias("neg"), F.sum((F.col(label) == 1).cast("bigint")).alias("pos"))
-    order = W.orderBy(F.desc(score))
-    cum = per.select(score, "neg", "pos", F.sum("neg").over(order).alias("fp"), F.sum("pos").over(order).alias("tp"), F.sum("neg").over(W.partitionBy()).alias("n_neg"), F.sum("pos").over(W.partitionBy()).alias("n_pos"))
+    cum = curve(scored, score, label)
     block = F.min(F.when(F.col("fp") <= F.col("n_neg") * max_false_block, F.col(score)))
     # the floor(0.1 n)-th defective score from below, 0-based: the largest score with at least n - that index positives at or above it
     index = F.floor(F.col("n_pos") * (1 - canary_recall))
