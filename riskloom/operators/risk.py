@@ -147,7 +147,7 @@ def fit_boosted(df: DataFrame, features: list[str], label: str = "label", rounds
 
 def best_family(scores: DataFrame, family: str = "family", value: str = "pr_auc") -> DataFrame:
     """The model family with the highest value; the first by name on ties."""
-    return scores.agg(F.max_by(F.col(family), F.struct(F.col(value), F.hash(F.lit(0)))).alias(family), F.max(value).alias(value))
+    return scores.agg(F.min_by(family, F.struct(-F.col(value), F.col(family))).alias(family), F.max(value).alias(value))
 
 
 def model_card(weights: dict[str, float], spark) -> DataFrame:

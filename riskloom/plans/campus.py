@@ -25,13 +25,6 @@ def effective_attempts(spark: SparkSession, d: str) -> DataFrame:
     return C.latest_attempts(history(spark, d), ["student_id", "course"], F.desc("term"), F.desc("l_orderkey"), F.desc("credits"), F.desc("grade")).select("student_id", "course", "term", "grade")
 
 
-@query(f"WITH {_H} SELECT student_id, round(CAST(sum(CAST({_PTS} AS DECIMAL(4,1)) * credits) AS DECIMAL(20,10)) / CAST(sum(CASE WHEN grade <> 'W' THEN credits END) AS DECIMAL(20,0)), 2) AS gpa FROM l WHERE rn = 1 GROUP BY 1 HAVING false")
-def no_gpa(spark: SparkSession, d: str) -> DataFrame:
-    """No rows where nothing is graded."""
-    rows = C.latest_attempts(history(spark, d).where("1 = 0"), ["student_id", "course"], F.desc("term"), F.desc("l_orderkey"), F.desc("credits"), F.desc("grade"))
-    return C.gpa(rows, "student_id").select("student_id", F.col("gpa").cast("double").alias("gpa"))
-
-
 @query(f"WITH {_H}, q AS (SELECT student_id, CAST(sum(CAST(10 * {_PTS} AS BIGINT) * credits) AS BIGINT) AS p, CAST(sum(CASE WHEN grade <> 'W' THEN credits ELSE 0 END) AS BIGINT) AS c FROM l WHERE rn = 1 GROUP BY 1) SELECT student_id, c AS credits, CAST(CASE WHEN c = 0 THEN 0 ELSE floor((p * 100 * 2 + 10 * c) / (20 * c)) / 100.0 END AS DOUBLE) AS gpa FROM q")
 def grade_averages(spark: SparkSession, d: str) -> DataFrame:
     """Credit-weighted averages in exact decimals, half up."""

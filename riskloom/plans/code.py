@@ -10,13 +10,13 @@ from riskloom.plans.registry import query, table
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    """path, text of a small module for each part of size 1 or 2."""
+    """path, text of a small module for each part."""
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("import os\n\ndef f"), k, F.lit("(a, b=1):\n    if a > b and a != 3:\n        return a + b\n    return None\n\nclass C"), k, F.lit(":\n    def m(self):\n        return f"), k, F.lit("(2)\n"))
-    return table(spark, d, "part").where("p_size <= 2").select(F.concat(F.lit("pkg/p"), k, F.lit(".py")).alias("path"), text.alias("text"))
+    return table(spark, d, "part").select(F.concat(F.lit("pkg/p"), k, F.lit(".py")).alias("path"), text.alias("text"))
 
 
-_P = "FROM part WHERE p_size <= 2"
+_P = "FROM part"
 
 
 @query(f"SELECT 'pkg/p' || p_partkey || '.py' AS path, replace(q, '?', CAST(p_partkey AS VARCHAR)) AS qualname, kind, CAST(a AS INTEGER) AS \"start\", CAST(b AS INTEGER) AS \"end\" FROM (SELECT p_partkey {_P}), (VALUES ('f?', 'function', 3, 6), ('C?', 'class', 8, 10), ('C?.m', 'method', 9, 10)) t(q, kind, a, b)")
@@ -48,6 +48,6 @@ def diff_files(spark: SparkSession, d: str) -> DataFrame:
     """Files and lines of unified diffs."""
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("diff --git a/p"), k, F.lit(".py b/p"), k, F.lit(".py\n--- a/x\n+++ b/x\n@@ -1,3 +1,3 @@\n a\n-b\n+c\n d\n"))
-    diffs = table(spark, d, "part").where("p_size <= 2").select(F.concat(F.lit("d"), k).alias("id"), text.alias("text"))
+    diffs = table(spark, d, "part").select(F.concat(F.lit("d"), k).alias("id"), text.alias("text"))
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return C.diffs_of(diffs).select("id", "path", "status", join("added_lines").alias("added"), join("removed_lines").alias("removed"))

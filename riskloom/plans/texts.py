@@ -73,20 +73,19 @@ def fix_messages(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.array_join(fix["issues"].cast("array<string>"), ",").alias("closes"), fix["is_fix"].alias("is_fix"))
 
 
-@query(r"""SELECT doc_id, CAST(len(list_filter(string_split_regex(trim(text, E' \n'), '[.!?]\s+'), lambda s: s <> '')) AS BIGINT) AS n_sentences FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[ -~\n]*$')""")
+@query(r"""SELECT doc_id, CAST(len(list_filter(string_split_regex(trim(text, E' \n'), '[.!?]\s+'), lambda s: s <> '')) AS BIGINT) AS n_sentences FROM documents""")
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of plain English texts."""
-    rows = table(spark, d, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"^[ -~\n]*$"))
-    return rows.select("doc_id", F.size(F.filter(F.split(F.trim(F.col("text"), F.lit(" \n")), r"[.!?]\s+"), lambda s: s != "")).cast("bigint").alias("n_sentences"))
+    """Sentences of every text."""
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split(F.trim(F.col("text"), F.lit(" \n")), r"[.!?]\s+"), lambda s: s != "")).cast("bigint").alias("n_sentences"))
 
 
-@query(f"""WITH {TOKENS_SQL.format(key='item_id', table='benchmark')}, q AS (SELECT k, w FROM tok GROUP BY 1, 2), {TOKENS_SQL.format(key='doc_id', table="(SELECT * FROM documents WHERE doc_id < 40)").replace('raw', 'raw2').replace('sp ', 'sp2 ').replace('FROM sp', 'FROM sp2').replace('parts', 'parts2').replace('st AS', 'st2 AS').replace('FROM st ', 'FROM st2 ').replace('tok AS', 'tok2 AS').replace('FROM sp22', 'FROM sp2')}, s AS (SELECT k, w FROM tok2 GROUP BY 1, 2), n AS (SELECT k, count(*) AS n FROM q GROUP BY 1)
+@query(f"""WITH {TOKENS_SQL.format(key='item_id', table='benchmark')}, q AS (SELECT k, w FROM tok GROUP BY 1, 2), {TOKENS_SQL.format(key='doc_id', table="documents").replace('raw', 'raw2').replace('sp ', 'sp2 ').replace('FROM sp', 'FROM sp2').replace('parts', 'parts2').replace('st AS', 'st2 AS').replace('FROM st ', 'FROM st2 ').replace('tok AS', 'tok2 AS').replace('FROM sp22', 'FROM sp2')}, s AS (SELECT k, w FROM tok2 GROUP BY 1, 2), n AS (SELECT k, count(*) AS n FROM q GROUP BY 1)
 SELECT q.k AS item_id, s.k AS doc_id, round(CAST(count(*) AS DOUBLE) / n, 4) AS share FROM q JOIN s ON q.w = s.w JOIN n ON n.k = q.k GROUP BY 1, 2, n HAVING CAST(count(*) AS DOUBLE) / n >= 0.25""")
 def lexical_support(spark: SparkSession, d: str) -> DataFrame:
-    """The share of a claim's tokens in each source, through a join on tokens; sources are the first documents of the table."""
+    """The share of a claim's tokens in each source, through a join on tokens."""
     of = lambda df, key: df.select(key, F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("w"))
     q = of(table(spark, d, "benchmark"), "item_id")
-    s = of(table(spark, d, "documents").where("doc_id < 40"), "doc_id")
+    s = of(table(spark, d, "documents"), "doc_id")
     n = q.groupBy("item_id").agg(F.count("*").alias("n"))
     hits = q.join(s, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("h")).join(n, "item_id")
     return hits.where("h / n >= 0.25").select("item_id", "doc_id", F.round(F.col("h") / F.col("n"), 4).alias("share"))
