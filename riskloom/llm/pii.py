@@ -87,3 +87,40 @@ def pii_digests(docs: DataFrame) -> DataFrame:
     return find(docs).select(
         "doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in names[:N_BASE]), F.sha2(text(names[:N_BASE]), 256).alias("base_sha256"), text(names).alias("spans"), F.coalesce(F.array_max(scores), F.lit(0.0)).alias("score")
     )
+
+
+def _oracle() -> str:
+    """The same rows in DuckDB, whose patterns have no look-behind: a boundary character is matched and counted off instead."""
+    octet = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda j: CASE WHEN (length({digits}) - j) % 2 = 0 THEN CAST(substring({digits}, j, 1) AS INTEGER) WHEN CAST(substring({digits}, j, 1) AS INTEGER) > 4 THEN 2 * CAST(substring({digits}, j, 1) AS INTEGER) - 9 ELSE 2 * CAST(substring({digits}, j, 1) AS INTEGER) END)) % 10 = 0"
+    turned = "replace(v, ' ', '')[5:] || replace(v, ' ', '')[1:4]"
+    mod97 = f"list_reduce(list_transform(string_split({turned}, ''), lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, c: (a * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97, 0) = 1"
+    rows = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", f"regexp_full_match(v, '{octet}([.]{octet}){{3}}')"),
+        ("card", "[0-9](?:[ -]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND {luhn}"),
+        ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
+        ("iban", "(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", mod97),
+        ("ssn", "(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}", "true"),
+    ]
+    found = " UNION ALL ".join(f"SELECT doc_id, t, '{name}' AS kind, {i} AS ord, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS s FROM d WHERE regexp_matches(t, '{p}')" for i, (name, p, _) in enumerate(rows))
+    valid = " ".join(f"WHEN '{name}' THEN {rule}" for name, _, rule in rows)
+    context = " ".join(f"WHEN '{k.name}' THEN regexp_matches(w, '(^|[^a-z])({k.context})([^a-z]|$)')" for k in KINDS)
+    base = " ".join(f"WHEN '{k.name}' THEN {k.base}" for k in KINDS)
+    n = ", ".join(f"count(kind) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in KINDS[:N_BASE])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+x AS (SELECT doc_id, t, kind, ord, m, s, unnest(range(1, len(m) + 1)) AS i FROM f),
+y AS (SELECT doc_id, t, kind, ord, m[i] AS raw, list_sum(list_transform(s[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS p0 FROM x),
+v AS (SELECT doc_id, t, kind, ord, CASE WHEN kind IN ('iban', 'ssn') THEN ltrim(regexp_replace(raw, '^[^A-Z0-9]', '')) ELSE raw END AS v, CAST(p0 + length(raw) AS BIGINT) AS e FROM y),
+k AS (SELECT *, e - length(v) AS b, lower(substring(t, CAST(greatest(e - length(v) - {NEAR}, 0) + 1 AS BIGINT), CAST(least(e - length(v), {NEAR}) AS BIGINT))) AS w FROM v WHERE CASE kind {valid} END),
+c AS (SELECT doc_id, kind, ord, b, e, CASE kind {context} END AS near, CAST(CASE kind {base} END AS DOUBLE) AS base FROM k),
+g AS (SELECT doc_id, kind, ord, b, kind || ':' || b || ':' || e AS label, base + CASE WHEN near THEN CAST({BONUS} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score FROM c WHERE kind <> 'ssn' OR near)
+SELECT d.doc_id, {n}, sha256(coalesce(string_agg(label, ',' ORDER BY ord, b) FILTER (WHERE ord < {N_BASE}), '')) AS base_sha256, coalesce(string_agg(label, ',' ORDER BY ord, b), '') AS spans, coalesce(max(score), 0) AS score
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE_SQL}
+    return {"op2_decontamination": decontam.ORACLE_SQL, "op9_pii": pii.ORACLE_SQL}
