@@ -8,6 +8,18 @@ import sys
 from pyspark.sql import SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    On a cluster the package is installed or sent with the job; then the extra entry of the search path does no harm.
+    """
+    environment = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g", **extra: str) -> SparkSession:
     """A local session with UTC time and adaptive execution; cluster jobs bring their own session."""
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)

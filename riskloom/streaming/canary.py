@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from riskloom.session import importable
+
 #: Objectives of a step, and how often a step without enough traffic is extended.
 MAX_ERROR_RATE, MAX_DELTA, P95_RATIO, P95_SLACK, MIN_REQUESTS = 0.01, 0.005, 1.5, 50.0, 20
 MAX_EXTENSIONS = 3
@@ -107,6 +109,7 @@ def fold_stages(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[p
 
 def stage_states(events: DataFrame) -> DataFrame:
     """run_id, last_seq, stages, updated with every batch of a stream of run_id, seq, stage, status."""
+    importable(events.sparkSession)
     return events.groupBy("run_id").applyInPandasWithState(fold_stages, "run_id string, last_seq long, stages string", "last_seq long, stages string", "update", "NoTimeout")
 
 
