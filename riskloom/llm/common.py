@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from riskloom.session import importable
+
 #: Fixed pattern: a word is a run of characters outside these ASCII ranges, after A-Z became a-z.
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words over UTF-8 bytes: every byte of a non-ASCII character is 0x80 or more.
@@ -52,12 +54,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a set of ids, or a side that stems from a test set, is broadcast (about 20 MB).
+BROADCAST = 300_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST) -> DataFrame:
+    """df with a broadcast hint if it has at most `limit` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def map_arrow(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], rows: int = 512) -> DataFrame:
     """Runs a function over Arrow batches of the columns named.
 
     make() is called once a task and returns the function, which maps {column: list} to {column: list}.
     Batches are cut to `rows` rows, so that a worker holds few texts at a time.
     """
+    importable(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +86,8 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 def passed(rows: DataFrame, text: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """The rows whose text passes a test, with their columns as they are; make() is called once a task and returns the test."""
 
+    importable(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
         for batch in batches:
@@ -102,6 +116,11 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _print(e: DataFrame) -> tuple:
+    """A fingerprint of a set of links, which tells whether a round has changed it."""
+    return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node long, root long), root the least node.
 
@@ -111,7 +130,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     Self links are ignored; no edges give no rows.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-links")
-    before = None
+    before = _print(e)
     for _ in range(rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -119,8 +138,61 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{name}-links")
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
+        now = _print(e)
         if now == before:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+#: Components in a bucket beyond which its members meet by the finer key.
+CROWD = 32
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[Column, Column], Column], name: str, centres: int = 2, rounds: int = 6) -> DataFrame:
+    """node, root of the components of verified links between nodes that share a band.
+
+    members: band, fine (a key of twice the rows), node; verify: from pairs (a, b) to those that are links; sketches: node,
+    bits (array of longs); near: whether two nodes' bits leave a link possible, as a condition of the join.
+    First every bucket links its members to its least one: as many pairs as members. The next rounds do so with another
+    centre, drawn by hash, for members of other components than the centre's. Then, where a bucket still holds several
+    components, its members meet the least member of each other component; a bucket of more than CROWD of them
+    is dealt by the finer key for that, so that unlike members that share one common passage don't all meet. Every
+    pair is tried once. It ends when no bucket offers a new pair that is a link.
+    """
+    buckets = members.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
+    crowd = stored(members.join(buckets, "band").select("band", "fine", "node", "low"), f"{name}-buckets")
+    tried = stored(crowd.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), f"{name}-pairs")
+    edges = stored(verify(tried), f"{name}-edges")
+    for turn in range(centres + rounds):
+        joined = components(edges, name)
+        rows = crowd.join(joined, "node", "left").select("band", "fine", "node", F.coalesce("root", "node").alias("root"))
+        kinds = rows.groupBy("band", "root").agg(F.min("node").alias("head"))
+        counts = kinds.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        rows = stored(rows.join(counts, "band"), f"{name}-open")
+        if rows.isEmpty():
+            return joined
+        own = small(rows.select("node").distinct())
+        own = stored(sketches.join(own, "node", "left_semi").dropDuplicates(["node"]), f"{name}-bits")
+        rows = rows.join(own, "node")
+        order = F.xxhash64("node", F.lit(turn))
+        middle = rows.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("node"))).alias("m")).select("band", F.col("m.node").alias("centre"))
+
+        def around() -> DataFrame:
+            heads = middle.join(rows.select("band", F.col("node").alias("centre"), F.col("root").alias("other"), F.col("bits").alias("head_bits")), ["band", "centre"]).select("band", F.col("centre").alias("head"), "other", "head_bits")
+            return rows.join(heads, "band").where((F.col("root") != F.col("other")) & near(F.col("bits"), F.col("head_bits"))).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+
+        few, many = rows.where(F.col("n") <= CROWD), rows.where(F.col("n") > CROWD)
+
+        def meet(side: DataFrame, key: str) -> DataFrame:
+            tops = side.groupBy(key, F.col("root").alias("other")).agg(F.min("node").alias("head"))
+            tops = tops.join(own.select(F.col("node").alias("head"), F.col("bits").alias("head_bits")), "head")
+            return side.join(tops, key).where((F.col("root") != F.col("other")) & near(F.col("bits"), F.col("head_bits"))).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+
+        found = around() if turn < centres else meet(few, "band").unionAll(meet(many, "fine"))
+        new = stored(found.distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
+        more = stored(verify(new), f"{name}-edges")
+        if more.isEmpty() and turn >= centres:
+            return joined
+        tried, edges = tried.unionAll(new), edges.unionAll(more)
+    return components(edges, name)
