@@ -2,7 +2,7 @@ import hashlib
 import random
 
 from riskloom.llm.common import words_of
-from riskloom.llm.decontam import alignments, anchors, build_index, decontaminate, item_table, proximity_matches, stored
+from riskloom.llm.decontam import alignments, anchors, build_index, clean, decontaminate, item_table, proximity_matches, stored
 
 
 def brute(text, items, window=10):
@@ -21,8 +21,11 @@ def brute(text, items, window=10):
 def check(spark, texts, items):
     docs = spark.createDataFrame([(i, t, 7) for i, t in texts], "doc_id long, text string, pos int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(tuple(r) for r in decontaminate(docs, bench).collect())
-    assert got == sorted((i, *brute(t, items)) for i, t in texts)
+    got = sorted((tuple(r) for r in decontaminate(docs, bench).collect()), key=str)
+    want = [(i, *brute(t, items)) for i, t in texts]
+    assert got == sorted(want, key=str)
+    kept = sorted((tuple(r) for r in clean(docs, bench).collect()), key=str)
+    assert kept == sorted([(i, t, 7) for (i, t), w in zip(texts, want, strict=True) if not w[-1]], key=str)
 
 
 def test_against_brute_force(spark):
@@ -32,7 +35,7 @@ def test_against_brute_force(spark):
     items = [(i, text(rng.choice([0, 1, 2, 5, 9, 10, 11, 14, 20]))) for i in range(12)] + [(50, None), (3, text(12)), (77, "Éa éa c d9")]
     texts = [(i, text(rng.randint(0, 40))) for i in range(60)]
     texts += [(100 + i, text(3) + " " + (items[i % 12][1] or "").upper() + ". " + text(4) + (items[(i + 5) % 12][1] or "")) for i in range(40)]
-    texts += [(200, None), (201, ""), (5, texts[5][1]), (5, "other text")]
+    texts += [(200, None), (201, ""), (5, texts[5][1]), (5, "other text"), (None, items[3][1]), (None, None)]
     check(spark, texts, items)
 
 
