@@ -27,7 +27,8 @@ from riskloom.llm.common import map_arrow, passed, words_of
 
 #: Bounds of what is collected to the driver: labelled rows, and terms of the lexicon.
 SAMPLE, TERMS = 20_000, 600
-HEAD = 5
+#: Lengths of word heads; a head is a true beginning of a word.
+HEADS = (4, 5)
 #: Fixed seed terms: common English insults.
 SEEDS = ["idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "worthless", "disgusting", "clown", "bastard", "bitch", "asshole", "fuck", "shit", "retard", "whore", "vermin"]
 _SHOUT = re.compile(r"(?:\b[A-Z]{3,}\b\W*){4,}")
@@ -47,12 +48,16 @@ class Model:
     bias: float
 
 
+def _heads(words: set[bytes]) -> set[bytes]:
+    return {w[:k] for k in HEADS for w in words if len(w) > k}
+
+
 def fired(text: str | None, terms: dict[bytes, int], heads: dict[bytes, int]) -> list[int]:
     """The numbers of the voters that fire on a text; patterns follow the terms and heads."""
     n = len(terms) + len(heads)
     words = set(words_of(text))
     own = {terms[w] for w in words & terms.keys()}
-    own |= {heads[h] for h in {w[:HEAD] for w in words if len(w) > HEAD} & heads.keys()}
+    own |= {heads[h] for h in _heads(words) & heads.keys()}
     out = sorted(own)
     low = (text or "").encode("utf-8", "surrogatepass").lower()
     known = lambda w: w in terms or w in _SEEDS
@@ -92,7 +97,7 @@ def lexicon(sample: DataFrame, most: int = TERMS) -> tuple[list[bytes], list[byt
             for text, toxic in zip(rows["text"], rows["toxic"], strict=True):
                 words = set(words_of(text))
                 seen[bool(toxic)].update(b"w" + w for w in words)
-                seen[bool(toxic)].update({b"h" + w[:HEAD] for w in words if len(w) > HEAD})
+                seen[bool(toxic)].update(b"h" + h for h in _heads(words))
             terms = list(seen[True].keys() | seen[False].keys())
             return {"term": terms, "bad": [seen[True][t] for t in terms], "good": [seen[False][t] for t in terms]}
 
@@ -111,22 +116,25 @@ def lexicon(sample: DataFrame, most: int = TERMS) -> tuple[list[bytes], list[byt
     return [t[1:] for t in rows if t[:1] == b"w"], [t[1:] for t in rows if t[:1] == b"h"]
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray | None = None, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each row, rate of each voter by class, correlated mass of each voter).
 
-    votes: rows x voters of 0 and 1; label: the given label of each row, a voter of its own.
+    votes: rows x voters of 0 and 1; label: the given label of each row, a voter of its own; count: how often a row stands.
     """
+    c = np.ones(len(votes)) if count is None else count.astype(np.float64)
     x = np.concatenate([votes, label[:, None], 1 - label[:, None]], axis=1).astype(np.float64)
     p = np.where(label > 0, 0.95, 0.05)
     mass = np.ones(x.shape[1])
     for k in range(rounds):
-        prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        rate = np.clip(np.stack([(x * (1 - p)[:, None]).sum(0) + 0.1, (x * p[:, None]).sum(0) + 0.1]) / (np.array([[(1 - p).sum()], [p.sum()]]) + 0.2), 1e-4, 1 - 1e-4)
+        prior = np.clip((c * p).sum() / c.sum(), 1e-3, 1 - 1e-3)
+        of = np.stack([c * (1 - p), c * p])
+        rate = np.clip((of @ x + 0.1) / (of.sum(1, keepdims=True) + 0.2), 1e-4, 1 - 1e-4)
         if k >= 2:  # what fires together beyond the class: conditional correlations of the voters
             mean = np.outer(1 - p, rate[0]) + np.outer(p, rate[1])
-            left = x - mean
-            scale = np.sqrt((left**2).mean(0)) + 1e-6
-            mass = 1 + np.clip((left.T @ left) / len(x) / np.outer(scale, scale) - np.eye(x.shape[1]), 0, 1).sum(0)
+            left = (x - mean) * np.sqrt(c / c.sum())[:, None]
+            shared = left.T @ left
+            scale = np.sqrt(shared.diagonal()) + 1e-6
+            mass = 1 + np.clip(shared / np.outer(scale, scale) - np.eye(x.shape[1]), 0, 1).sum(0)
             mass[-2:] = 1
         told = (np.log(rate[1]) - np.log(rate[0])) / mass
         quiet = (np.log1p(-rate[1]) - np.log1p(-rate[0])) / mass
@@ -139,16 +147,17 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 25) -> tuple
     return p, rate, mass
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model of soft targets, by Newton's method."""
+def fit_linear(x: np.ndarray, target: np.ndarray, count: np.ndarray | None = None, ridge: float = 0.3, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model of soft targets, by Newton's method; count: how often a row stands."""
+    c = np.ones(len(x)) if count is None else count.astype(np.float64)
     full = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float64)
     w = np.zeros(full.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        grad = full.T @ (q - target) + penalty * w
-        hess = (full * (q * (1 - q) + 1e-6)[:, None]).T @ full + np.diag(penalty)
+        grad = full.T @ (c * (q - target)) + penalty * w
+        hess = (full * (c * (q * (1 - q) + 1e-6))[:, None]).T @ full + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-5:
@@ -170,13 +179,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         weights = np.zeros(n)
         weights[len(terms) + len(tops) + PATTERNS.index("seed")] = 4.0
         return Model(terms, tops, weights, -3.0)
-    votes = np.zeros((len(rows), n), np.float32)
-    for i, r in enumerate(rows):
-        votes[i, r.votes] = 1
-    label = np.array([float(r.toxic > 0) for r in rows])
-    order = np.lexsort((*votes.T[:32], label))  # the same sums whatever the order of arrival
-    posterior, _, _ = label_model(votes[order], label[order])
-    weights, bias = fit_linear(votes[order], posterior)
+    # rows that vote alike are one row with a count; sorted, so that sums don't depend on the order of arrival
+    alike = sorted(Counter((tuple(r.votes), int(r.toxic > 0)) for r in rows).items())
+    votes = np.zeros((len(alike), n), np.float32)
+    for i, ((own, _), _) in enumerate(alike):
+        votes[i, list(own)] = 1
+    label, count = np.array([float(y) for (_, y), _ in alike]), np.array([k for _, k in alike])
+    posterior, _, _ = label_model(votes, label, count)
+    weights, bias = fit_linear(votes, posterior, count)
     return Model(terms, tops, weights, bias)
 
 
