@@ -1,13 +1,11 @@
 """Line dedup (operator 10), native: fuzzy lines by MinHash over character shingles.
 
-1. Lines become sketches where they are read. A shingle is 8 consecutive characters; the sketch of a long line takes those
-   that begin with a character of ANCHORS (or the line), a choice by content alone, hashes them and sorts the hashes. The hash circle is cut in
-   8 equal arcs; the band of an arc is its first hash with the three that follow on the circle, so one band of two lines
-   agrees with probability near the fourth power of their resemblance.
+1. Lines become sketches where they are read. A shingle is 8 consecutive characters; the sketch hashes all of a line's
+   shingles and sorts the hashes. The hash circle is cut in 12 equal arcs; the band of an arc is its first hash with the
+   three that follow on the circle, so one band of two lines agrees with probability near the fourth power of their resemblance.
 2. Lines that share a band are candidates: each bucket links its members to its least one, by partial minima and a
-   join that adaptive execution can split, never as all pairs.
-3. Candidates are held against each other with the exact Jaccard similarity of all their shingles; long ones whose sketches
-   are far apart are passed over before that.
+   join that adaptive execution can split.
+3. Candidates are held against each other with the exact Jaccard similarity of all their shingles.
 4. Verified links become components by distributed union-find; every component keeps its first line.
    Where a bucket's members are still in several components after that, its members are linked to the least member of
    every other component there, and verified in turn, until no bucket offers a new pair. A bucket with more than CROWD
@@ -29,48 +27,28 @@ from riskloom.llm.common import linked, small, stored
 SHINGLE, ROWS, THRESHOLD = 8, 4, 0.8
 #: White space that a blank line may have.
 SPACE = " \t\r\f\v\u00a0"
-#: Line lengths up to which a sketch takes all shingles, and from which it takes the anchored ones.
-DENSE, SPARSE = 96, 72
-#: Fixed choice of first characters: every eighth ASCII letter and digit or so, a few of Latin-1, and all beyond the Latin letters.
-ANCHORS = r"048HPXhpx\x{e0}-\x{e7}\x{250}-\x{10FFFF}"
-#: The hash circle has 8 arcs, by the top three bits.
-SHIFT = 61
-#: A pair goes on to the whole comparison if its sketches' similarity is at least this, far below the threshold.
-SKETCH_LEAST = 0.5
-
-
-def shingles(line: str, anchored: bool) -> str:
-    """SQL for the shingles of a line: all, or those of the sketch."""
-    dots = "." * (SHINGLE - 1)
-    first = f"(?:^.|[{ANCHORS}])" if anchored else "."
-    return f"if(length({line}) < {SHINGLE}, array({line}), regexp_extract_all({line}, r'(?s)(?=({first}{dots}))', 1))"
-
-
-def _sketch(line: str, anchored: bool) -> str:
-    """SQL for struct(bands, bits) of a line: bits is a bitmap of 256 places of the anchored shingles' hashes, null for the dense kind."""
-    hashes = f"sort_array(transform({shingles(line, anchored)}, x -> xxhash64(x)))"
-    arc = lambda x: f"shiftright({x}, {SHIFT})"
-    after = lambda n: ", ".join(f"s[(i + {k}) % size(s)]" for k in range(1, n))
-    each = f"transform(s, (x, i) -> if(i = 0 or {arc('x')} <> {arc('s[i - 1]')}, struct(xxhash64(x, {after(ROWS)}) as band, xxhash64(x, {after(2 * ROWS)}) as fine), null))"
-    place = lambda k: f"aggregate(s, 0L, (a, x) -> a | if((x & 192) = {64 * k}, shiftleft(1L, cast(x & 63 as int)), 0L))"
-    bits = f"array({', '.join(map(place, range(4)))})" if anchored else "cast(null as array<bigint>)"
-    return f"transform(array({hashes}), s -> struct(filter({each}, b -> b is not null) as bands, {bits} as bits))[0]"
+#: The circle of signed hashes has so many arcs.
+ARCS = 12
+#: Characters of a piece (see hashes()).
+PIECE = 64
 
 
-def sketch(line: str = "line") -> Column:
-    """struct(bands, bits) of a line: of all its shingles up to DENSE characters, of the anchored ones from SPARSE on, of both between.
+def hashes(line: str) -> str:
+    """SQL for the hashes of a line's shingles, each once; a line shorter than a shingle is one.
 
-    Similar lines have similar lengths, so that they share one of the two kinds.
+    A long line is cut in overlapping pieces first, as substring() counts characters from the start of its argument.
     """
-    both = f"struct(concat({_sketch(line, False)}.bands, {_sketch(line, True)}.bands) as bands, cast(null as array<bigint>) as bits)"
-    return F.expr(f"case when length({line}) < {SPARSE} then {_sketch(line, False)} when length({line}) > {DENSE} then {_sketch(line, True)} else {both} end")
+    inner = lambda x: f"transform(sequence(1, length({x}) - {SHINGLE - 1}), i -> xxhash64(substring({x}, i, {SHINGLE})))"
+    pieces = f"transform(sequence(0, (length({line}) - {SHINGLE}) div {PIECE}), k -> substring({line}, cast(k * {PIECE} + 1 as int), {PIECE + SHINGLE - 1}))"
+    return f"array_distinct(case when length({line}) < {SHINGLE} then array(xxhash64({line})) when length({line}) < {PIECE + SHINGLE} then {inner(line)} else flatten(transform({pieces}, p -> {inner('p')})) end)"
 
 
-def near(a: Column, b: Column) -> Column:
-    """Whether the bitmaps of two lines leave the threshold possible; lines without a bitmap always do."""
-    common = " + ".join(f"bit_count(bits[{k}] & head_bits[{k}])" for k in range(4))
-    every = " + ".join(f"bit_count(bits[{k}] | head_bits[{k}])" for k in range(4))
-    return a.isNull() | b.isNull() | F.expr(f"2 * ({common}) >= {every}")
+def sketch(line: str = "line") -> Column:
+    """The bands of a line, of all its shingles."""
+    arc = lambda x: f"shiftright(shiftright({x}, 32) * {ARCS}, 32)"
+    after = lambda n: ", ".join(f"s[(i + {k}) % size(s)]" for k in range(1, n))
+    each = f"transform(s, (x, i) -> if(i = 0 or {arc('x')} <> {arc('s[i - 1]')}, struct(xxhash64(x, {after(ROWS)}) as band, xxhash64(x, {after(2 * ROWS)}) as fine), null))"
+    return F.expr(f"transform(array(sort_array({hashes(line)})), s -> filter({each}, b -> b is not null))[0]")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -78,35 +56,36 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim(F.col("line"), F.lit(SPACE)) != "")
 
 
-def jaccard(a: str, b: str, anchored: bool = False) -> Column:
-    """The Jaccard similarity of two lines' shingles, all or those of the sketch."""
-    whole = lambda x: f"array_distinct(transform({shingles(x, anchored)}, x -> xxhash64(x)))"
+def jaccard(a: str, b: str) -> Column:
+    """The Jaccard similarity of two lines' shingles."""
     # each step stands inside a lambda, so that it is evaluated once
-    counts = f"transform(array(struct({whole(a)} as a, {whole(b)} as b)), p -> struct(size(array_intersect(p.a, p.b)) as i, size(p.a) + size(p.b) as n))"
+    counts = f"transform(array(struct({hashes(a)} as a, {hashes(b)} as b)), p -> struct(size(array_intersect(p.a, p.b)) as i, size(p.a) + size(p.b) as n))"
     return F.expr(f"transform({counts}, q -> q.i / (q.n - q.i))[0]")
 
 
+def wanted_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """h, line of the line hashes (h) that nodes has."""
+    return lines_of(docs).select(F.xxhash64("line").alias("h"), "line").join(small(nodes), "h", "left_semi").dropDuplicates(["h"])
+
+
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """a, b of the pairs (of line hashes) whose lines have that similarity."""
     wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")).distinct()
-    texts = lines_of(docs).select(F.xxhash64("line").alias("h"), "line").join(small(wanted), "h", "left_semi").dropDuplicates(["h"])
-    texts = stored(texts, "lines")
+    texts = stored(wanted_lines(docs, wanted), "lines")
     both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
-    short = F.greatest(F.length("line_a"), F.length("line_b")) <= DENSE
-    return both.where((short | (jaccard("line_a", "line_b", anchored=True) >= SKETCH_LEAST)) & (jaccard("line_a", "line_b") >= threshold)).select("a", "b")
+    return both.where(jaccard("line_a", "line_b") >= threshold).select("a", "b")
 
 
 def link(docs: DataFrame, sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node, root of the line hashes that a verified link joins; sketched: h, bands, bits."""
+    """node, root of the line hashes that a verified link joins; sketched: h, bands."""
     members = sketched.select(F.explode("bands").alias("b"), F.col("h").alias("node")).select("b.band", "b.fine", "node")
-    bitmaps = sketched.select(F.col("h").alias("node"), "bits")
-    return linked(members, lambda pairs: verified(docs, pairs, threshold), bitmaps, near, "lines")
+    bits = sketched.select(F.col("h").alias("node"), F.lit(None).cast("array<bigint>").alias("bits"))
+    return linked(members, lambda pairs: verified(docs, pairs, threshold), bits, lambda a, b: F.lit(True), "lines")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """uid, line_no, lid, h, bands, bits of every line that is not blank; lid rises in reading order; stored."""
-    rows = lines_of(docs).select("uid", "line_no", F.xxhash64("line").alias("h"), sketch().alias("s"))
-    rows = rows.select("uid", "line_no", "h", "s.bands", "s.bits")
+    """uid, line_no, lid, h, bands of every line that is not blank; lid rises in reading order; stored."""
+    rows = lines_of(docs).select("uid", "line_no", F.xxhash64("line").alias("h"), sketch().alias("bands"))
     return stored(rows.withColumn("lid", F.monotonically_increasing_id()), "sketches")
 
 
@@ -118,12 +97,12 @@ def with_uid(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """uid, line_no, lid, first (the lid of the line that its component keeps) of every line of docs (uid, text)."""
     lines = sketches(docs)
-    roots = link(docs, lines.select("h", "bands", "bits"), threshold)
+    roots = link(docs, lines.select("h", "bands"), threshold)
     own = lines.groupBy("h").agg(F.min("lid").alias("low"))
     heads = own.join(roots, own["h"] == roots["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
     firsts = heads.groupBy("root").agg(F.min("low").alias("first"))
     known = heads.join(firsts, "root").select("h", "first")
-    return lines.drop("bands", "bits").join(known, "h").select("uid", "line_no", "lid", "first")
+    return lines.drop("bands").join(known, "h").select("uid", "line_no", "lid", "first")
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

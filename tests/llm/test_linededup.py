@@ -58,3 +58,37 @@ def test_deduplicated_keeps_rows_and_columns(spark):
     got = sorted((tuple(r) for r in deduplicated(docs).collect()), key=str)
     assert got == sorted([(1, "x y z one two\nkeep me here\n", "n", 5), (2, "other line of words", "m", 19), (2, None, None, None), (3, "\n", "b", 1)], key=str)
     assert deduplicated(docs.limit(0)).count() == 0
+
+
+WORDS = {
+    "en": "the river market between morning people carry their old bread along every narrow street before winter comes again".split(),
+    "fr": "la rivière marché entre matin les gens portent leur vieux pain dans toutes rues étroites avant que revienne".split(),
+    "es": "el río mercado entre mañana la gente lleva su viejo pan en todas calles estrechas antes de que vuelva".split(),
+    "de": "der Fluss Markt zwischen Morgen die Leute tragen ihr altes Brot durch alle engen Gassen bevor Winter wieder".split(),
+    "bare": "tab set dog bed fog ear sea tin fin net rat gate stone rest latin".split(),
+}
+
+
+def near_copies(words, rng, n=120):
+    """Pairs of lines of 97 to 200 characters, one with words replaced, of exact similarity 0.8 at least."""
+    out = []
+    while len(out) < n:
+        made = lambda: rng.choice(words)[:: rng.choice((1, -1))] + rng.choice(words)[:3]
+        a = [made() for _ in range(rng.randint(12, 20))]
+        b = list(a)
+        b[rng.randrange(len(b))] = made()
+        x, y = " ".join(a), " ".join(b)
+        i, u = len(sh(x) & sh(y)), len(sh(x) | sh(y))
+        if 97 <= len(x) <= 200 and x != y and i / u >= 0.8:
+            out.append((x, y))
+    return out
+
+
+def test_long_near_copies_are_found_in_every_language(spark):
+    rng = random.Random(7)
+    pairs = [(kind, p) for kind, words in WORDS.items() for p in near_copies(words, rng)]
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, (_, p) in enumerate(pairs)], "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in line_classes(docs).collect()}
+    for kind in WORDS:
+        own = [i for i, (k, _) in enumerate(pairs) if k == kind]
+        assert sum(got[i, 0] == got[i, 1] for i in own) >= 0.98 * len(own), kind
