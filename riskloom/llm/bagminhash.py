@@ -9,8 +9,7 @@ batch together, up to the time by which all slots of a text are filled.
 
 Texts with equal words are one node. Bands of ROWS slots make buckets; every bucket links its members to its least
 one, and each link is verified by the overlap of the two bags. Links become components; where a bucket's members are
-still in several components, its members meet the least member of every other component there, until no bucket offers
-a new pair. Buckets, links and components are tables; nothing is collected.
+still in several components, all its pairs across components are tried, in blocks (common.linked). Buckets, links and components are tables; nothing is collected.
 
 Words are those of common.words_of. Null and empty texts and texts without words are equal (no words) and form one
 class. Repeated rows are copies. Very long texts are hashed whole. All columns of the table are kept, whatever their names.
@@ -156,7 +155,7 @@ def digest_bits(signature: np.ndarray) -> np.ndarray:
     return (low[:, ::2] << 4 | low[:, 1::2]).view(np.int64)
 
 
-def near(a, b):
+def near():
     """Whether two digests leave a similarity of 0.8 possible."""
     return F.expr(" + ".join(f"bit_count(bits[{k}] ^ head_bits[{k}])" for k in range(-(-SLOTS // 16)))) <= FAR_BITS
 
@@ -225,10 +224,10 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def link(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """node, root of the nodes that a verified link joins; nodes: node, bands, bits. A band and the next one are its finer key."""
-    members = nodes.select("node", "bands", F.posexplode("bands").alias("i", "band"))
-    members = members.select("band", F.xxhash64("band", F.col("bands")[(F.col("i") + 1) % BANDS]).alias("fine"), "node")
-    return linked(members, lambda pairs: verified(texts, pairs, threshold), nodes.select("node", "bits"), near, "documents")
+    """node, root of the nodes that a verified link joins; nodes: node, bands, bits."""
+    members = nodes.select(F.explode("bands").alias("band"), "node")
+    bits = lambda own: nodes.select("node", "bits").join(small(own), "node", "left_semi")
+    return linked(members, lambda pairs: verified(texts, pairs, threshold), bits, near(), "documents")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -145,54 +145,53 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-#: Components in a bucket beyond which its members meet by the finer key.
-CROWD = 32
+#: Members of a block; the members of a bucket meet in blocks, so that no task has a large bucket alone.
+BLOCK = 512
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[Column, Column], Column], name: str, centres: int = 2, rounds: int = 6) -> DataFrame:
-    """node, root of the components of verified links between nodes that share a band.
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketched: Callable[[DataFrame], DataFrame], near: Column, name: str, centres: int = 2) -> DataFrame:
+    """node, root of the components of all verified links between nodes that share a band.
 
-    members: band, fine (a key of twice the rows), node; verify: from pairs (a, b) to those that are links; sketches: node,
-    bits (array of longs); near: whether two nodes' bits leave a link possible, as a condition of the join.
+    members: band, node; verify: from pairs (a, b) to those that are links; sketched: from nodes (node) to node, bits;
+    near: whether bits and head_bits of two nodes leave a link possible, a condition of the join that is true of every link.
     First every bucket links its members to its least one: as many pairs as members. The next rounds do so with another
     centre, drawn by hash, for members of other components than the centre's. Then, where a bucket still holds several
-    components, its members meet the least member of each other component; a bucket of more than CROWD of them
-    is dealt by the finer key for that, so that unlike members that share one common passage don't all meet. Every
-    pair is tried once. It ends when no bucket offers a new pair that is a link.
+    components, all its pairs across components meet: the members outside its largest component with every member, in
+    blocks of BLOCK a side that are dealt over the tasks. Every pair is tried once. After that each pair that shares a band
+    was tried, lies in one component or is proven to be no link, whatever the size of its bucket.
     """
     buckets = members.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
-    crowd = stored(members.join(buckets, "band").select("band", "fine", "node", "low"), f"{name}-buckets")
+    crowd = stored(members.join(buckets, "band").select("band", "node", "low").distinct(), f"{name}-buckets")
     tried = stored(crowd.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), f"{name}-pairs")
     edges = stored(verify(tried), f"{name}-edges")
-    for turn in range(centres + rounds):
+    bits = None
+    pair = (F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    for turn in range(centres + 1):
         joined = components(edges, name)
-        rows = crowd.join(joined, "node", "left").select("band", "fine", "node", F.coalesce("root", "node").alias("root"))
-        kinds = rows.groupBy("band", "root").agg(F.min("node").alias("head"))
-        counts = kinds.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        rows = crowd.join(joined, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        kinds = rows.groupBy("band", "root").agg(F.count("*").alias("k"))
+        counts = kinds.groupBy("band").agg(F.count("*").alias("kinds"), F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("m")).where("kinds > 1").select("band", "n", (F.col("n") - F.col("m.k")).alias("n_rest"), F.col("m.root").alias("main"))
         rows = stored(rows.join(counts, "band"), f"{name}-open")
         if rows.isEmpty():
             return joined
-        own = small(rows.select("node").distinct())
-        own = stored(sketches.join(own, "node", "left_semi").dropDuplicates(["node"]), f"{name}-bits")
-        rows = rows.join(own, "node")
+        if bits is None:  # later rounds have no other nodes
+            bits = stored(sketched(rows.select("node").distinct()), f"{name}-bits")
+        rows = rows.join(bits, "node")
         order = F.xxhash64("node", F.lit(turn))
         middle = rows.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("node"))).alias("m")).select("band", F.col("m.node").alias("centre"))
 
         def around() -> DataFrame:
             heads = middle.join(rows.select("band", F.col("node").alias("centre"), F.col("root").alias("other"), F.col("bits").alias("head_bits")), ["band", "centre"]).select("band", F.col("centre").alias("head"), "other", "head_bits")
-            return rows.join(heads, "band").where((F.col("root") != F.col("other")) & near(F.col("bits"), F.col("head_bits"))).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+            return rows.join(heads, "band").where((F.col("root") != F.col("other")) & near).select(*pair)
 
-        few, many = rows.where(F.col("n") <= CROWD), rows.where(F.col("n") > CROWD)
+        def across() -> DataFrame:
+            i, j = (F.ceil(F.col(c) / BLOCK) for c in ("n_rest", "n"))
+            rest = rows.where("root <> main").select("band", "main", "node", "root", "bits", F.pmod(F.xxhash64("node", F.lit("i")), i).alias("i"), F.explode(F.sequence(F.lit(0), j - 1)).alias("j"))
+            every = rows.select("band", F.col("node").alias("head"), F.col("root").alias("other"), F.col("bits").alias("head_bits"), F.pmod(F.xxhash64("node", F.lit("j")), j).alias("j"), F.explode(F.sequence(F.lit(0), i - 1)).alias("i"))
+            once = (F.col("other") == F.col("main")) | (F.col("node") < F.col("head"))
+            return rest.join(every, ["band", "i", "j"]).where((F.col("root") != F.col("other")) & once & near).select(*pair)
 
-        def meet(side: DataFrame, key: str) -> DataFrame:
-            tops = side.groupBy(key, F.col("root").alias("other")).agg(F.min("node").alias("head"))
-            tops = tops.join(own.select(F.col("node").alias("head"), F.col("bits").alias("head_bits")), "head")
-            return side.join(tops, key).where((F.col("root") != F.col("other")) & near(F.col("bits"), F.col("head_bits"))).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-
-        found = around() if turn < centres else meet(few, "band").unionAll(meet(many, "fine"))
+        found = around() if turn < centres else across()
         new = stored(found.distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
-        more = stored(verify(new), f"{name}-edges")
-        if more.isEmpty() and turn >= centres:
-            return joined
-        tried, edges = tried.unionAll(new), edges.unionAll(more)
+        tried, edges = tried.unionAll(new), edges.unionAll(stored(verify(new), f"{name}-edges"))
     return components(edges, name)

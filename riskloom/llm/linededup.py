@@ -7,9 +7,8 @@
    join that adaptive execution can split.
 3. Candidates are held against each other with the exact Jaccard similarity of all their shingles.
 4. Verified links become components by distributed union-find; every component keeps its first line.
-   Where a bucket's members are still in several components after that, its members are linked to the least member of
-   every other component there, and verified in turn, until no bucket offers a new pair. A bucket with more than CROWD
-   components is dealt by a band of twice the rows first (common.linked).
+   Where a bucket's members are still in several components after that, all its pairs across components are tried, in blocks
+   (common.linked).
 
 Lines are what "\\n" parts. Blank lines (white space only) are never duplicates. Lines shorter than a shingle are one
 shingle. Equal lines are one node, known by a 64-bit hash of the line. The first line is the one read first (in the
@@ -46,8 +45,8 @@ def hashes(line: str) -> str:
 def sketch(line: str = "line") -> Column:
     """The bands of a line, of all its shingles."""
     arc = lambda x: f"shiftright(shiftright({x}, 32) * {ARCS}, 32)"
-    after = lambda n: ", ".join(f"s[(i + {k}) % size(s)]" for k in range(1, n))
-    each = f"transform(s, (x, i) -> if(i = 0 or {arc('x')} <> {arc('s[i - 1]')}, struct(xxhash64(x, {after(ROWS)}) as band, xxhash64(x, {after(2 * ROWS)}) as fine), null))"
+    after = ", ".join(f"s[(i + {k}) % size(s)]" for k in range(1, ROWS))
+    each = f"transform(s, (x, i) -> if(i = 0 or {arc('x')} <> {arc('s[i - 1]')}, xxhash64(x, {after}), null))"
     return F.expr(f"transform(array(sort_array({hashes(line)})), s -> filter({each}, b -> b is not null))[0]")
 
 
@@ -78,9 +77,8 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 def link(docs: DataFrame, sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, root of the line hashes that a verified link joins; sketched: h, bands."""
-    members = sketched.select(F.explode("bands").alias("b"), F.col("h").alias("node")).select("b.band", "b.fine", "node")
-    bits = sketched.select(F.col("h").alias("node"), F.lit(None).cast("array<bigint>").alias("bits"))
-    return linked(members, lambda pairs: verified(docs, pairs, threshold), bits, lambda a, b: F.lit(True), "lines")
+    members = sketched.select(F.explode("bands").alias("band"), F.col("h").alias("node"))
+    return linked(members, lambda pairs: verified(docs, pairs, threshold), lambda nodes: nodes.withColumn("bits", F.lit(None).cast("array<bigint>")), F.lit(True), "lines")
 
 
 def sketches(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from riskloom.llm.bagminhash import bags, deduplicated, near_duplicate_classes, overlap, signatures
+from riskloom.llm.bagminhash import bags, deduplicated, link, near_duplicate_classes, overlap, signatures
 from riskloom.llm.common import words_of
 
 
@@ -66,3 +66,25 @@ def test_classes_against_brute_force(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, key string")
     assert near_duplicate_classes(docs).count() == 0 and deduplicated(docs).count() == 0
+
+
+def roots_of(spark, texts, bands):
+    """The root of each node, as link() finds it when node i has text i and bands i; the bits rule out nothing."""
+    t = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    n = spark.createDataFrame([(i, [*b, *(1000 * i + k + 10**6 for k in range(25 - len(b)))], [100] + [0] * 8) for i, b in enumerate(bands)], "node long, bands array<long>, bits array<long>")
+    got = {r.node: r.root for r in link(t, n, 0.8).collect()}
+    return [got.get(i, i) for i in range(len(texts))]
+
+
+def test_every_link_of_a_crowded_bucket_is_found(spark):
+    texts = [" ".join(f"w{i // 2}x{k}" for k in range(100)) + " end" * (i % 2) for i in range(100)]
+    assert roots_of(spark, texts, [[7]] * 100) == [i - i % 2 for i in range(100)]
+
+
+def test_links_between_members_that_lead_no_component_are_found(spark):
+    texts, bands = [], []
+    for g in range(20):
+        for place, own in ((0, 1), (1, 1), (3, 2), (2, 2)):  # a1, a2, b1, b2: only a2 and b2 are near
+            texts.append(" ".join(f"g{g}w{k}" for k in range(8 * place, 8 * place + 100)))
+            bands.append([10 * g, 10 * g + own])
+    assert roots_of(spark, texts, bands) == [i - i % 4 for i in range(80)]
