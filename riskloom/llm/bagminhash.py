@@ -9,7 +9,8 @@ batch together, up to the time by which all slots of a text are filled.
 
 Texts with equal words are one node. Bands of ROWS slots make buckets; every bucket links its members to its least
 one, and each link is verified by the overlap of the two bags. Links become components; where a bucket's members are
-still in several components, all its pairs across components are tried, in blocks (common.linked). Buckets, links and components are tables; nothing is collected.
+still in several components, all its pairs across components are tried, in blocks, but for those whose parities prove
+them to be under the threshold (common.linked). Buckets, links and components are tables; nothing is collected.
 
 Words are those of common.words_of. Null and empty texts and texts without words are equal (no words) and form one
 class. Repeated rows are copies. Very long texts are hashed whole. All columns of the table are kept, whatever their names.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from riskloom.llm.common import linked, small, stored, words_of
+from riskloom.llm.common import linked, possible, small, stored, words_of
 from riskloom.session import importable
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -142,22 +143,18 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-#: Unequal bits of two signatures' digests (4 bits a slot) beyond which the similarity is under 0.8 with near certainty:
-#: at 0.8 there are 50 on average, and the limit is three standard deviations above.
-FAR_BITS = 80
+#: Longs of parities that a bag's bits have.
+LONGS = 8
 
 
-def digest_bits(signature: np.ndarray) -> np.ndarray:
-    """The low 4 bits of every slot, as longs."""
-    low = (signature & _U(15)).astype(np.uint8)
-    if low.shape[1] % 16:
-        low = np.concatenate([low, np.zeros((len(low), 16 - low.shape[1] % 16), np.uint8)], axis=1)
-    return (low[:, ::2] << 4 | low[:, 1::2]).view(np.int64)
-
-
-def near():
-    """Whether two digests leave a similarity of 0.8 possible."""
-    return F.expr(" + ".join(f"bit_count(bits[{k}] ^ head_bits[{k}])" for k in range(-(-SLOTS // 16)))) <= FAR_BITS
+def parities(shingle: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The bits of each of n bags for common.possible: its weight, and 64 LONGS parities; a shingle of weight w is w elements."""
+    which = np.repeat(np.arange(len(weight)), weight)
+    copy = np.arange(len(which)) - np.repeat(np.cumsum(weight) - weight, weight)
+    place = mix(shingle[which] ^ mix(copy.astype(np.uint64) + _U(1))) % _U(64 * LONGS)
+    odd = np.bincount(owner[which] * (64 * LONGS) + place.astype(np.int64), minlength=n * 64 * LONGS) & 1
+    total = np.bincount(owner, weight, n).astype(np.int64)
+    return np.concatenate([total[:, None], np.packbits(odd.astype(np.uint8).reshape(n, -1), axis=1).view(np.int64)], axis=1)
 
 
 def overlap(a: list[bytes], b: list[bytes]) -> float:
@@ -192,9 +189,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 words = [words_of(t) for t in texts[at:end]]
                 at = end
                 keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-                slots = signatures(*bags(words), len(words))
+                parts = bags(words)
+                slots = signatures(*parts, len(words))
                 lists = [h.tolist() if w else [] for h, w in zip(band_hashes(slots), words, strict=True)]
-                columns = [*part.columns, pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(digest_bits(slots).tolist(), pa.list_(pa.int64()))]
+                columns = [*part.columns, pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(parities(*parts, len(words)).tolist(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return stored(rows.mapInArrow(run, schema), "signed")
@@ -227,7 +225,7 @@ def link(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """node, root of the nodes that a verified link joins; nodes: node, bands, bits."""
     members = nodes.select(F.explode("bands").alias("band"), "node")
     bits = lambda own: nodes.select("node", "bits").join(small(own), "node", "left_semi")
-    return linked(members, lambda pairs: verified(texts, pairs, threshold), bits, near(), "documents")
+    return linked(members, lambda pairs: verified(texts, pairs, threshold), bits, possible(LONGS, threshold), "documents")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

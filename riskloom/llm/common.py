@@ -149,6 +149,17 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
 BLOCK = 512
 
 
+def possible(longs: int, threshold: float) -> Column:
+    """Whether bits and head_bits of two sets leave a similarity of the threshold possible; it never passes over a pair that has it.
+
+    bits: the size of a set, then `longs` longs of parities, bit i of which counts the elements hashed to place i. Places with
+    unequal parity have an element that only one set has, so that the sets differ in as many elements at least, and in as
+    many as their sizes differ. Two sets of n elements together with similarity t differ in n (1 - t) / (1 + t).
+    """
+    apart = " + ".join(f"bit_count(bits[{k}] ^ head_bits[{k}])" for k in range(1, longs + 1))
+    return F.expr(f"{1 + threshold}D * greatest({apart}, abs(bits[0] - head_bits[0])) <= {1 - threshold}D * (bits[0] + head_bits[0]) + 1e-6D")
+
+
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketched: Callable[[DataFrame], DataFrame], near: Column, name: str, centres: int = 2) -> DataFrame:
     """node, root of the components of all verified links between nodes that share a band.
 

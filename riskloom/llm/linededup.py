@@ -7,8 +7,8 @@
    join that adaptive execution can split.
 3. Candidates are held against each other with the exact Jaccard similarity of all their shingles.
 4. Verified links become components by distributed union-find; every component keeps its first line.
-   Where a bucket's members are still in several components after that, all its pairs across components are tried, in blocks
-   (common.linked).
+   Where a bucket's members are still in several components after that, all its pairs across components are tried, in blocks,
+   but for those whose parities prove them to be under the threshold (common.linked).
 
 Lines are what "\\n" parts. Blank lines (white space only) are never duplicates. Lines shorter than a shingle are one
 shingle. Equal lines are one node, known by a 64-bit hash of the line. The first line is the one read first (in the
@@ -21,15 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import linked, small, stored
+from riskloom.llm.common import linked, possible, small, stored
 
 SHINGLE, ROWS, THRESHOLD = 8, 4, 0.8
 #: White space that a blank line may have.
 SPACE = " \t\r\f\v\u00a0"
 #: The circle of signed hashes has so many arcs.
 ARCS = 12
-#: Characters of a piece (see hashes()).
-PIECE = 64
+#: Longs of parities that a line's bits have, and characters of a piece (see hashes()).
+LONGS, PIECE = 4, 64
 
 
 def hashes(line: str) -> str:
@@ -50,6 +50,12 @@ def sketch(line: str = "line") -> Column:
     return F.expr(f"transform(array(sort_array({hashes(line)})), s -> filter({each}, b -> b is not null))[0]")
 
 
+def parities(line: str = "line") -> Column:
+    """The bits of a line for common.possible: how many shingles, and 64 LONGS parities."""
+    place = lambda k: f"aggregate(s, 0L, (a, x) -> a ^ if((x & 192) = {64 * k}, shiftleft(1L, cast(x & 63 as int)), 0L))"
+    return F.expr(f"transform(array({hashes(line)}), s -> array(cast(size(s) as bigint), {', '.join(map(place, range(LONGS)))}))[0]")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """uid, line_no, line of every line of docs (uid, text) that is not blank; line_no from 0."""
     return docs.select("uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim(F.col("line"), F.lit(SPACE)) != "")
@@ -78,7 +84,8 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def link(docs: DataFrame, sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, root of the line hashes that a verified link joins; sketched: h, bands."""
     members = sketched.select(F.explode("bands").alias("band"), F.col("h").alias("node"))
-    return linked(members, lambda pairs: verified(docs, pairs, threshold), lambda nodes: nodes.withColumn("bits", F.lit(None).cast("array<bigint>")), F.lit(True), "lines")
+    bits = lambda nodes: wanted_lines(docs, nodes.select(F.col("node").alias("h"))).select(F.col("h").alias("node"), parities().alias("bits"))
+    return linked(members, lambda pairs: verified(docs, pairs, threshold), bits, possible(LONGS, threshold), "lines")
 
 
 def sketches(docs: DataFrame) -> DataFrame:

@@ -88,3 +88,24 @@ def test_links_between_members_that_lead_no_component_are_found(spark):
             texts.append(" ".join(f"g{g}w{k}" for k in range(8 * place, 8 * place + 100)))
             bands.append([10 * g, 10 * g + own])
     assert roots_of(spark, texts, bands) == [i - i % 4 for i in range(80)]
+
+
+def test_the_filter_before_verification_passes_every_link(spark):
+    from riskloom.llm.bagminhash import LONGS, parities
+    from riskloom.llm.common import possible
+
+    rng = random.Random(9)
+    texts, links = [], []
+    while len(links) < 1500:
+        base = [f"v{rng.randrange(400)}" for _ in range(rng.randint(20, 150))]
+        other = list(base)
+        for _ in range(max(1, len(base) // 50)):
+            other[rng.randrange(len(other))] = "new"
+        texts += [" ".join(base), " ".join(other)]
+        links.append(0.8 <= jaccard(bag(texts[-2]), bag(texts[-1])))
+    bits = parities(*bags([words_of(t) for t in texts]), len(texts)).tolist()
+    rows = [(i, bits[2 * i], bits[2 * i + 1]) for i in range(len(links))]
+    far = [(-1 - i, bits[2 * i], bits[2 * i + 3]) for i in range(99)]
+    got = {r.i for r in spark.createDataFrame(rows + far, "i long, bits array<long>, head_bits array<long>").where(possible(LONGS, 0.8)).collect()}
+    assert sum(links) > 500 and all(i in got for i, link in enumerate(links) if link)
+    assert not any(i < 0 for i in got)
