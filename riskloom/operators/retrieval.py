@@ -6,6 +6,8 @@ queries. Top rows come from window ranks by query, so that nothing is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -73,17 +75,17 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_nearest(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 10_000) -> DataFrame:
     """qid, doc, score, rank: exact nearest neighbours of a stated query set by cosine.
 
-    vectors: doc, v; queries: qid, q. The query set must have `limit` rows at most; it is broadcast as one array a
-    partition can scan in blocks, and every partition keeps its own best k before the shuffle.
+    vectors: doc, v; queries: qid, q. A query set of more than `limit` rows is dealt by hash into blocks of about `limit`
+    rows; each is broadcast, and every partition keeps its own best k of a block before the shuffle.
     """
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries; split them")
     unit = vectors.select("doc", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("nv"))
     qs = queries.select("qid", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("nq"))
     n = F.col("nv") * F.col("nq")
-    scores = unit.join(F.broadcast(qs)).select("qid", "doc", F.when(n > 0, dot(F.col("v"), F.col("q")) / n).otherwise(0.0).alias("score"))
+    scores = lambda part: unit.join(F.broadcast(part)).select("qid", "doc", F.when(n > 0, dot(F.col("v"), F.col("q")) / n).otherwise(0.0).alias("score"))
+    blocks = max(1, -(-queries.count() // limit))
+    parts = [qs] if blocks == 1 else [qs.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)]
     # a window group limit keeps k rows for each query in every partition before the exchange
-    return best(scores, k)
+    return reduce(DataFrame.unionAll, (best(scores(part), k) for part in parts))
 
 
 def fuse(rankings: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:

@@ -143,3 +143,10 @@ def test_canary(spark):
     steps = [("a", 1, 0.1, True, True)] + [("a", k, 0.1, True, True) for k in range(2, 5)] + [("a", 5, 0.5, True, False), ("b", 1, 0.1, True, False), ("b", 2, 0.5, False, False)]
     out = {r.k: (r.outcome, r.steps) for r in canary.rollout(spark.createDataFrame(steps, "k string, ord int, weight double, healthy boolean, inconclusive boolean"), "k").collect()}
     assert out == {"a": ("promoted", 2), "b": ("rolled_back", 2)}
+
+
+def test_nearest_vectors_of_more_queries_than_a_block(spark):
+    v = spark.range(40).selectExpr("id as doc", "array(cast(id % 7 as double), cast(id % 5 as double), 1D) as v")
+    q = v.selectExpr("doc as qid", "v as q")
+    rows = lambda limit: sorted(tuple(r) for r in Q.dense_nearest(v, q, 3, limit).collect())
+    assert len(rows(7)) == 120 and rows(7) == rows(100)
