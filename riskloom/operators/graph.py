@@ -1,12 +1,13 @@
 """Operators on property graphs: nodes and edges are two tables, walks are joins of a frontier with the edges.
 
 A walk keeps the least distance to each node, so that cycles end; each level is one join and one anti-join, and every
-few levels the state is written to the shared checkpoint folder by checkpoint(). Depth is bounded by the caller.
+few levels the state is written to the shared checkpoint folder by checkpoint(). The depth of walks is bounded by the caller.
 """
 
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,12 +74,12 @@ def shortest_path(edges: DataFrame, source, target, depth: int) -> DataFrame:
     return seen.where(F.col("node") == F.lit(target).cast(kind)).select("path").limit(1)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int = 32) -> DataFrame:
-    """seed, node of all that a seed reaches, itself included; cycle-safe. It ends when nothing new is reached."""
+def closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """seed, node of all that a seed reaches, itself included, in at most `depth` steps if given; cycle-safe. It ends when nothing new is reached."""
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
     seen = seeds.select("seed", F.col("seed").alias("node")).distinct()
     front = seen
-    for _ in range(depth):
+    for _ in count() if depth is None else range(depth):
         front = cut(front.join(e, "node").select("seed", F.col("to").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"))
         if front.isEmpty():
             break
@@ -86,15 +87,16 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int = 32) -> DataFrame:
     return seen
 
 
-def topological_layers(edges: DataFrame, depth: int = 64) -> tuple[DataFrame, DataFrame]:
+def topological_layers(edges: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(layers, cyclic): node, layer by longest path from a root; and the nodes that stand on or behind a cycle.
 
-    edges: src before dst.
+    edges: src before dst. It ends when no node is ready; with a depth, after that many layers at most, what lies deeper being
+    among the second.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     layers, left = None, nodes
     e = edges.select("src", "dst").distinct()
-    for k in range(depth):
+    for k in count() if depth is None else range(depth):
         blocked = e.join(left.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         ready = cut(left.join(blocked, "node", "left_anti"))
         if ready.isEmpty():

@@ -150,3 +150,10 @@ def test_nearest_vectors_of_more_queries_than_a_block(spark):
     q = v.selectExpr("doc as qid", "v as q")
     rows = lambda limit: sorted(tuple(r) for r in Q.dense_nearest(v, q, 3, limit).collect())
     assert len(rows(7)) == 120 and rows(7) == rows(100)
+
+
+def test_long_chains_are_walked_to_their_end(spark):
+    chain = spark.range(70).selectExpr("id as src", "id + 1 as dst").coalesce(1)
+    assert G.closure(chain, spark.createDataFrame([(30,)], "seed long")).count() == 41
+    layers, cyclic = G.topological_layers(chain)
+    assert {r.node: r.layer for r in layers.collect()} == {i: i for i in range(71)} and cyclic.isEmpty()
