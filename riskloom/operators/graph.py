@@ -1,27 +1,23 @@
 """Operators on property graphs: nodes and edges are two tables, walks are joins of a frontier with the edges.
 
 A walk keeps the least distance to each node, so that cycles end; each level is one join and one anti-join, and every
-few levels the state is written to the shared checkpoint folder by checkpoint(). The depth of walks is bounded by the caller.
+few levels the state is written to the shared folder and read again. The depth of walks is bounded by the caller.
 """
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from riskloom.operators.storage import stored
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint; a folder is set only where spark.checkpoint.dir is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        where = "file://" + tempfile.mkdtemp(prefix="riskloom-graph-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    """df with its lineage cut by a table in the shared folder."""
+    return stored(df, "cut")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, types: list[str] | None = None, reverse: bool = False) -> DataFrame:
@@ -109,6 +105,32 @@ def topological_layers(edges: DataFrame, depth: int | None = None) -> tuple[Data
     return layers, left
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """members (sorted), path: every simple cycle of a prerequisite graph once for each set of members.
+
+    edges: src before dst. First what stands on no cycle goes, from both ends, until nothing more does. Then paths grow from
+    their least node among the rest and close where they return to it. Paths end when they close or meet themselves, so the
+    number of steps is bounded by the largest cycle; a graph with very many cycles has as many rows.
+    """
+    e = edges.select("src", "dst").distinct()
+    while True:
+        left = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        done = left.count() == e.count()
+        e = left
+        if done:
+            break
+    front = e.where("dst >= src").select(F.array("src").alias("path"), F.col("dst").alias("next"))
+    found = None
+    while not front.isEmpty():
+        closed = front.where("next = path[0]").select(F.array_sort("path").alias("members"), "path")
+        found = closed if found is None else found.unionByName(closed)
+        grown = front.where("next > path[0] and not array_contains(path, next)").select(F.array_append("path", F.col("next")).alias("path"))
+        front = cut(grown.join(e, F.element_at("path", -1) == F.col("src")).where("dst >= path[0]").select("path", F.col("dst").alias("next")))
+    if found is None:
+        found = front.select(F.array_sort("path").alias("members"), "path")
+    return found.groupBy("members").agg(F.min("path").alias("path"))
+
+
 def enclosing(names: DataFrame, known: DataFrame) -> DataFrame:
     """name, symbol: the longest known prefix of each dotted name."""
     prefixes = names.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("name", r"\."))), lambda k: F.array_join(F.slice(F.split("name", r"\."), 1, k), "."))).alias("symbol"))
@@ -145,9 +167,12 @@ def structure_edges(symbols: DataFrame, imports: DataFrame, limit: int = 3) -> D
 
     def resolved(column: str, kind: str) -> DataFrame:
         refs = s.select(F.col("id").alias("src"), "path", "parent", F.explode(column).alias("name")).distinct()
-        hit = refs.join(target, "name").where("src <> target")
         via = imports.select(F.col("importer").alias("path"), F.col("path").alias("tpath")).distinct()
-        tiers = [hit.join(via, ["path", "tpath"]), hit.where("path = tpath and tparent is null"), hit.where("path = tpath and parent = tparent"), hit.where("not ttest and path <> tpath")]
+        near = refs.join(target.withColumn("path", F.col("tpath")), ["name", "path"]).where("src <> target")
+        # of names that more files define than the limit and one allow, no far candidate can count
+        few = target.where("not ttest").groupBy("name").agg(F.countDistinct("tpath").alias("n")).where(F.col("n") <= limit + 1).select("name")
+        far = refs.join(target.join(few, "name", "left_semi"), "name").where("src <> target")
+        tiers = [refs.join(via, "path").join(target, ["name", "tpath"]).where("src <> target"), near.where("tparent is null"), near.where("parent = tparent"), far.where("not ttest and path <> tpath")]
         return resolve_tiers(tiers, ["src", "name"], "target", limit).select("src", F.col("target").alias("dst"), F.lit(kind).alias("type"), "confidence")
 
     return contains.unionByName(files).unionByName(resolved("calls", "calls")).unionByName(resolved("bases", "inherits"))
@@ -170,8 +195,3 @@ def ego_network(edges: DataFrame, seed: str, commits: int = 6, tests: int = 12)
     rn = F.row_number().over(W.partitionBy("kind").orderBy("src", "dst", "type"))
     ranked = e.withColumn("kind", kind).withColumn("_rn", rn)
     return ranked.where((F.col("kind") == "other") | ((F.col("kind") == "commit") & (F.col("_rn") <= commits)) | ((F.col("kind") == "test") & (F.col("_rn") <= tests))).drop("kind", "_rn")
-
-
-def example(spark: SparkSession) -> DataFrame:
-    """A small call graph for documentation and tests."""
-    return spark.createDataFrame([("test_gpa", "gpa", "calls"), ("gpa", "total", "calls"), ("tuition", "total", "calls"), ("late", "invoice", "inherits")], "src string, dst string, type string")

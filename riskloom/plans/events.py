@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators.storage import exists, shared_folder
 from riskloom.plans.registry import query, table
 from riskloom.sources.sinks import prometheus
 from riskloom.streaming import canary as C
@@ -46,8 +47,6 @@ def stage_states(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream(spark: SparkSession, where: str, schema) -> DataFrame:
     """A stream of a table that is one file or a folder of files."""
-    from riskloom.sources.readers import exists
-
     folder, name = where.rsplit("/", 1)
     is_file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     one = exists(spark, where) and is_file.getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)).isFile()
@@ -57,10 +56,7 @@ def _stream(spark: SparkSession, where: str, schema) -> DataFrame:
 
 def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     """The rows of a stream that is run until its input ends, written as tables batch by batch."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="riskloom-stream-")).rstrip("/")
-    import uuid
-
-    out, last = f"{base}/stream-{uuid.uuid4().hex}", [0]
+    out, last = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", [0]
 
     def keep(batch: DataFrame, n: int) -> None:
         last[0] = n

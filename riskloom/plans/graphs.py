@@ -9,12 +9,12 @@ from riskloom.operators import graph as G
 from riskloom.plans.registry import query, table
 
 #: A part is followed by parts of the same order: an edge from each line to the next of its order.
-_E = "e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey AND a.l_returnflag = 'R')"
+_E = "e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")  # noqa: E741
-    a = l.where("l_returnflag = 'R'").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")  # noqa: E741
+    a = l.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
     return a.join(l.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst")), ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct()
 
 
@@ -22,32 +22,34 @@ def _walk_sql(seed: str, depth: int, a: str = "src", b: str = "dst") -> str:
     return f"WITH RECURSIVE {_E}, w(seed, node, d) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE {seed} UNION SELECT seed, {b}, d + 1 FROM w JOIN e ON {a} = node WHERE d < {depth})"
 
 
-@query(f"{_walk_sql('p_partkey IN (1, 2, 3)', 3)} SELECT seed, node, min(d) AS distance FROM w GROUP BY 1, 2 HAVING min(d) > 0")
+@query(f"{_walk_sql('p_partkey % 50 = 0', 3)} SELECT seed, node, min(d) AS distance FROM w GROUP BY 1, 2 HAVING min(d) > 0")
 def callees(spark: SparkSession, d: str) -> DataFrame:
     """Breadth-first search within three steps, the least distance, the start left out."""
-    seeds = table(spark, d, "part").where("p_partkey in (1, 2, 3)").select(F.col("p_partkey").alias("seed"))
+    seeds = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed"))
     return G.walk(edges(spark, d), seeds, 3).select("seed", "node", F.col("distance").cast("int").alias("distance"))
 
 
-@query(f"{_walk_sql('p_partkey IN (4, 5)', 2, 'dst', 'src')} SELECT seed, node, min(d) AS distance FROM w GROUP BY 1, 2 HAVING min(d) > 0")
+@query(f"{_walk_sql('p_partkey % 50 = 0', 2, 'dst', 'src')} SELECT seed, node, min(d) AS distance FROM w GROUP BY 1, 2 HAVING min(d) > 0")
 def callers(spark: SparkSession, d: str) -> DataFrame:
     """The same against the edges: who reaches a node."""
-    seeds = table(spark, d, "part").where("p_partkey in (4, 5)").select(F.col("p_partkey").alias("seed"))
+    seeds = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed"))
     return G.walk(edges(spark, d), seeds, 2, reverse=True).select("seed", "node", F.col("distance").cast("int").alias("distance"))
 
 
-@query(f"WITH RECURSIVE {_E}, f(node, d) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey IN (6, 7) UNION SELECT dst, d + 1 FROM f JOIN e ON src = node WHERE d < 2), b(node, d) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey IN (6, 7) UNION SELECT src, d + 1 FROM b JOIN e ON dst = node WHERE d < 2) SELECT node, min(d) AS distance FROM (SELECT * FROM f UNION ALL SELECT * FROM b) GROUP BY 1")
+@query(f"WITH RECURSIVE {_E}, f(node, d) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 50 = 0 UNION SELECT dst, d + 1 FROM f JOIN e ON src = node WHERE d < 2), b(node, d) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 50 = 0 UNION SELECT src, d + 1 FROM b JOIN e ON dst = node WHERE d < 2) SELECT node, min(d) AS distance FROM (SELECT * FROM f UNION ALL SELECT * FROM b) GROUP BY 1")
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     """Two hops around several seeds, directions not mixed; seed -1 is unknown and ignored."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    seeds = spark.createDataFrame([(-1,), (6,), (7,)], "seed long")
+    seeds = part.where("id % 50 = 0").select(F.col("id").alias("seed")).unionAll(spark.createDataFrame([(-1,)], "seed long"))
     return G.neighbourhood(edges(spark, d), part, seeds, 2).select("node", F.col("distance").cast("int").alias("distance"))
 
 
-@query(f"WITH {_E} SELECT src AS node, count(*) AS n_out, count(DISTINCT dst) AS n_distinct FROM e GROUP BY 1")
+@query("WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst, l_returnflag AS type FROM lineitem WHERE l_returnflag IN ('R', 'A')), s AS (SELECT p_partkey AS seed FROM part) SELECT seed, count(*) AS n_out, count(DISTINCT dst) AS n_distinct FROM e JOIN s ON src = seed GROUP BY 1")
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours of every node."""
-    return edges(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.countDistinct("dst").alias("n_distinct"))
+    """Neighbours of every part over edges of two types; parallel edges stay."""
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("type"))
+    seeds = table(spark, d, "part").select(F.col("p_partkey").alias("seed"))
+    return G.neighbours(e, seeds, ["R", "A"]).groupBy("seed").agg(F.count("*").alias("n_out"), F.countDistinct("node").alias("n_distinct"))
 
 
 @query(f"WITH RECURSIVE {_E}, w(node, path) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)] UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN e ON src = node WHERE len(path) <= 3 AND NOT list_contains(path, dst)) SELECT CAST(min(len(path)) - 1 AS INTEGER) AS hops FROM w WHERE node = (SELECT max(node) FROM (SELECT DISTINCT node FROM w WHERE len(path) = 3))")
@@ -68,12 +70,12 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return one("part").unionAll(one("supplier")).unionAll(one("nation")).unionAll(o).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("WITH RECURSIVE r AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1), w(seed, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_size = 1 UNION SELECT seed, dst FROM w JOIN r ON src = node) SELECT seed, node FROM w")
+@query("WITH RECURSIVE r AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1), w(seed, node) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT seed, dst FROM w JOIN r ON src = node) SELECT seed, node FROM w")
 def path_aliases(spark: SparkSession, d: str) -> DataFrame:
     """The transitive closure of renames."""
     p = table(spark, d, "part")
     r = p.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
-    return G.closure(r, p.where("p_size = 1").select(F.col("p_partkey").alias("seed")))
+    return G.closure(r, p.select(F.col("p_partkey").alias("seed")))
 
 
 @query("WITH RECURSIVE r AS (SELECT p_partkey // 3 AS src, p_partkey AS dst FROM part WHERE p_partkey > 2), w(node, layer) AS (SELECT DISTINCT src, 0 FROM r WHERE src NOT IN (SELECT dst FROM r) UNION SELECT dst, layer + 1 FROM w JOIN r ON src = node) SELECT node, max(layer) AS layer FROM w GROUP BY 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import rename_side
 from riskloom.functions.text import classify_fix
+from riskloom.operators.storage import exists
 from riskloom.schemas import schema
 
 RECORD, FIELD = "\x1e", "\x1f"
@@ -46,13 +47,6 @@ def tracker(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(schema(kind)).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], schema(kind))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in whatever store Spark reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def coverage(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, imports) of file, line, context: (file, line, test_id) once each, the phase after | cut; lines without a context."""
     test = F.substring_index("context", "|", 1)
