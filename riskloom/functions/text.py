@@ -15,7 +15,7 @@ CLOSING_REF = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s+#(\d+)"
 FIX_WORDS = r"(?i)\b(fix(?:e[sd]|ing)?|bug(?:fix)?|defect|regression|hotfix|patch(?:ed)?)\b"
 SENTENCE_SPLIT = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])"
 CITATION = r"\[([^\[\]]+)\]"
-COMMENT_OR_STRING = "(?sm)#[^\\n]*$|\"\"\".*?\"\"\"|'''.*?'''|\"[^\"\\n]*\"|'[^'\\n]*'"
+COMMENT_OR_STRING = "(?sm)#.*$|\"\"\".*?\"\"\"|'''.*?'''|\"[^\"\\n]*\"|'[^'\\n]*'"
 SECRET_RULES = {
     "aws-access-key": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b",
     "github-token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
@@ -29,6 +29,8 @@ SECRET_RULES = {
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
 }
 ASSIGNED_SECRET = r"""(?i)\b(password|passwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret)\b\s*[:=]\s*["']([^"'\s]{12,})["']"""
+#: The same with three groups: what stands before the value, the value's name, what stands after it.
+ASSIGNED_VALUE = r"""(?i)(\b(?:password|passwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret)\b\s*[:=]\s*["'])([^"'\s]{12,})(["'])"""
 PLACEHOLDER = r"(?i)(example|placeholder|dummy|changeme|xxxx|your[_-]|<.*>|\$\{|os\.environ|getenv)"
 INJECTION_RULES = [
     ("override", r"(?i)\b(ignore|disregard|forget|override)\b[^.\n]{0,40}\b(previous|prior|above|earlier|all|system|your)\b[^.\n]{0,20}\b(instructions?|prompts?|rules?|guidelines?)"),
@@ -125,8 +127,7 @@ def redact(text: Column) -> Column:
     """The text with its secrets replaced; of an assignment only the value."""
     for pattern in SECRET_RULES.values():
         text = F.regexp_replace(text, pattern, REDACTED)
-    parts = ASSIGNED_SECRET.removeprefix("(?i)").split("([^")
-    return F.regexp_replace(text, "(?i)(" + parts[0] + ")[^" + parts[1].replace("{12,})", "{12,}(") + ")", "$1" + REDACTED + "$3")
+    return F.regexp_replace(text, ASSIGNED_VALUE, "$1" + REDACTED + "$3")
 
 
 def injections(text: Column) -> Column:
@@ -135,6 +136,11 @@ def injections(text: Column) -> Column:
     return F.concat(*(F.transform(find_all(F.coalesce(text, F.lit("")), p), hit(kind)) for kind, p in INJECTION_RULES))
 
 
+def code_injections(source: Column) -> Column:
+    """The injections in the comments and strings of a source; a # runs to the end of the text, as the pattern has it."""
+    return F.flatten(F.transform(comments_and_strings(F.coalesce(source, F.lit(""))), injections))
+
+
 def neutralise(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     for _, pattern in INJECTION_RULES:
@@ -184,7 +190,7 @@ def evidence_label(evidence: Column) -> Column:
     return F.substring_index(F.substring_index(evidence, "::", -1), "/", -1)
 
 
-def parse_command(body: Column, name: str = "sentinel") -> Column:
+def parse_command(body: Column, name: str) -> Column:
     """struct(verb, argument) of the first line /name verb argument; nulls if there is none."""
     pattern = rf"(?im)^\s*/{name}\s+(\w+)[ \t]*(.*)$"
     verb = F.nullif(F.lower(F.regexp_extract(body, pattern, 1)), F.lit(""))

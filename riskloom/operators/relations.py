@@ -39,9 +39,13 @@ def latest_per(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, tie)).alias("_r")).select(key, "_r.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of new in place of those with the same keys; of several new ones any that differ are an error of the caller."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """old with the rows of new in place of those with the same keys; of several new ones the last by `order`, or the last read."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    rest = F.struct(*(F.col(c) for c in new.columns if c not in keys)) if len(new.columns) > len(keys) else F.lit(0)
+    last = new.withColumn("_at", at).groupBy(*keys).agg(F.max_by(rest, "_at").alias("_r"))
+    last = last.select(*keys, "_r.*") if len(new.columns) > len(keys) else last.select(*keys)
+    return old.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*new.columns))
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
@@ -143,3 +147,14 @@ def round_robin(rows: DataFrame, key: str, line: str, limit: int, *order: str) -
     within = F.row_number().over(W.partitionBy(key, line).orderBy(*order))
     ranked = rows.withColumn("_round", within)
     return ranked.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy("_round", line))).where(F.col("_rn") <= limit).drop("_round", "_rn")
+
+
+def set_print(df: DataFrame, key: str, item: str, digits: int = 16) -> DataFrame:
+    """key, print: a digest of each key's items that does not depend on their order.
+
+    Items are dealt by the first byte of their own digest; each part is digested in order, then the parts of a key.
+    """
+    part = F.left(F.sha2(item, 256), F.lit(2))
+    parts = df.groupBy(key, part.alias("_b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "\n"), 256).alias("_h"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.concat("_b", "_h"))), "\n")
+    return parts.groupBy(key).agg(F.left(F.sha2(whole, 256), F.lit(digits)).alias("print"))

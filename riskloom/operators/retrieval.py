@@ -1,42 +1,78 @@
 """Retrieval: BM25, hashed vectors, nearest neighbours, TF-IDF reranking and rank fusion, for many queries at once.
 
-Postings are a table (doc, term, tf); a query is a table too (qid, term, n). Only the postings of query terms meet the
-queries. Top rows come from window ranks by query, so that nothing is collected.
+Postings are a table (doc, term, tf, len); a query is a table too (qid, term, n). Only the postings of query terms meet the
+queries. Top rows come from window ranks by query, so that nothing is collected. An index is stored under a name made
+from its texts, and used again as long as they are the same.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from riskloom.functions.text import tokenize
+from riskloom.functions.text import TOKEN, cited, find_all, injections, tokenize
+from riskloom.operators.graph import cut
+from riskloom.operators.storage import exists, shared_folder
+from riskloom.session import importable
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
+def token_counts(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, term, n of the tokens of every text that has any.
+
+    Each different raw token is split and stemmed once; texts meet this dictionary by a join.
+    """
+    raw = docs.select(*keys, F.explode(find_all(F.coalesce(F.col(text), F.lit("")), TOKEN)).alias("_raw")).groupBy(*keys, "_raw").agg(F.count("*").alias("_n"))
+    words = raw.select("_raw").distinct().select("_raw", F.explode(tokenize(F.col("_raw"))).alias("term")).groupBy("_raw", "term").agg(F.count("*").alias("_m"))
+    return raw.join(words, "_raw").groupBy(*keys, "term").agg(F.sum(F.col("_n") * F.col("_m")).alias("n"))
+
+
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, term, tf."""
-    return docs.select(F.col(doc).alias("doc"), F.explode(tokenize(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    """doc, term, tf, len (the tokens of the document)."""
+    terms = token_counts(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), ["doc"], "text")
+    return terms.select("doc", "term", F.col("n").alias("tf"), F.sum("n").over(W.partitionBy("doc")).alias("len"))
+
+
+def text_print(docs: DataFrame, doc: str, text: str) -> str:
+    """A name for a set of texts that does not depend on their order."""
+    h = F.xxhash64(F.col(doc).cast("string"), text)
+    a = docs.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("x")).first()
+    return hashlib.sha256(f"{a.n} {a.s} {a.x}".encode()).hexdigest()[:24]
+
+
+def saved_index(docs: DataFrame, doc: str, text: str, kind: str = "postings", make: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
+    """The index of these texts from the shared folder; it is made (postings, unless another way is given) where it is not there."""
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/index-{kind}-{text_print(docs, doc, text)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        (make or postings)(docs, doc, text).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bm25(index: DataFrame, queries: DataFrame, k: int, n_docs: int | None = None) -> DataFrame:
     """qid, doc, score, rank of the best k documents of each query with a positive score, ties by doc.
 
-    index: doc, term, tf; queries: qid, term, n (a repeated term counts repeatedly; unknown ones not at all). The
+    index: doc, term, tf, len; queries: qid, term, n (a repeated term counts repeatedly; unknown ones not at all). The
     average length is over documents with tokens unless n_docs says how many there are.
     """
-    lengths = index.groupBy("doc").agg(F.sum("tf").alias("len"))
-    total = lengths.agg(F.sum("len").alias("s"), (F.lit(n_docs) if n_docs is not None else F.count("*")).alias("n_docs"))
+    total = index.groupBy("doc").agg(F.first("len").alias("len")).agg(F.sum("len").alias("s"), (F.lit(n_docs) if n_docs is not None else F.count("*")).alias("n_docs"))
     total = total.select("n_docs", (F.col("s") / F.col("n_docs")).alias("avg"))
     wanted = queries.select("term").distinct()
-    hits = index.join(wanted, "term")
+    hits = index.join(wanted, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     terms = queries.join(df, "term").join(F.broadcast(total)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = F.when(F.col("avg") > 0, K1 * (1 - B + B * F.col("len") / F.col("avg"))).otherwise(K1)
-    parts = hits.join(lengths, "doc").join(terms, "term").select("qid", "doc", (F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
+    parts = hits.join(terms, "term").select("qid", "doc", (F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
     scores = parts.groupBy("qid", "doc").agg(F.sum("part").alias("score")).where("score > 0")
     return best(scores, k)
 
@@ -76,16 +112,45 @@ def dense_nearest(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 1
     """qid, doc, score, rank: exact nearest neighbours of a stated query set by cosine.
 
     vectors: doc, v; queries: qid, q. A query set of more than `limit` rows is dealt by hash into blocks of about `limit`
-    rows; each is broadcast, and every partition keeps its own best k of a block before the shuffle.
+    rows. A block's queries go to every task as one matrix, which meets each batch of vectors in one product; a
+    task keeps its own best k of every query (ties by doc), so that k rows a task and query reach the shuffle.
     """
-    unit = vectors.select("doc", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("nv"))
-    qs = queries.select("qid", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("nq"))
-    n = F.col("nv") * F.col("nq")
-    scores = lambda part: unit.join(F.broadcast(part)).select("qid", "doc", F.when(n > 0, dot(F.col("v"), F.col("q")) / n).otherwise(0.0).alias("score"))
     blocks = max(1, -(-queries.count() // limit))
-    parts = [qs] if blocks == 1 else [qs.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)]
-    # a window group limit keeps k rows for each query in every partition before the exchange
-    return reduce(DataFrame.unionAll, (best(scores(part), k) for part in parts))
+    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)]
+    importable(vectors.sparkSession)
+    schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField("doc", vectors.schema["doc"].dataType), StructField("score", DoubleType())])
+
+    def near(part: DataFrame) -> DataFrame:
+        rows = part.select("qid", "q").collect()
+        if not rows:
+            return vectors.sparkSession.createDataFrame([], schema)
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.qid for r in rows], _unit(np.array([r.q for r in rows], np.float64))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q = shared.value
+            docs: list = [[] for _ in qids]
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    own = batch.slice(at, 1024)
+                    names = own.column("doc").to_pylist()
+                    scores = q @ _unit(np.array(own.column("v").to_pylist(), np.float64)).T
+                    few = min(k, len(names))
+                    least = np.partition(scores, len(names) - few, axis=1)[:, len(names) - few] - 1e-9
+                    for i, j in zip(*np.nonzero(scores >= least[:, None]), strict=True):
+                        docs[i].append((-round(float(scores[i, j]), 9), names[j], float(scores[i, j])))
+                    docs = [sorted(d)[:k] for d in docs]
+            rows = [(qid, d[1], d[2]) for qid, own in zip(qids, docs, strict=True) for d in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(to_arrow_schema(schema))], schema=to_arrow_schema(schema))
+
+        return vectors.select("doc", "v").mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionAll, (best(near(part), k) for part in parts))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows of zeros stay."""
+    n = np.linalg.norm(m, axis=1, keepdims=True) if len(m) else np.ones((0, 1))
+    return m / np.where(n > 0, n, 1)
 
 
 def fuse(rankings: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
@@ -119,7 +184,125 @@ def minmax(score: Column, by: str = "qid") -> Column:
     return F.when(span > 0, (score - F.min(score).over(w)) / span).otherwise(0.5)
 
 
+#: The rankings of each mode, and what an answer needs.
+MODES = {"lexical": ["search", "bm25"], "dense": ["dense"], "graph": ["graph"], "hybrid": ["graph", "search", "bm25", "dense"]}
+MIN_SUPPORT, REPLY_BOOST, LEAST_SENTENCE = 0.34, 0.25, 20
+REFUSAL = "I can't find that in this repository."
+INJECTION_REFUSAL = "I can only answer questions about this repository's code and history."
+NO_TERMS = ["why", "what", "where", "when", "how", "does", "code", "function"]
+LOCATION_QUESTION = r"(?i)^\s*(where|which (code|modules?|functions?)|what (calls|uses|depends))\b"
+
+
 def hybrid(fused: DataFrame, reranked: DataFrame, k: int) -> DataFrame:
-    """qid, doc, score, rank: half the scaled fusion score and half the scaled reranking score."""
-    both = fused.select("qid", F.col("doc").cast("string").alias("doc"), F.col("score").alias("f")).join(reranked.select("qid", "doc", F.col("score").alias("r")), ["qid", "doc"])
-    return best(both.select("qid", "doc", F.round(0.5 * minmax(F.round("f", 12)) + 0.5 * minmax(F.round("r", 12)), 4).alias("score")), k)
+    """qid, doc, score, rank: half the scaled fusion score and half the scaled reranking score, ties by fusion rank.
+
+    fused: qid, doc, score, rank; reranked: qid, doc, score.
+    """
+    both = fused.select("qid", F.col("doc").cast("string").alias("doc"), F.col("score").alias("f"), F.col("rank").alias("place")).join(reranked.select("qid", "doc", F.col("score").alias("r")), ["qid", "doc"])
+    blend = both.select("qid", "doc", "place", (0.5 * minmax(F.round("f", 12)) + 0.5 * minmax(F.round("r", 12))).alias("score"))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "place"))
+    return blend.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "doc", F.round("score", 4).alias("score"), "rank")
+
+
+def retrieve(rankings: dict[str, DataFrame], queries: DataFrame, index: DataFrame, k: int = 10, mode: str = "hybrid") -> DataFrame:
+    """qid, doc, score, rank, sources of the k best documents by the rankings of a mode.
+
+    rankings: by name (graph, search, bm25, dense) qid, doc, rank; those that are not there are left out. Each counts as far
+    as a pool of 3 k places (20 at least); the fused pool is reranked against the query. A mode without rankings is an error.
+    """
+    pool = max(3 * k, 20)
+    named = [rankings[n].select("qid", F.lit(n).alias("source"), "doc", "rank").where(F.col("rank") <= pool) for n in MODES[mode] if n in rankings]
+    fused = cut(best(fuse(reduce(DataFrame.unionByName, named)), pool))
+    terms = fused.select("qid", "doc").join(index.select("doc", "term", "tf"), "doc")
+    every = fused.select("qid", F.col("doc").cast("string").alias("doc"), "sources")
+    scores = rerank(queries, terms)
+    blank = every.join(scores, ["qid", "doc"], "left").select("qid", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return hybrid(fused, blank, k).join(every, ["qid", "doc"])
+
+
+def graph_ranking(distances: DataFrame, chunks: DataFrame) -> DataFrame:
+    """qid, doc, rank: the chunks of the nodes around a query's seeds, nearest first; distances: qid, node, distance; chunks: node, doc."""
+    near = distances.join(chunks, "node").groupBy("qid", "doc").agg(F.min(F.struct("distance", "node")).alias("o"))
+    return near.select("qid", "doc", F.row_number().over(W.partitionBy("qid").orderBy("o", "doc")).alias("rank"))
+
+
+def question_terms(question: Column) -> Column:
+    """The tokens by which a question is grounded: longer than two letters, no question words."""
+    return F.filter(F.array_distinct(tokenize(question)), lambda t: (F.length(t) > 2) & ~t.isin(NO_TERMS))
+
+
+def support_of(terms: Column, text: Column) -> Column:
+    return F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.array_intersect(terms, tokenize(text))) / F.nullif(F.size(terms), F.lit(0)))
+
+
+def best_statement(text: Column, terms: Column) -> Column:
+    """The sentence that has most of the terms, from the second line on; replies ("name: ...", from the third line) get a boost.
+
+    File and function lines, questions and short sentences are left out; of equals the first; null if nothing scores.
+    """
+    lines = F.slice(F.split(text, "\n"), 2, 1 << 30)
+    reply = lambda line: F.exists(F.array(F.left(line, F.lit(40))), lambda h: h.contains(": "))
+    of = lambda line, i: F.transform(F.split(line, r"(?<=[.!?])\s+"), lambda s: F.struct(F.trim(s).alias("s"), i.alias("i")))
+    prose = F.transform(lines, lambda line, i: F.when(line.startswith("files:") | line.startswith("functions:"), F.expr("cast(array() as array<struct<s:string,i:int>>)")).otherwise(of(line, i)))
+    kept = F.filter(F.flatten(prose), lambda x: (F.length(x["s"]) >= LEAST_SENTENCE) & ~x["s"].endswith("?"))
+    boost = lambda x: F.when((x["i"] >= 1) & reply(x["s"]), REPLY_BOOST).otherwise(0.0)
+    scored = F.transform(kept, lambda x, k: F.struct((support_of(terms, x["s"]) + boost(x)).alias("score"), (-k).alias("k"), x["s"].alias("s")))
+    top = F.array_max(scored)
+    return F.when(top["score"] > 0, top["s"])
+
+
+def answers(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """qid, answer, citations, refused, support of every question.
+
+    questions: qid, question; contexts: qid, doc, kind (code or else), text, rank. A context grounds a question if it has
+    the share MIN_SUPPORT of its terms. A number in the question that no grounding context has refuses it, as does a
+    prompt injection. Questions for a place name up to three pieces of code; others quote the best statements of the first three
+    histories and name the first code, application before tests.
+    """
+    q = questions.select("qid", "question", question_terms(F.col("question")).alias("terms"), find_all(F.col("question"), r"\b\d{2,}\b").alias("numbers"), (F.size(injections(F.col("question"))) > 0).alias("injected"))
+    c = q.join(contexts, "qid").withColumn("share", support_of(F.col("terms"), F.col("text"))).where(F.col("share") >= MIN_SUPPORT)
+    c = c.withColumn("numbered", F.exists("numbers", lambda n: F.col("text").contains(n)))
+    code = F.col("kind") == "code"
+    place = F.row_number().over(W.partitionBy("qid", code).orderBy(F.when(code, F.col("doc").contains("chunk:tests/").cast("int")).otherwise(0), "rank", "doc"))
+    c = c.withColumn("place", place).withColumn("any_number", F.max("numbered").over(W.partitionBy("qid"))).withColumn("top", F.max("share").over(W.partitionBy("qid")))
+    head = F.replace(F.substring_index("text", "\n", 1), F.lit("# file: "), F.lit(""))
+    cite = lambda x: F.concat(x, F.lit(" ["), "doc", F.lit("]"))
+    quote = F.when(~code, cite(best_statement(F.col("text"), F.col("terms")))).when(F.col("place") == 1, F.concat(F.lit("The relevant code is "), cite(head), F.lit(".")))
+    parts = c.where("place <= 3").select("qid", "any_number", "top", F.struct(code.alias("last"), "place", quote.alias("quote"), F.when(code, cite(head)).alias("spot"), "doc").alias("p"))
+    g = parts.groupBy("qid").agg(F.array_sort(F.collect_list("p")).alias("p"), F.max("any_number").alias("any_number"), F.max("top").alias("top"))  # six parts at most
+    spots = F.array_compact(F.transform("p", lambda x: x["spot"]))
+    quotes = F.array_distinct(F.array_compact(F.transform("p", lambda x: x["quote"])))
+    located = F.col("question").rlike(LOCATION_QUESTION) & (F.size(spots) > 0)
+    text = F.when(located, F.concat(F.lit("See "), F.array_join(spots, "; "), F.lit("."))).otherwise(F.nullif(F.array_join(quotes, " "), F.lit("")))
+    fine = ~F.col("injected") & ((F.size("numbers") == 0) | F.coalesce("any_number", F.lit(False)))
+    out = q.join(g, "qid", "left").withColumn("text", F.when(fine, text))
+    answer = F.coalesce("text", F.when(F.col("injected"), INJECTION_REFUSAL).otherwise(REFUSAL))
+    return out.select("qid", answer.alias("answer"), F.array_sort(F.array_distinct(F.when(F.col("text").isNotNull(), cited(F.col("text"))).otherwise(F.array().cast("array<string>")))).alias("citations"), F.col("text").isNull().alias("refused"), F.coalesce("top", F.lit(0.0)).alias("support"))
+
+
+#: Fixed value: files and functions that a commit's document names.
+NAMED = 12
+
+
+def commit_documents(commits: DataFrame) -> DataFrame:
+    """id, kind, ref, title, text of commits (sha, author, message, files: array of paths, functions: array of names)."""
+    short = F.left("sha", F.lit(10))
+    named = lambda c: F.array_join(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, NAMED), ", ")
+    text = F.concat(F.lit("commit "), short, F.lit(" by "), "author", F.lit("\n"), "message", F.lit("\nfiles: "), named("files"), F.lit("\nfunctions: "), named("functions"))
+    return commits.select(F.concat(F.lit("commit:"), short).alias("id"), F.lit("commit").alias("kind"), F.col("sha").alias("ref"), F.substring_index("message", "\n", 1).alias("title"), text.alias("text"))
+
+
+def _thread(replies: Column) -> Column:
+    return F.array_join(F.transform(F.coalesce(replies, F.expr("cast(array() as array<struct<author:string,body:string>>)")), lambda x: F.concat(x["author"], F.lit(": "), x["body"])), "\n")
+
+
+def issue_documents(issues: DataFrame) -> DataFrame:
+    """The same of issues (number, title, body, labels: array, comments: array of author, body)."""
+    text = F.concat(F.lit("issue #"), F.col("number").cast("string"), F.lit(" ["), F.array_join("labels", ", "), F.lit("] "), "title", F.lit("\n"), "body", F.lit("\n"), _thread(F.col("comments")))
+    return issues.select(F.concat(F.lit("issue:"), F.col("number").cast("string")).alias("id"), F.lit("issue").alias("kind"), F.col("number").cast("string").alias("ref"), "title", text.alias("text"))
+
+
+def request_documents(requests: DataFrame) -> DataFrame:
+    """The same of pull requests (number, title, body, reviews: array of author, body)."""
+    text = F.concat(F.lit("pull request #"), F.col("number").cast("string"), F.lit(" "), "title", F.lit("\n"), "body", F.lit("\n"), _thread(F.col("reviews")))
+    return requests.select(F.concat(F.lit("pr:"), F.col("number").cast("string")).alias("id"), F.lit("pr").alias("kind"), F.col("number").cast("string").alias("ref"), "title", text.alias("text"))

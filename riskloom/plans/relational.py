@@ -86,7 +86,7 @@ def claim_status(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT l_partkey AS issue, l_suppkey AS pr FROM lineitem")
 def issue_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of issues and changes, once each."""
-    return R.link_pairs(table(spark, d, "lineitem").groupBy("l_partkey").agg(F.collect_list("l_suppkey").alias("refs")), "l_partkey", "refs").select(F.col("l_partkey").alias("issue"), F.col("ref").alias("pr"))
+    return R.link_pairs(table(spark, d, "lineitem").select("l_partkey", F.array("l_suppkey").alias("refs")), "l_partkey", "refs").select(F.col("l_partkey").alias("issue"), F.col("ref").alias("pr"))
 
 
 @query("""WITH a AS (SELECT p_partkey AS caller, p_brand AS name, p_size % 5 AS hint FROM part), t AS (SELECT a.caller, b.p_partkey AS target, 0 AS tier FROM a JOIN part b ON b.p_brand = a.name AND b.p_size = a.hint AND b.p_partkey <> a.caller UNION ALL SELECT a.caller, b.p_partkey, 1 FROM a JOIN part b ON b.p_brand = a.name AND b.p_size = a.hint + 10 AND b.p_partkey <> a.caller),

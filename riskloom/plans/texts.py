@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as S
 from riskloom.functions import text as X
+from riskloom.operators.relations import set_print
+from riskloom.operators.retrieval import token_counts
 from riskloom.plans.registry import query, table
 
 
@@ -29,8 +31,8 @@ tok AS (SELECT k, w FROM st UNION ALL SELECT k, low FROM sp WHERE len(p) > 1)
 @query(f"WITH {TOKENS_SQL.format(key='doc_id', table='documents')} SELECT k AS doc_id, count(*) AS n_tokens, count(DISTINCT w) AS n_distinct FROM tok GROUP BY 1")
 def code_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers split, stop words dropped, parts stemmed."""
-    t = table(spark, d, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
-    return t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
+    t = token_counts(table(spark, d, "documents"), ["doc_id"], "text")
+    return t.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_distinct"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) AS n_tokens, len(regexp_extract_all(text, '\b(AKIA|ASIA)[0-9A-Z]{16}\b')) AS n_keys, regexp_replace(regexp_replace(text, '\b(AKIA|ASIA)[0-9A-Z]{16}\b', '[REDACTED-SECRET]', 'g'), '(token = ")[0-9a-f]{40}(")', '\1[REDACTED-SECRET]\2', 'g') AS redacted FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"|\b(AKIA|ASIA)[0-9A-Z]{16}\b')""")
@@ -62,12 +64,12 @@ def rule_hits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"(?i)(^|[^A-Za-z])(the|und|que|des)([^A-Za-z]|$)")).alias("hits"))
 
 
-@query(r"""WITH c AS (SELECT c_custkey AS id, 'Fix ' || CASE WHEN c_custkey % 3 = 0 THEN 'closes #' || (c_custkey % 50) || ' ' ELSE '(#' || (c_custkey % 40) || ') ' END || c_mktsegment AS message FROM customer)
-SELECT id, regexp_extract(message, '(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s+#([0-9]+)', 1) AS closes, id % 3 <> 0 OR true AS is_fix FROM c""")
+@query(r"""WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 1 THEN 'Add ' ELSE 'Fix ' END || CASE WHEN c_custkey % 3 = 0 THEN 'closes #' || (c_custkey % 50) || ' ' ELSE '(#' || (c_custkey % 40) || ') ' END || c_mktsegment AS message FROM customer)
+SELECT id, regexp_extract(message, '(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s+#([0-9]+)', 1) AS closes, regexp_matches(message, '(?i)\b(fix(?:e[sd]|ing)?|bug(?:fix)?|defect|regression|hotfix|patch(?:ed)?)\b') AS is_fix FROM c""")
 def fix_messages(spark: SparkSession, d: str) -> DataFrame:
     """Closing references and fix words of messages."""
     k = F.col("c_custkey")
-    message = F.concat(F.lit("Fix "), F.when(k % 3 == 0, F.concat(F.lit("closes #"), (k % 50).cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("(#"), (k % 40).cast("string"), F.lit(") "))), F.col("c_mktsegment"))
+    message = F.concat(F.when(k % 4 == 1, "Add ").otherwise("Fix "), F.when(k % 3 == 0, F.concat(F.lit("closes #"), (k % 50).cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("(#"), (k % 40).cast("string"), F.lit(") "))), F.col("c_mktsegment"))
     c = table(spark, d, "customer").select(k.alias("id"), message.alias("message"))
     fix = X.classify_fix(F.col("message"))
     return c.select("id", F.array_join(fix["issues"].cast("array<string>"), ",").alias("closes"), fix["is_fix"].alias("is_fix"))
@@ -83,7 +85,7 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
 SELECT q.k AS item_id, s.k AS doc_id, round(CAST(count(*) AS DOUBLE) / n, 4) AS share FROM q JOIN s ON q.w = s.w JOIN n ON n.k = q.k GROUP BY 1, 2, n HAVING CAST(count(*) AS DOUBLE) / n >= 0.25""")
 def lexical_support(spark: SparkSession, d: str) -> DataFrame:
     """The share of a claim's tokens in each source, through a join on tokens."""
-    of = lambda df, key: df.select(key, F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("w"))
+    of = lambda df, key: token_counts(df, [key], "text").select(key, F.col("term").alias("w"))
     q = of(table(spark, d, "benchmark"), "item_id")
     s = of(table(spark, d, "documents"), "doc_id")
     n = q.groupBy("item_id").agg(F.count("*").alias("n"))
@@ -124,10 +126,11 @@ def text_entropy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.round(S.text_entropy(F.col("text")), 4).alias("entropy"))
 
 
-@query("SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR)))[:16] AS print FROM documents GROUP BY 1")
+@query("WITH b AS (SELECT source, left(sha256(CAST(doc_id AS VARCHAR)), 2) AS b, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS h FROM documents GROUP BY 1, 2) SELECT source, left(sha256(string_agg(b || h, chr(10) ORDER BY b)), 16) AS print FROM b GROUP BY 1")
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of sets of files that do not depend on their order."""
-    return table(spark, d, "documents").groupBy("source").agg(S.fingerprint(F.collect_list(F.col("doc_id").cast("string"))).alias("print"))
+    """Digests of sets of files that do not depend on their order, by way of 256 parts each."""
+    ids = table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("id"))
+    return set_print(ids, "source", "id")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
