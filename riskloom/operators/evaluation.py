@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskloom.operators.ordering import ranked, running
+from riskloom.session import importable
+
+#: Terms of a binomial tail that one row stands for until they are summed.
+TAIL = 100_000
 
 
 def bin_of(p: Column, bins: int = 10) -> Column:
@@ -36,6 +47,11 @@ def curve(df: DataFrame, score: str = "score", label: str = "label", group: list
     if not keys:
         whole = df.agg(F.coalesce(F.sum((F.col(label) == 1).cast("bigint")), F.lit(0)).alias("n_pos"), F.coalesce(F.sum((F.col(label) == 0).cast("bigint")), F.lit(0)).alias("n_neg"))
         return running(per, [F.desc(score)], {"tp": "pos", "fp": "neg"}).join(F.broadcast(whole)).select(score, "pos", "neg", "tp", "fp", "n_pos", "n_neg")
+    return _cumulated(per, keys, score)
+
+
+def _cumulated(per: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Counts at or above every score of each group; per: a row for each group and score, with pos and neg."""
     own, order = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(F.desc(score))
     return per.select(*keys, score, "pos", "neg", F.sum("pos").over(order).alias("tp"), F.sum("neg").over(order).alias("fp"), F.sum("pos").over(own).alias("n_pos"), F.sum("neg").over(own).alias("n_neg"))
 
@@ -45,8 +61,10 @@ def ranking_scores(df: DataFrame, score: str = "score", label: str = "label", gr
 
     ROC AUC counts ties half; PR AUC is the sum of recall steps times precision.
     """
-    keys = group or []
-    c = curve(df, score, label, group)
+    return _ranked_scores(curve(df, score, label, group), group or [], max_fpr)
+
+
+def _ranked_scores(c: DataFrame, keys: list[str], max_fpr: float = 0.05) -> DataFrame:
     fine = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     auc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)) / F.max(F.col("n_pos") * F.col("n_neg").cast("double"))
     ap = F.sum(F.col("pos") / F.col("n_pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
@@ -64,20 +82,25 @@ def set_scores(predicted: Column, actual: Column) -> Column:
     return F.struct(precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), hit.alias("hit"))
 
 
-def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """One row only_a, only_b, p: the exact two-sided test of two methods' rightness on the same rows.
+def _log_factorial(n: Column) -> Column:
+    """ln(n!): exact up to 20, beyond that Stirling's series, whose error is under 1e-12."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
+def mcnemar(pairs: DataFrame, a: str, b: str, group: list[str] | None = None) -> DataFrame:
+    """group, only_a, only_b, p: the exact two-sided test of two methods' rightness on the same rows.
 
-    The binomial tail is a sum over logarithms of factorials, a running sum of ln(i), so it needs no large numbers.
+    The binomial tail is a sum over logarithms of factorials, term by term, dealt over the tasks by range.
     """
-    n = pairs.agg(F.count_if(F.col(a) & ~F.col(b)).alias("only_a"), F.count_if(~F.col(a) & F.col(b)).alias("only_b"))
+    keys = group or []
+    n = pairs.groupBy(*keys).agg(F.count_if(F.col(a) & ~F.col(b)).alias("only_a"), F.count_if(~F.col(a) & F.col(b)).alias("only_b"))
     total, low = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    steps = n.select("*", F.explode(F.sequence(F.lit(0), F.greatest(total, F.lit(0)))).alias("i"))
-    steps = steps.withColumn("lf", F.sum(F.when(F.col("i") > 0, F.log(F.col("i").cast("double"))).otherwise(0.0)).over(W.partitionBy("only_a", "only_b").orderBy("i")))
-    whole = steps.withColumn("ln", F.max("lf").over(W.partitionBy("only_a", "only_b")))
-    other = whole.select(F.col("i").alias("j"), F.col("lf").alias("lj"))
-    tail = whole.join(other, F.col("j") == total - F.col("i")).where(F.col("i") <= low)
-    p = F.sum(F.exp(F.col("ln") - F.col("lf") - F.col("lj") - total * F.log(F.lit(2.0))))
-    return tail.groupBy("only_a", "only_b").agg(F.least(2 * p, F.lit(1.0)).alias("p"))
+    parts = n.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), low, F.lit(TAIL).cast("bigint"))))
+    terms = parts.withColumn("_i", F.explode(F.sequence("_from", F.least(low, F.col("_from") + TAIL - 1))))
+    p = F.sum(F.exp(_log_factorial(total) - _log_factorial(F.col("_i")) - _log_factorial(total - F.col("_i")) - total * math.log(2.0)))
+    return terms.groupBy(*keys, "only_a", "only_b").agg(F.least(2 * p, F.lit(1.0)).alias("p"))
 
 
 def wilcoxon(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -91,14 +114,32 @@ def wilcoxon(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return s.select("n", F.least("wp", "wm").alias("w"), ((F.least("wp", "wm") - n * (n + 1) / 4) / sd).alias("z"))
 
 
-def bootstrap(df: DataFrame, value: Column, replicas: int = 1000, seed: int = 4011) -> DataFrame:
-    """low, high: the 2.5 % and 97.5 % points of the mean over resamples; each row's weight in a replica is Poisson(1)."""
-    rows = df.select(value.cast("double").alias("v"), F.monotonically_increasing_id().alias("id"))
-    u = lambda k: (F.xxhash64("id", "r", F.lit(seed + k)) / 2.0**64) + 0.5
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum((F.when(u(0) > c, 1).otherwise(0) for c in cdf), F.lit(0))
-    means = rows.select("v", F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("r"), "id").withColumn("w", weight).groupBy("r").agg((F.sum(F.col("v") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+def bootstrap(df: DataFrame, metric: str = "mean", score: str = "score", label: str = "label", replicas: int = 1000, seed: int = 4011) -> DataFrame:
+    """low, high: the 2.5 % and 97.5 % points of a metric (mean of the label, roc_auc, pr_auc) over resamples.
+
+    Equal rows are one cell first; a cell of k rows weighs Poisson(k) in a replica, so that the work follows the
+    different scores. Replicas with a single class are skipped. The random numbers depend on the seed and the cell only.
+    """
+    cells = df.groupBy(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y")).agg(F.count("*").alias("k"))
+    importable(df.sparkSession)
+    schema = "r int, s double, y double, w bigint"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, y, k in zip(*(batch.column(c).to_pylist() for c in ("s", "y", "k")), strict=True):
+                own = int.from_bytes(hashlib.sha256(f"{s!r} {y!r}".encode()).digest()[:8], "little")
+                w = np.random.default_rng([seed, own]).poisson(k, replicas)
+                r = np.flatnonzero(w)
+                full = lambda x: pa.array(np.full(len(r), np.nan if x is None else x), pa.float64())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), full(s), full(y), pa.array(w[r], pa.int64())], names=["r", "s", "y", "w"])
+
+    drawn = cells.mapInArrow(draw, schema)
+    if metric == "mean":
+        values = drawn.groupBy("r").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("m"))
+    else:
+        per = drawn.groupBy("r", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
+        values = _ranked_scores(_cumulated(per, ["r"], "s"), ["r"]).select("r", F.col(metric).alias("m"))
+    return values.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
 def time_split(df: DataFrame, *order: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
@@ -108,10 +149,125 @@ def time_split(df: DataFrame, *order: str, train: float = 0.6, validation: float
     return rows.withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * train), "train").when(F.col("_rn") <= F.floor(F.col("_n") * (train + validation)), "validation").otherwise("test")).drop("_n", "_rn")
 
 
-def forward_chain(df: DataFrame, base: str) -> DataFrame:
-    """fold, role and the rows: fold k tests base k, validates on base k-1 and trains on all before; the first two bases are never tested."""
-    bases = df.select(base).distinct().withColumn("_k", F.row_number().over(W.orderBy(base)) - 1)
-    rows = df.join(F.broadcast(bases), base)
-    folds = bases.where("_k >= 2").select(F.col("_k").alias("fold"))
+def forward_chain(df: DataFrame, base: str, label: str | None = None) -> DataFrame:
+    """fold, role and the rows: fold k tests base k, validates on base k-1 and trains on all before; the first two bases are never tested.
+
+    With a label, folds whose training rows have a single class are left out. Bases (releases) are counted by their order,
+    a global rank over range partitions; rows meet the folds that use them by an explode.
+    """
+    counts = df.groupBy(base).agg(F.count("*").alias("_n"), *([F.min(label).alias("_lo"), F.max(label).alias("_hi")] if label else []))
+    bases = ranked(counts, [F.col(base)], "_k").withColumn("_k", F.col("_k") - 1)
+    last = bases.agg(F.max("_k").alias("_last"))
+    spread = bases.join(F.broadcast(last)).where("_last >= 2").withColumn("fold", F.explode(F.sequence(F.greatest("_k", F.lit(2)), F.greatest("_last", F.lit(2)))))
     role = F.when(F.col("_k") == F.col("fold"), "test").when(F.col("_k") == F.col("fold") - 1, "validation").otherwise("train")
-    return rows.join(F.broadcast(folds), F.col("_k") <= F.col("fold")).withColumn("role", role).drop("_k")
+    spread = spread.withColumn("role", role)
+    if label:
+        both = spread.where("role = 'train'").groupBy("fold").agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).where("lo < hi").select("fold")
+        spread = spread.join(both, "fold", "left_semi")
+    return df.join(spread.select(base, "fold", "role"), base).select("fold", "role", *df.columns)
+
+
+def leave_one_out(df: DataFrame, group: str, *order: str, train: float = 0.75) -> DataFrame:
+    """fold, role and the rows: each group is tested once; of the others the oldest part trains and the rest validates.
+
+    The groups (repositories) are few and named on the driver; each fold is one global order of the other rows.
+    """
+    folds = []
+    for row in df.select(group).distinct().orderBy(group).collect():
+        mine = F.col(group).eqNullSafe(F.lit(row[0]))
+        rest = time_split(df.where(~mine), *order, train=train, validation=1 - train)
+        rest = rest.withColumn("role", F.when(F.col("split") == "train", "train").otherwise("validation")).drop("split")
+        folds.append(rest.unionByName(df.where(mine).withColumn("role", F.lit("test"))).withColumn("fold", F.lit(row[0])))
+    return reduce(DataFrame.unionByName, folds).select("fold", "role", *df.columns)
+
+
+def production_split(df: DataFrame, base: str) -> DataFrame:
+    """df with role: the rows of the latest base calibrate and choose thresholds, all before them fit."""
+    latest = df.agg(F.max(base).alias("_latest"))
+    return df.join(F.broadcast(latest)).withColumn("role", F.when(F.col(base) == F.col("_latest"), "calibrate").otherwise("fit")).drop("_latest")
+
+
+def gate_decision(tests_fail: Column, score: Column, block: Column, canary: Column) -> Column:
+    """A verified failure blocks; else the score meets the thresholds."""
+    return F.when((tests_fail > 0) | (score >= block), "BLOCK").when(score >= canary, "CANARY").otherwise("PASS")
+
+
+def arms(rows: DataFrame, of: dict[str, tuple[Column, Column, Column, Column, bool]]) -> DataFrame:
+    """method, score, block, canary, tests_fail, own and the columns of rows: the same rows under several methods, in one pass.
+
+    of: by method its score, its block and canary thresholds, its failed tests (0 for methods that do not run them), and
+    whether it honours verified failures (own). Rows without a score of a method are left out of it.
+    """
+    each = [F.struct(F.lit(m).alias("method"), s.cast("double").alias("score"), b.cast("double").alias("block"), c.cast("double").alias("canary"), t.cast("int").alias("tests_fail"), F.lit(own).alias("own")) for m, (s, b, c, t, own) in of.items()]
+    gone = [c for c in rows.columns if c in ("method", "score", "block", "canary", "tests_fail", "own")]
+    return rows.withColumn("_a", F.explode(F.array(*each))).drop(*gone).select("*", "_a.*").drop("_a").where("score is not null")
+
+
+def gate_evaluation(preds: DataFrame, label: str = "label") -> DataFrame:
+    """method, n, roc_auc, pr_auc, recall_at_fpr, brier, false_block_rate, block_recall, defective_passed of each method.
+
+    preds: what arms() gives, with a label. Methods of their own block by decision, the others by their threshold alone.
+    Scores of a method without one of the classes are null.
+    """
+    d = preds.withColumn("_d", gate_decision(F.col("tests_fail"), F.col("score"), F.col("block"), F.col("canary")))
+    d = d.withColumn("_b", F.when(F.col("own"), F.col("_d") == "BLOCK").otherwise(F.col("score") >= F.col("block")).cast("double"))
+    bad = F.col(label) == 1
+    rates = d.groupBy("method").agg(F.count("*").alias("n"), F.avg((F.col("score") - F.col(label)) ** 2).alias("brier"), F.avg(F.when(~bad, F.col("_b"))).alias("false_block_rate"), F.avg(F.when(bad, F.col("_b"))).alias("block_recall"), F.count_if(bad & F.when(F.col("own"), F.col("_d") == "PASS").otherwise(F.col("score") < F.col("block"))).alias("defective_passed"))
+    return rates.join(ranking_scores(preds, "score", label, ["method"]), "method", "left").select("method", "n", "roc_auc", "pr_auc", "recall_at_fpr", "brier", "false_block_rate", "block_recall", "defective_passed")
+
+
+def against_reference(preds: DataFrame, key: str, reference: str, label: str = "label") -> DataFrame:
+    """method, only_a, only_b, p: the exact test of each method's rightness against the reference method's, on the ids both have."""
+    d = gate_decision(F.col("tests_fail"), F.col("score"), F.col("block"), F.col("canary"))
+    right = preds.select("method", key, (F.when(F.col("own"), d == "BLOCK").otherwise(F.col("score") >= F.col("block")) == (F.col(label) == 1)).alias("right"))
+    ours = right.where(F.col("method") == reference).select(key, F.col("right").alias("ours"))
+    return mcnemar(right.where(F.col("method") != reference).join(ours, key), "ours", "right", ["method"])
+
+
+def per_category(preds: DataFrame, category: str = "category", label: str = "label") -> DataFrame:
+    """method, category, n, defective, PASS, CANARY, BLOCK."""
+    d = gate_decision(F.col("tests_fail"), F.col("score"), F.col("block"), F.col("canary"))
+    n = lambda x: F.count_if(F.col("_d") == x).alias(x)
+    return preds.withColumn("_d", d).groupBy("method", category).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("defective"), n("PASS"), n("CANARY"), n("BLOCK"))
+
+
+def twins(rows: DataFrame, key: str, suffix: str) -> DataFrame:
+    """The rows whose key ends with the suffix, each beside the row of the key without it (its columns with _twin)."""
+    own = rows.where(F.col(key).endswith(suffix)).withColumn("_twin", F.expr(f"left({key}, length({key}) - {len(suffix)})"))
+    other = rows.select(F.col(key).alias("_twin"), *(F.col(c).alias(f"{c}_twin") for c in rows.columns if c != key))
+    return own.join(other, "_twin").drop("_twin")
+
+
+def paired_shift(rows: DataFrame, key: str, suffix: str, value: str) -> DataFrame:
+    """One row pairs, shift: how far the value of attacked rows lies from that of their clean twins, on average."""
+    return twins(rows.where(F.col(value).isNotNull()), key, suffix).agg(F.count("*").alias("pairs"), F.avg(F.col(value) - F.col(f"{value}_twin")).alias("shift"))
+
+
+def differing(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, differ of the rows that both runs have: whether any of the columns is not the same; nulls are alike."""
+    other = b.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
+    return a.select(key, *columns).join(other, key).select(key, (~same).alias("differ"))
+
+
+def citation_scores(answers: DataFrame, gold: DataFrame, aliases: DataFrame) -> DataFrame:
+    """item, category, correct, citation_precision, hallucinated of each answer.
+
+    answers: item, category, refused, refusal_expected, citations (array); gold: item, gold; aliases: gold, alias. A citation
+    matches if it equals a gold id, begins with it, is its alias, or is any commit where the gold id says "commit".
+    Precision is null without citations; where a refusal is expected, refusing is right and answering is a hallucination.
+    """
+    wanted = gold.join(aliases, "gold", "left").select("item", "gold", "alias")
+    cited = answers.select("item", F.explode(F.array_distinct("citations")).alias("c"))
+    hit = F.col("c").startswith(F.when(F.col("gold") == "commit", "commit:").otherwise(F.col("gold"))) | F.coalesce(F.col("c") == F.col("alias"), F.lit(False))
+    hits = cited.join(wanted, "item").where(hit).select("item", "c").distinct().groupBy("item").agg(F.count("*").alias("hits"))
+    n = F.size(F.array_distinct("citations"))
+    rows = answers.join(hits, "item", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    correct = F.when(F.col("refusal_expected"), F.col("refused")).otherwise(~F.col("refused") & (F.col("hits") > 0))
+    return rows.select("item", "category", correct.alias("correct"), F.when(n > 0, F.col("hits") / F.nullif(n, F.lit(0))).alias("citation_precision"), (F.col("refusal_expected") & ~F.col("refused")).alias("hallucinated"))
+
+
+def rate_summary(rows: DataFrame, group: str, rates: dict[str, tuple[str, str]]) -> DataFrame:
+    """group, n and the named rates: sum of one column over the sum of another, null where that is 0."""
+    each = [(F.sum(a).cast("double") / F.nullif(F.sum(b).cast("double"), F.lit(0.0))).alias(name) for name, (a, b) in rates.items()]
+    return rows.groupBy(group).agg(F.count("*").alias("n"), *each)

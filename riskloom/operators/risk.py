@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from riskloom.functions.scalars import logit, sigmoid
 from riskloom.operators.evaluation import curve
+from riskloom.operators.graph import cut
 
 #: Features in order, with their group and default where it is not 0.
 FEATURES = {
@@ -18,6 +19,13 @@ FEATURES = {
 }
 NAMES = [n for group in FEATURES.values() for n in group]
 DEFAULTS = {n: 0.0 for n in NAMES} | {"changed_line_coverage": 1.0, "mutation_score": 1.0, "llm_risk": 0.5}
+#: The direction in which a feature may move the risk of the constrained model; features left out are free.
+DIRECTIONS = {
+    "log_churn": 1, "files_touched": 1, "entropy": 1, "author_is_new": 1, "recent_churn": 1, "complexity_delta": 1, "max_complexity": 1, "szz_defects": 1, "touches_dependencies": 1,
+    "touches_config": 1, "touches_ci": 1, "verified_test_failures": 1, "uncovered_changed_lines": 1, "surviving_mutants": 1, "verified_api_breaks": 1, "verified_bug_links": 1, "llm_risk": 1,
+    "injection_attempts": 1, "verified_impacted_modules": 1, "signature_changes": 1, "change_units": 1, "refuted_claim_ratio": 1,
+    "log_code_age_days": -1, "log_author_prior_commits": -1, "test_only": -1, "docs_only": -1, "tests_changed": -1, "changed_line_coverage": -1, "mutation_score": -1,
+}
 #: Expert weights, calibration and thresholds of the shipped model.
 INTERCEPT = -0.9
 WEIGHTS = {"verified_test_failures": 3.0, "uncovered_changed_lines": 0.18, "surviving_mutants": 0.45, "szz_defects": 0.55, "verified_bug_links": 0.35, "verified_api_breaks": 1.2, "log_churn": 0.35, "entropy": 0.4, "author_is_new": 0.25, "touches_dependencies": 0.9, "touches_ci": 0.6, "signature_changes": 0.4, "injection_attempts": 0.6, "llm_risk": 0.8, "changed_line_coverage": -1.4, "mutation_score": -1.2, "test_only": -1.8, "docs_only": -2.5}
@@ -37,6 +45,38 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.coalesce(F.col(n).cast("double"), F.lit(DEFAULTS[n])) if n in have else F.lit(DEFAULTS[n]) for n in NAMES})
 
 
+#: What a verified claim of each type counts for.
+CLAIM_FEATURES = {"test_impact": "verified_impacted_tests", "module_impact": "verified_impacted_modules", "api_break": "verified_api_breaks", "history_link": "verified_bug_links"}
+
+
+def claim_features(claims: DataFrame, key: str) -> DataFrame:
+    """key and the features from claims (key, type, status): verified ones by type, and the share of checked ones that is refuted."""
+    fine, wrong = F.col("status") == "VERIFIED", F.col("status") == "REFUTED"
+    counts = [F.count_if(fine & (F.col("type") == t)).cast("double").alias(n) for t, n in CLAIM_FEATURES.items()]
+    ratio = F.round(F.count_if(wrong) / F.nullif(F.count_if(fine | wrong), F.lit(0)), 4)
+    return claims.groupBy(key).agg(*counts, F.coalesce(ratio, F.lit(0.0)).alias("refuted_claim_ratio"))
+
+
+def change_features(signals: DataFrame, key: str, verification: DataFrame | None = None, claims: DataFrame | None = None, ratings: DataFrame | None = None) -> DataFrame:
+    """key and all features of every change, each with its default where nothing is known.
+
+    signals: key and what history and diff say (author_prior_commits and code_age_days as they are, the other features of
+    the first group by name, injection_attempts); verification: key, new_failures, changed_coverage, uncovered,
+    mutation_score (null without mutants), survived; claims: key, type, status; ratings: key, llm_risk.
+    """
+    have = set(signals.columns)
+    raw = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(0.0)) if n in have else F.lit(0.0)
+    rows = signals.withColumns({"log_author_prior_commits": F.log1p(raw("author_prior_commits")), "log_code_age_days": F.log1p(F.greatest(raw("code_age_days"), F.lit(0.0)))})
+    if verification is not None:
+        v = verification.select(key, F.col("new_failures").alias("verified_test_failures"), F.round("changed_coverage", 4).alias("changed_line_coverage"), F.col("uncovered").alias("uncovered_changed_lines"), F.round("mutation_score", 4).alias("mutation_score"), F.col("survived").alias("surviving_mutants"))
+        rows = rows.join(v, key, "left")
+    if claims is not None:
+        rows = rows.join(claim_features(claims, key), key, "left")
+    if ratings is not None:
+        rows = rows.join(ratings.select(key, "llm_risk"), key, "left")
+    return with_defaults(rows).select(key, *NAMES)
+
+
 def raw_score(weights: dict[str, float] = WEIGHTS, intercept: float = INTERCEPT, mean: dict[str, float] | None = None, scale: dict[str, float] | None = None) -> Column:
     """The logistic model's probability from feature columns; a scale of 0 counts as 1."""
     z = F.lit(intercept)
@@ -86,15 +126,16 @@ def thresholds(scored: DataFrame, score: str = "score", label: str = "label", ma
 
 def fit_platt(scored: DataFrame, score: str = "score", label: str = "label", rounds: int = 30) -> tuple[float, float] | None:
     """(a, b) by Newton's method, each round one aggregation; None with a single class."""
-    x = scored.select(logit(F.col(score)).alias("x"), F.col(label).cast("double").alias("y"))
-    n = x.agg(F.sum("y"), F.count("*")).first()
+    rows = scored.select(logit(F.col(score)).alias("x"), F.col(label).cast("double").alias("y"))
+    n = rows.agg(F.sum("y"), F.count("*")).first()
     if not n[0] or n[0] == n[1]:
         return None
+    x = cut(rows.groupBy("x").agg(F.sum("y").alias("y"), F.count("*").alias("k")))  # rounds read a row for each different score
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-(F.lit(a) * F.col("x") + F.lit(b))))
-        v = p * (1 - p)
-        g0, g1, h00, h01, h11 = x.agg(F.sum(p - F.col("y")), F.sum((p - F.col("y")) * F.col("x")), F.sum(v), F.sum(v * F.col("x")), F.sum(v * F.col("x") * F.col("x"))).first()
+        gap, v = F.col("k") * p - F.col("y"), F.col("k") * p * (1 - p)
+        g0, g1, h00, h01, h11 = x.agg(F.sum(gap), F.sum(gap * F.col("x")), F.sum(v), F.sum(v * F.col("x")), F.sum(v * F.col("x") * F.col("x"))).first()
         h00, h11, g1 = h00 + 1e-9, h11 + 1e-6, g1 + 1e-6 * a
         det = h00 * h11 - h01 * h01
         da, db = (h00 * g1 - h01 * g0) / det, (h11 * g0 - h01 * g1) / det
@@ -150,6 +191,21 @@ def best_family(scores: DataFrame, family: str = "family", value: str = "pr_auc"
     return scores.agg(F.min_by(family, F.struct(-F.col(value), F.col(family))).alias(family), F.max(value).alias(value))
 
 
+def save_model(path: str, spark, weights: dict[str, float], intercept: float, calibration: tuple[float, float], canary: float, block: float, metadata: dict[str, str] | None = None) -> None:
+    """The model as one row of JSON: plain numbers and names, nothing to unpickle."""
+    row = (list(weights), [float(w) for w in weights.values()], float(intercept), [float(c) for c in calibration], float(canary), float(block), metadata or {})
+    spark.createDataFrame([row], MODEL).coalesce(1).write.mode("overwrite").json(path)
+
+
+MODEL = "feature_names array<string>, coef array<double>, intercept double, calibrator array<double>, canary double, block double, metadata map<string,string>"
+
+
+def load_model(path: str, spark) -> dict:
+    """The model as it was saved: weights by name, intercept, calibrator, canary, block, metadata."""
+    row = spark.read.schema(MODEL).json(path).first()
+    return {"weights": dict(zip(row.feature_names, row.coef, strict=True)), "intercept": row.intercept, "calibrator": tuple(row.calibrator), "canary": row.canary, "block": row.block, "metadata": dict(row.metadata or {})}
+
+
 def model_card(weights: dict[str, float], spark) -> DataFrame:
     """feature, group, coefficient, direction of the model, one row each."""
     of = {n: g for g, names in FEATURES.items() for n in names}
