@@ -57,7 +57,77 @@ def rollout(steps: DataFrame, key: str) -> DataFrame:
         return F.when(a["outcome"] != "rolling_out", a).when(wait, F.struct(a["outcome"].alias("outcome"), (a["extensions"] + 1).alias("extensions"), a["n"].alias("n"))).when(~x["healthy"], F.struct(F.lit("rolled_back").alias("outcome"), F.lit(0).alias("extensions"), (a["n"] + 1).alias("n"))).otherwise(F.struct(a["outcome"].alias("outcome"), F.lit(0).alias("extensions"), (a["n"] + 1).alias("n")))
 
     done = F.aggregate("l", start, step)
-    return listed.select(key, done.alias("d")).select(key, F.when(F.col("d.outcome") == "rolling_out", "promoted").otherwise(F.col("d.outcome")).alias("outcome"), F.col("d.n").alias("steps"))
+    return listed.select(key, done.alias("_done")).select(key, F.when(F.col("_done.outcome") == "rolling_out", "promoted").otherwise(F.col("_done.outcome")).alias("outcome"), F.col("_done.n").alias("steps"))
+
+
+#: States of a rollout, and the least tolerance of the share that reaches the candidate.
+ACTIVE = ["queued", "provisioning", "rolling_out", "paused"]
+SHARE_FLOOR = 0.05
+
+
+def share_tolerance(weight: Column, n: Column) -> Column:
+    """How far the candidate's share may lie from its weight: three standard errors, or the floor."""
+    return F.greatest(F.lit(SHARE_FLOOR), 3 * F.sqrt(F.greatest(weight * (1 - weight), F.lit(1e-9)) / F.greatest(n, F.lit(1))))
+
+
+def early_stops(chunks: DataFrame, keys: list[str], step_seconds: float) -> DataFrame:
+    """keys, t and the reading at which each step of a rollout ends.
+
+    chunks: keys, t (seconds since the step began), healthy, inconclusive, and other columns; cumulative readings in
+    order. A step ends at the first breach on enough traffic, else at its full length once there is enough traffic, and at
+    1 + MAX_EXTENSIONS lengths in any case; without any of these at its last reading.
+    """
+    over = (~F.col("inconclusive") & ~F.col("healthy")) | ((F.col("t") >= step_seconds) & (~F.col("inconclusive") | (F.col("t") >= step_seconds * (1 + MAX_EXTENSIONS))))
+    rest = [c for c in chunks.columns if c not in keys]
+    ends = chunks.groupBy(*keys).agg(F.min(F.when(over, F.col("t"))).alias("_end"), F.max("t").alias("_last"))
+    return chunks.join(ends, keys).where(F.col("t") == F.coalesce("_end", "_last")).select(*keys, *rest)
+
+
+def deployments(events: DataFrame, key: str) -> DataFrame:
+    """key, status, outcome, step, exposed_share: the fold of a deployment's events in order.
+
+    events: key, ord, kind, weight, observed (the weight that the router reads back), stable_requests, candidate_requests,
+    healthy, inconclusive, verified. Kinds: start (queued to provisioning), ready (to rolling_out), step, pause, resume,
+    abort, error, done (the probe at full weight). A step whose weight was not applied, or whose share of requests does not
+    match it, rolls back as failed; a breach rolls back; steps that are paused or over change nothing. An abort before any step and
+    a rollback count as verified unless `verified` is false, which makes them failed. A deployment has few events, so each is one array.
+    """
+    fields = ["ord", "kind", "weight", "observed", "stable_requests", "candidate_requests", "healthy", "inconclusive", "verified"]
+    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_log"))
+    start = F.expr("struct('queued' as status, cast(null as string) as outcome, 0 as step, 0L as candidate, 0L as total)")
+
+    def step(a: Column, x: Column) -> Column:
+        def to(status=None, outcome=None, more: int = 0, counted: bool = False) -> Column:
+            new = lambda v, old: old if v is None else F.lit(v) if isinstance(v, str) else v
+            c, n = F.coalesce(x["candidate_requests"], F.lit(0)).cast("bigint"), F.coalesce(x["stable_requests"], F.lit(0)).cast("bigint")
+            return F.struct(new(status, a["status"]).alias("status"), new(outcome, a["outcome"]).alias("outcome"), (a["step"] + more).alias("step"), (a["candidate"] + (c if counted else 0)).alias("candidate"), (a["total"] + (c + n if counted else 0)).alias("total"))
+
+        kind, status = x["kind"], a["status"]
+        active, rolling = status.isin(ACTIVE), status == "rolling_out"
+        safe = F.coalesce(x["verified"], F.lit(True))
+        back = lambda outcome: to(F.when(safe, "rolled_back").otherwise("failed"), outcome, 1, True)
+        n = F.coalesce(x["candidate_requests"], F.lit(0)) + F.coalesce(x["stable_requests"], F.lit(0))
+        share = F.coalesce(x["candidate_requests"] / F.nullif(n, F.lit(0)), F.lit(0.0))
+        routed = (x["candidate_requests"] > 0) & (F.abs(share - x["weight"]) <= share_tolerance(x["weight"], n))
+        return (
+            F.when(~active, a)
+            .when(kind == "error", to("failed", "failed"))
+            .when(kind == "abort", to(F.when(safe, "rolled_back").otherwise("failed"), "aborted"))
+            .when((kind == "start") & (status == "queued"), to("provisioning"))
+            .when((kind == "ready") & (status == "provisioning"), to("rolling_out"))
+            .when((kind == "pause") & rolling, to("paused"))
+            .when((kind == "resume") & (status == "paused"), to("rolling_out"))
+            .when((kind == "step") & rolling & (F.abs(x["observed"] - x["weight"]) > 1e-9), back("failed"))
+            .when((kind == "step") & rolling & ~F.coalesce(routed, F.lit(False)), back("failed"))
+            .when((kind == "step") & rolling & ~x["inconclusive"] & ~x["healthy"], back("rolled_back"))
+            .when((kind == "step") & rolling, to(more=1, counted=True))
+            .when((kind == "done") & rolling, to(F.when(safe, "promoted").otherwise("failed"), F.when(safe, "promoted").otherwise("failed")))
+            .otherwise(a)
+        )
+
+    done = listed.select(key, F.aggregate("_log", start, step).alias("_done"))
+    share = F.coalesce(F.col("_done.candidate") / F.nullif(F.col("_done.total"), F.lit(0)), F.lit(0.0))
+    return done.select(key, "_done.status", "_done.outcome", "_done.step", F.round(share, 4).alias("exposed_share"))
 
 
 def route(requests: DataFrame, weight: float, order: str = "i") -> DataFrame:

@@ -76,7 +76,7 @@ def test_forward_chaining_never_looks_ahead(spark):
 
 
 def test_graph(spark):
-    e = G.example(spark)
+    e = spark.createDataFrame([("test_gpa", "gpa", "calls"), ("gpa", "total", "calls"), ("tuition", "total", "calls"), ("late", "invoice", "inherits")], "src string, dst string, type string")
     up = {r.node: r.distance for r in G.walk(e, spark.createDataFrame([("total",)], "seed string"), 3, reverse=True).collect()}
     assert up == {"gpa": 1, "tuition": 1, "test_gpa": 2}
     assert G.shortest_path(e, "test_gpa", "total", 4).first().path == ["test_gpa", "gpa", "total"]
