@@ -1,14 +1,17 @@
 """Chat formatting (operator 3): event-sourced reconstruction, then rendering with a loss mask.
 
-A log has the columns conv_id, seq, kind, message, role, text. Kinds: open starts a message with its role and text,
-delta appends its text, edit replaces the text, regenerate empties it for new deltas, drop removes the message. Events
-fold by message in the order of seq (ties: kind, text); messages stand in a conversation by their least seq.
+A log has the columns conv_id, seq, kind, message, role, text, and may have step. Kinds: open starts a message with its
+role and text, delta appends its text, edit replaces the text, regenerate empties it for new deltas, drop removes the
+message. Events fold by message in the order of seq and step (ties: kind, text); messages stand in a conversation by their
+least seq. Finished turns become such a log (events_of): texts arrive in deltas, some after a draft that is regenerated or edited.
 
 The fold is a native sort-and-aggregate over one message's events: the text of a message is what follows its last
 edit or regenerate. Only the strings of one conversation meet in one row, since the output is one string.
 
 Null texts and roles are empty. Rows that repeat are events that repeat. No events: no conversations. Messages
-without open (only deltas) have the role of their first event. Other columns are not read.
+without open (only deltas) have the role of their first event. Null ids are a conversation of their own, null turns come
+first. Turns with one number stand by a hash of role and text, repeated rows beside each other. Texts of any length are
+folded and rendered whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,8 +58,9 @@ def loss_spans(formatted: str, role: str = "assistant") -> list[tuple[int, int]]
 
 def fold(events: DataFrame) -> DataFrame:
     """conv_id, at, message, role, text of every message that a log leaves; at: its least seq."""
-    e = events.select("conv_id", "message", "seq", F.lower("kind").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    log = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text")))
+    step = F.col("step") if "step" in events.columns else F.lit(0).alias("step")
+    e = events.select("conv_id", "message", "seq", step, F.lower("kind").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    log = F.array_sort(F.collect_list(F.struct("seq", "step", "kind", "role", "text")))
     folded = e.groupBy("conv_id", "message").agg(log.alias("log"))
     resets = F.filter(F.transform("log", lambda x, i: F.when(x["kind"].isin("edit", "regenerate", "open"), i)), lambda i: i.isNotNull())
     last = F.coalesce(F.try_element_at(resets, F.lit(-1)), F.lit(0))
@@ -76,13 +80,27 @@ def formatted(messages: DataFrame) -> DataFrame:
     return rendered.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("formatted"))
 
 
+#: Deltas in which a finished text arrives.
+DELTAS = 3
+
+
 def events_of(turns: DataFrame) -> DataFrame:
-    """A log of conversations with final turns: one open event each, with a message key of its own for every row that differs or repeats."""
-    n = F.struct("role", "text")
+    """The log of conversations with final turns, as a chat service would have written it.
+
+    Every message opens empty and gets its text in DELTAS deltas. By a hash of the row, a third of the messages first get a
+    draft that is regenerated, another third a draft that an edit replaces. A row that differs or repeats is a message of its own.
+    """
     rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     repeated = rows.groupBy("conv_id", "seq", "role", "text").agg(F.count("*").cast("int").alias("n"))
     copies = repeated.select("conv_id", "seq", "role", "text", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
-    return copies.select("conv_id", "seq", F.lit("open").alias("kind"), F.concat_ws("-", F.md5(F.to_json(n)), F.col("copy").cast("string"), F.col("seq").cast("string")).alias("message"), "role", "text")
+    name = F.concat_ws("-", F.md5(F.to_json(F.struct("role", "text"))), F.col("copy").cast("string"), F.col("seq").cast("string"))
+    event = lambda step, kind, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+    n, empty = F.ceil(F.length("text") / DELTAS).cast("int"), F.lit("")
+    deltas = [event(3 + k, "delta", F.substring("text", n * k + 1, n)) for k in range(DELTAS)]
+    draft = event(1, "delta", F.concat(F.lit("draft "), F.left("text", n)))
+    way = F.pmod(F.xxhash64("conv_id", "seq", "role", "text"), F.lit(3))
+    log = F.when(way == 0, F.array(event(0, "open", empty), *deltas)).when(way == 1, F.array(event(0, "open", empty), draft, event(2, "regenerate", empty), *deltas)).otherwise(F.array(event(0, "open", empty), draft, event(2, "edit", F.col("text"))))
+    return copies.select("conv_id", "seq", name.alias("message"), "role", F.explode(log).alias("x")).select("conv_id", "seq", "x.step", "x.kind", "message", "role", "x.text")
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
