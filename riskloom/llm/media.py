@@ -1,11 +1,12 @@
 """Media columns (operator 8): ISO media containers, read by their boxes and sample tables.
 
 pack() stores a payload losslessly as 8-bit samples of 64 bytes in a container; inspect() walks the nested boxes of
-any such container and decodes its sample tables into codec, duration and byte ranges, never the payload; read_back()
-joins the bytes that those ranges name.
+any such container and decodes its sample tables and fragment runs into codec, duration and byte ranges, never the
+payload; read_back() joins the bytes that those ranges name.
 
 Null texts are empty; an empty text is one sample of 64 zero bytes; equal texts give equal values; texts of any
-length are stored whole; broken containers give codec null and no ranges.
+length are stored whole; repeated rows give repeated results, an empty table gives no rows; other columns are not read,
+whatever their names; broken containers give no tracks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from riskloom.llm.common import map_arrow
 UNIT = 64
 RATE = 8000
 #: Fixed box types that hold other boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"moof", b"traf", b"udta"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"moof", b"traf", b"mvex", b"udta"}
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -67,6 +68,7 @@ def pack(payload: bytes, per_chunk: int = 32, sync_every: int = 16) -> bytes:
 
 @dataclass
 class Track:
+    number: int = 0
     codec: str | None = None
     handler: str | None = None
     timescale: int = 0
@@ -102,6 +104,54 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None):
         at = stop
 
 
+class _Runs:
+    """The samples of movie fragments: run by run, sizes and flags from the run, else the fragment, else the track's defaults."""
+
+    def __init__(self):
+        self.base = 0
+        self.found: list[tuple[Track, int, int, int, bool]] = []  # track, offset, size, duration, keyframe
+
+    def start(self, numbers, at: int, tracks: list[Track], defaults: dict[int, tuple[int, ...]]) -> None:
+        flags, number = numbers(at, 1)[0] & 0xFFFFFF, numbers(at + 4, 1)[0]
+        self.track = next(t for t in tracks if t.number == number)
+        self.duration, self.size, self.flags = defaults.get(number, (0, 0, 0))
+        at += 8
+        self.offset = self.base
+        if flags & 0x1:
+            self.offset, at = numbers(at, 1, "Q")[0], at + 8
+        at += 4 if flags & 0x2 else 0
+        for bit, name in ((0x8, "duration"), (0x10, "size"), (0x20, "flags")):
+            if flags & bit:
+                setattr(self, name, numbers(at, 1)[0])
+                at += 4
+        self.next = self.offset
+
+    def add(self, numbers, at: int) -> None:
+        flags, n = numbers(at, 1)[0] & 0xFFFFFF, numbers(at + 4, 1)[0]
+        at, first = at + 8, None
+        if flags & 0x1:
+            self.next, at = self.offset + numbers(at, 1, "i")[0], at + 4
+        if flags & 0x4:
+            first, at = numbers(at, 1)[0], at + 4
+        for k in range(n):
+            of = {0x100: self.duration, 0x200: self.size, 0x400: first if k == 0 and first is not None else self.flags, 0x800: 0}
+            for bit in of:
+                if flags & bit:
+                    of[bit], at = numbers(at, 1)[0], at + 4
+            self.found.append((self.track, self.next, of[0x200], of[0x100], not of[0x400] & 0x10000))
+            self.next += of[0x200]
+
+    def close(self) -> None:
+        for track, offset, size, duration, key in self.found:
+            if track.keyframes is None:
+                track.keyframes = list(range(1, len(track.offsets) + 1))
+            track.offsets.append(offset)
+            track.sizes.append(size)
+            track.duration += duration
+            if key:
+                track.keyframes.append(len(track.offsets))
+
+
 def inspect(data: bytes) -> list[Track]:
     """The tracks of a container, from its boxes only; what breaks the format gives no tracks."""
     tracks: list[Track] = []
@@ -109,6 +159,8 @@ def inspect(data: bytes) -> list[Track]:
     to_chunk: list[tuple[int, int, int]] = []
     numbers = lambda at, n, width="I": struct.unpack_from(f">{n}{width}", data, at)
     pending: list[tuple[Track, list[int], list[tuple[int, int, int]]]] = []
+    defaults: dict[int, tuple[int, ...]] = {}
+    runs = _Runs()
     try:
         for kind, at, _ in walk(data):
             if kind == b"trak":
@@ -135,7 +187,19 @@ def inspect(data: bytes) -> list[Track]:
                 tracks[-1].sizes = [size] * n if size else list(numbers(at + 12, n))
             elif kind in (b"stco", b"co64"):
                 chunks += numbers(at + 8, numbers(at + 4, 1)[0], "I" if kind == b"stco" else "Q")
+            elif kind == b"tkhd":
+                tracks[-1].number = numbers(at + (20 if data[at] == 1 else 12), 1)[0]
+            elif kind == b"trex":
+                defaults[numbers(at + 4, 1)[0]] = numbers(at + 12, 3)
+            elif kind == b"moof":
+                runs.base = at - 8
+            elif kind == b"tfhd":
+                runs.start(numbers, at, tracks, defaults)
+            elif kind == b"trun":
+                runs.add(numbers, at)
         for track, own, deal in pending:
+            if not deal:
+                continue
             sample = 0
             for k, (first, per, _) in enumerate(deal):
                 until = deal[k + 1][0] if k + 1 < len(deal) else len(own) + 1
@@ -146,6 +210,7 @@ def inspect(data: bytes) -> list[Track]:
                         where += track.sizes[sample]
                         sample += 1
             track.sizes = track.sizes[: len(track.offsets)]
+        runs.close()
     except (ValueError, struct.error, IndexError):
         return []
     return tracks
@@ -162,8 +227,9 @@ def padded(text: str) -> bytes:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row of docs."""
-    names = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (codec, handler, rate,
+    duration, samples, keyframes), keyframe_ranges (offset, length of every keyframe) of every row of docs."""
+    names = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, keyframe_ranges array<struct<offset:bigint,length:bigint>>"
 
     def make():
         def one(text):
@@ -171,11 +237,11 @@ def media_columns(docs: DataFrame) -> DataFrame:
             (track,) = inspect(media)
             back = read_back(media, track)
             keys = track.keyframe_ranges()
-            feature = f"codec={track.codec.strip()};handler={track.handler};rate={track.timescale};duration={track.duration};samples={len(track.sizes)};keyframes={len(keys)};first={keys[0][0]}+{keys[0][1]};last={keys[-1][0]}+{keys[-1][1]};mean={sum(back) / len(back):.6f}"
-            return len(text.encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
+            feature = f"codec={track.codec.strip()};handler={track.handler};rate={track.timescale};duration={track.duration};samples={len(track.sizes)};keyframes={len(keys)}"
+            return len(text.encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, [{"offset": at, "length": n} for at, n in keys]
 
         def step(rows):
-            cols = list(zip(*(one(t or "") for t in rows["text"]), strict=True)) or [()] * 7
+            cols = list(zip(*(one(t or "") for t in rows["text"]), strict=True)) or [()] * 8
             return dict(zip(["doc_id", *(p.split()[0] for p in names.split(", ")[1:])], [rows["doc_id"], *map(list, cols)], strict=True))
 
         return step
