@@ -6,8 +6,12 @@ and stand in one template's order are chained into spans, and a template is foun
 The base phrases are templates too: they are found through the automaton's suffix links wherever their words stand
 consecutively.
 
+Templates are passages that name a licence, and, in an automaton of their own, whole texts of short licences and the notices
+of long ones (licences.WHOLE), to which a user may add. Of spans of whole texts that overlap, the one that covers more
+words stays, so that licences which share clauses are told apart.
+
 Null texts are empty; empty texts have no words, no places and score 0; texts are streamed whole; repeated rows give
-repeated results.
+repeated results; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from riskloom.llm.common import map_arrow, words_of
+from riskloom.llm.licences import WHOLE
 
 #: Fixed phrases and labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -128,16 +133,19 @@ class Scanner:
         """The number of words; (start, phrase) of every base place; (start, end, template, covered share) of every span."""
         words = words_of(text)
         a, base = self.automaton, []
-        runs: list[tuple[int, int, int]] = []  # end, state, length of maximal matches
-        previous = None
-        for at, state, size in a.stream(words):
+        stream = list(a.stream(words))
+        for at, state, size in stream:
             base += ((at - k + 1, n) for n, k in self.phrases[state] if k <= size)
+        return len(words), base, self.chain(self.runs(stream))
+
+    def runs(self, stream) -> list[tuple[int, int, int]]:
+        """(end, state, length) of the maximal matches of a stream that are long enough."""
+        out, previous = [], None
+        for at, state, size in stream:
             if previous and (at != previous[0] + 1 or size != previous[2] + 1) and previous[2] >= self.least:
-                runs.append(previous)
+                out.append(previous)
             previous = (at, state, size)
-        if previous and previous[2] >= self.least:
-            runs.append(previous)
-        return len(words), base, self.chain(runs)
+        return [*out, previous] if previous and previous[2] >= self.least else out
 
     def chain(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
         """Joins matches of one template that follow each other, in its order and with small gaps, into spans."""
@@ -169,25 +177,44 @@ class Scanner:
         return sorted(spans)
 
 
-@lru_cache(1)
-def scanner() -> Scanner:
-    return Scanner(PHRASES, TEMPLATES)
+class WholeTexts(Scanner):
+    """A scanner of whole licence texts, without phrases."""
+
+    def __init__(self, texts: list[tuple[str, str]], share: float = 0.6):
+        super().__init__({}, texts, share=share)
+
+    def spans(self, text: str | None) -> list[tuple[int, int, int, float]]:
+        """(start, end, text, covered share), without spans that mostly lie in one of another text that covers more words."""
+        found = self.chain(self.runs(self.automaton.stream(words_of(text))))
+        kept: list[tuple[int, int, int, float]] = []
+        for x in sorted(found, key=lambda x: (-x[3] * len(self.automaton.sequences[x[2]]), -x[3], x[2])):
+            if not any(2 * (min(x[1], k[1]) - max(x[0], k[0])) > x[1] - x[0] for k in kept):
+                kept.append(x)
+        return sorted(kept)
+
+
+@lru_cache(4)
+def scanners(more: tuple[tuple[str, str], ...] = ()) -> tuple[Scanner, WholeTexts]:
+    return Scanner(PHRASES, TEMPLATES), WholeTexts([*WHOLE, *more])
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def license_scan(docs: DataFrame, more: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans of every row of docs.
 
-    score: 0 without any label, else 0.5 and half of the largest covered share of a template.
+    score: 0 without any label, else 0.5 and half of the largest covered share of a template. more: labels and whole texts
+    beside those of the module, a bounded list that goes to every task.
     """
     names = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, n_spans bigint"
 
     def make():
-        s = scanner()
+        s, whole = scanners(more)
 
         def one(text):
             n, base, spans = s.scan(text)
+            texts = whole.spans(text)
             own = {s.labels[k] for _, k in base}
-            every = own | {s.labels[k] for _, _, k, _ in spans}
+            every = own | {s.labels[k] for _, _, k, _ in spans} | {whole.labels[k] for _, _, k, _ in texts}
+            spans = spans + texts
             starts = [at for at, _ in base]
             score = 0.5 + 0.5 * max([x[3] for x in spans], default=0.0) if every else 0.0
             return n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(every)), score, len(spans)

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import struct
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -81,3 +83,53 @@ def test_license_scan(spark):
         assert r.base_labels == ",".join(sorted({x for _, x in want})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
         assert 0 <= r.score <= 1
     assert got[302].labels == "gpl" and got[302].score == 1.0 and got[303].labels == "mit"
+    assert license.license_scan(docs.limit(0)).count() == 0
+
+
+def matching_statistics(words, templates):
+    """Of every place the longest run of words that ends there and stands in some template, by trying all of them."""
+    runs = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    return [max((k for k in range(1, at + 2) if tuple(words[at - k + 1 : at + 1]) in runs), default=0) for at in range(len(words))]
+
+
+def test_matching_statistics_against_brute_force():
+    rng = random.Random(4)
+    templates = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 12))] for _ in range(6)]
+    automaton = license.Automaton(templates)
+    for _ in range(200):
+        words = [rng.choice([b"a", b"b", b"c", b"z"]) for _ in range(rng.randint(0, 30))]
+        got = {at: size for at, _, size in automaton.stream(words)}
+        assert got == {at: n for at, n in enumerate(matching_statistics(words, templates)) if n > 1}
+
+
+def test_whole_texts_are_told_apart():
+    from riskloom.llm.licences import WHOLE
+
+    _, whole = license.scanners()
+    for label, text in WHOLE:
+        (span,) = whole.spans(f"some words before {text} and after")
+        assert whole.labels[span[2]] == label and span[3] == 1.0 and span[:2] == (3, 3 + len(words_of(text)))
+    both = whole.spans(dict(WHOLE)["mit"] + " x " * 50 + dict(WHOLE)["bsd-3-clause"].replace("copyright holder nor", "authors nor"))
+    assert [whole.labels[x[2]] for x in both] == ["mit", "bsd-3-clause"] and 0.95 < both[1][3] < 1
+    assert whole.spans("the software is provided as is") == [] and license.scanners((("own", "one two three four"),))[1].spans("one two three four")
+
+
+def test_media_digests_against_independent_ones(spark):
+    texts = ["", "é" * 100, "a" * 64, "b" * 5000, "long " * 60000]
+    docs = spark.createDataFrame([(i, t, b"x", 1) for i, t in enumerate(texts)], "doc_id long, text string, feature binary, keyframe_ranges int")
+    for r in media.media_columns(docs).collect():
+        raw = texts[r.doc_id].encode()
+        padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        n = len(padded) // 64
+        assert r.media_bytes > len(padded) and len(r.media_sha256) == 64 and len(r.keyframe_ranges) == -(-n // 16)
+        assert {k.length for k in r.keyframe_ranges} == {64} and f"duration={len(padded)};samples={n};keyframes={len(r.keyframe_ranges)}" in r.feature
+
+
+def test_fragmented_containers():
+    pack = lambda *n: struct.pack(f">{len(n)}I", *n)
+    moov = media.box(b"moov", media.box(b"trak", media.full(b"tkhd", pack(0, 0, 7)), media.box(b"mdia", media.full(b"mdhd", pack(0, 0, 1000, 0, 0)))), media.box(b"mvex", media.full(b"trex", pack(7, 1, 10, 2, 0x10000))))
+    moof = lambda at: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", pack(7)), media.full(b"trun", pack(3, at, 0, 4, 3, 3), flags=0x205)))
+    data = moov + moof(len(moof(0)) + 8) + media.box(b"mdat", b"abcdefghij")
+    (track,) = media.inspect(data)
+    assert media.read_back(data, track) == b"abcdefghij" and track.duration == 30 and track.keyframe_ranges() == track.ranges()[:1]
