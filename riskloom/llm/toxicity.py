@@ -34,7 +34,8 @@ SEEDS = ["idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "wort
 _SHOUT = re.compile(r"(?:\b[A-Z]{3,}\b\W*){4,}")
 _MARKS = re.compile(r"[!?]{3,}")
 _DRAWN = re.compile(rb"([a-z])\1{2,}")
-_MASKED = re.compile(rb"[a-z0-9@$!]*[0-9@$!][a-z0-9@$!]*")
+_RUNS = re.compile(rb"[a-z0-9@$!]+")
+_MARKER = re.compile(rb"[0-9@$!]")
 _SPACED = re.compile(rb"(?<![a-z])(?:[a-z][ .*_-]){3,}[a-z](?![a-z])")
 _DECODE = bytes.maketrans(b"013457@$!", b"oieastasi")
 PATTERNS = ["shout", "marks", "masked", "drawn", "seed", "any term", "two terms", "clean prose"]
@@ -64,7 +65,7 @@ def fired(text: str | None, terms: dict[bytes, int], heads: dict[bytes, int]) ->
     flags = [
         bool(text and _SHOUT.search(text)),
         bool(text and _MARKS.search(text)),
-        any(known(w.translate(_DECODE)) and not known(w) for w in set(_MASKED.findall(low))) or any(known(re.sub(rb"[^a-z]", b"", m)) for m in _SPACED.findall(low)),
+        any(known(w.translate(_DECODE)) and not known(w) for w in set(_RUNS.findall(low)) if _MARKER.search(w)) or any(known(re.sub(rb"[^a-z]", b"", m)) for m in _SPACED.findall(low)),
         any(known(_DRAWN.sub(rb"\1", w)) and not known(w) for w in words if _DRAWN.search(w)),
         not _SEEDS.isdisjoint(words),
         bool(own),
@@ -217,8 +218,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score is under 0.5, in their columns."""
     model = train(docs, labels)
-    rows = docs.select("text", F.struct("*").alias("row"))
-    return passed(rows, "text", lambda: _judge(model)).select("row.*")
+    return passed(docs, "text", lambda: _judge(model))
 
 
 def _judge(model: Model):
