@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import map_arrow, passed, words_of
 
-#: Bounds of what is collected to the driver: labelled rows, and terms of the lexicon.
-SAMPLE, TERMS = 20_000, 600
+#: Labelled rows to learn from; what is collected to the driver stems from them alone.
+SAMPLE = 20_000
 #: Lengths of word heads; a head is a true beginning of a word.
 HEADS = (4, 5)
 #: Fixed seed terms: common English insults.
@@ -89,8 +89,9 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
 
 
-def lexicon(sample: DataFrame, most: int = TERMS) -> tuple[list[bytes], list[bytes]]:
-    """The words and the word heads that mark toxic texts, most telling first; equal texts count once."""
+def lexicon(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """The words and the word heads that mark toxic texts, most telling first: those that stand in a hundredth of the toxic texts
+    (and four) at least, and in a tenth as many others at most. Equal texts count once."""
 
     def make():
         def step(rows):
@@ -113,7 +114,7 @@ def lexicon(sample: DataFrame, most: int = TERMS) -> tuple[list[bytes], list[byt
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
     sums = counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     told = sums.where((F.col("bad") >= max(4, n_bad * 0.01)) & (F.col("good") <= F.col("bad") * 0.1)).withColumn("gain", odds * F.col("bad"))
-    rows = [bytes(r.term) for r in told.orderBy(F.desc("gain"), "term").limit(most).collect()]
+    rows = [bytes(r.term) for r in told.orderBy(F.desc("gain"), "term").collect()]
     return [t[1:] for t in rows if t[:1] == b"w"], [t[1:] for t in rows if t[:1] == b"h"]
 
 
