@@ -27,3 +27,22 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFra
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with its place from 1 in a total order."""
     return running(df.withColumn("_one", F.lit(1).cast("bigint")), order, {name: "_one"}).drop("_one")
+
+
+def percentiles(df: DataFrame, key: str, value: str, of: dict[str, float]) -> DataFrame:
+    """key and the exact percentiles (linear between two values) named in `of`, for keys of any size; nulls do not count.
+
+    Equal values are one row with a count; running sums over a range-partitioned table then give each value its places, so
+    that no task holds the values of a key.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    rows = cut(running(per, [F.col(key), F.col(value)], {"_upto": "_n"}))
+    whole = rows.groupBy(key).agg(F.sum("_n").alias("_all"), F.min(F.col("_upto") - F.col("_n")).alias("_start"))
+    placed = rows.join(whole, key).withColumn("_low", F.col("_upto") - F.col("_n") - F.col("_start"))
+    at = lambda i: F.max(F.when((F.col("_low") <= i) & (i < F.col("_low") + F.col("_n")), F.col(value).cast("double")))
+    picks = []
+    for name, p in of.items():
+        place = F.lit(p) * (F.col("_all") - 1)
+        picks += [at(F.floor(place)).alias(f"_{name}_a"), at(F.ceil(place)).alias(f"_{name}_b"), F.max(place - F.floor(place)).alias(f"_{name}_f")]
+    out = placed.groupBy(key).agg(*picks)
+    return out.select(key, *((F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * F.col(f"_{n}_f")).alias(n) for n in of))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskloom.operators import evaluation as E
+from riskloom.operators.ordering import percentiles
 from riskloom.plans.registry import query, table
 
 _S = "s AS (SELECT d.doc_id, lang, source, round(least(d.n_chars, 10000) / 10000.0, 3) AS score, quality AS label, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
@@ -133,7 +134,10 @@ def robustness(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type AS stage, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1")
 def efficiency(spark: SparkSession, d: str) -> DataFrame:
     """Mean, median and 95th percentile (linear) of each stage."""
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95"))
+    rows = table(spark, d, "events").select(F.col("event_type").alias("stage"), "value")
+    means = rows.groupBy("stage").agg(F.round(F.avg("value"), 4).alias("mean"))
+    p = percentiles(rows, "stage", "value", {"p50": 0.5, "p95": 0.95})
+    return means.join(p, "stage", "left").select("stage", "mean", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 @query("SELECT CAST(floor(o_totalprice / 100000) AS BIGINT) AS rating, count(*) FILTER (WHERE o_orderstatus = 'F') AS bad, count(*) FILTER (WHERE o_orderstatus <> 'F') AS good FROM orders GROUP BY 1")
