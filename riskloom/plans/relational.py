@@ -211,13 +211,16 @@ def mutant_sample(spark: SparkSession, d: str) -> DataFrame:
     return R.round_robin(l, "l_partkey", "l_linenumber", 5, "l_orderkey", "l_suppkey").select(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("mutant"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey, l_suppkey, min(CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS p FROM lineitem GROUP BY 1, 2),
+t AS (SELECT l_orderkey AS o, CAST(l_suppkey AS VARCHAR) AS item, p, coalesce(nullif(abs(CAST(s_acctbal AS DOUBLE) / 100), 0), 0.5) AS c FROM l JOIN supplier ON s_suppkey = l_suppkey), r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY p, c, item) AS rn FROM t),
+f(o, rn, used, kept) AS (SELECT DISTINCT o, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST([] AS VARCHAR[]) FROM r UNION ALL SELECT f.o, r.rn, CASE WHEN p = 0 OR used + c <= 120 THEN used + c ELSE used END, CASE WHEN p = 0 OR used + c <= 120 THEN list_append(kept, item) ELSE kept END FROM f JOIN r ON r.o = f.o AND r.rn = f.rn + 1)
+SELECT o AS l_orderkey, round(used + 1e-7, 2) AS used, array_to_string(kept, ',') AS kept FROM f QUALIFY row_number() OVER (PARTITION BY o ORDER BY rn DESC) = 1""")
 def selected_tests(spark: SparkSession, d: str) -> DataFrame:
     """Tests of each change by priority and cost, within a budget; what does not fit is skipped."""
     l = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").groupBy("l_orderkey", "l_suppkey").agg(F.min(F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)).alias("priority"))
     s = table(spark, d, "supplier").select("s_suppkey", F.abs(F.col("s_acctbal") / 100).alias("t"))
     rows = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", F.col("l_suppkey").cast("string").alias("item"), "priority", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(0.5)).alias("cost"))
-    return R.budget_prefix(rows, "l_orderkey", 120.0).select("l_orderkey", F.round("used", 2).alias("used"), F.array_join("kept", ",").alias("kept"))
+    return R.budget_prefix(rows, "l_orderkey", 120.0).select("l_orderkey", F.round(F.col("used") + 1e-7, 2).alias("used"), F.array_join("kept", ",").alias("kept"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")

@@ -44,20 +44,6 @@ def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", n(token).alias("n_tokens"), n(key).alias("n_keys"), F.regexp_replace(F.regexp_replace("text", key, X.REDACTED), token, "$1" + X.REDACTED + "$2").alias("redacted"))
 
 
-@query()
-def secret_findings(spark: SparkSession, d: str) -> DataFrame:
-    """All secret rules over all texts (entropy of assigned values); rules with look-arounds, so without SQL."""
-    rows = table(spark, d, "documents").select("doc_id", F.explode(X.secrets(F.col("text"))).alias("s"))
-    return rows.groupBy("doc_id", "s.rule").agg(F.count("*").alias("n"))
-
-
-@query()
-def injection_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Injection rules over all turns of all conversations."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", X.injections(F.col("text")).alias("i"))
-    return rows.where(F.size("i") > 0).select("conv_id", "turn", F.size("i").alias("n"), X.neutralise(F.col("i")[0]["excerpt"]).alias("neutralised"))
-
-
 @query(r"""SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '(?i)(^|[^A-Za-z])(the|und|que|des)([^A-Za-z]|$)')) AS hits FROM conversations GROUP BY 1""")
 def rule_hits(spark: SparkSession, d: str) -> DataFrame:
     """Rule hits by role."""

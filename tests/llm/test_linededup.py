@@ -44,12 +44,30 @@ def corpus():
 
 def test_against_brute_force(spark):
     texts = corpus()
-    docs = spark.createDataFrame([(i, t, "u") for i, t in enumerate(texts)], "doc_id long, text string, uid string").coalesce(1)
+    docs = spark.createDataFrame([(i, t, "u") for i, t in enumerate(texts)], "doc_id long, text string, uid string").repartition(5)
     want = brute(texts)
     got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in line_classes(docs).collect()}
     assert got.keys() == want.keys()
     wrong = [k for k in want if got[k] != want[k]]
-    assert len(wrong) <= len(want) * 0.01, wrong[:5]
+    assert wrong == []
+
+
+def test_the_least_document_keeps_the_line_wherever_it_is_read(spark, tmp_path):
+    """Spark reads large files first; the line that stays is still the one of document 1."""
+    long = "\n".join(f"line {i} of the second document with words of its own {i * 7919}" for i in range(4000))
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string").coalesce(1)
+    rows((1, "one and the same line of text")).write.parquet(f"{tmp_path}/d/part=1")
+    rows((2, long + "\none and the same line of text"), (3, None), (0, "")).write.parquet(f"{tmp_path}/d/part=2")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = {(r.class_doc, r.class_line, r.kept) for r in line_classes(docs).where("doc_id = 1 or (doc_id = 2 and line_no = 4000)").collect()}
+    assert got == {(1, 0, True), (1, 0, False)}
+    assert {r.doc_id: r.text for r in deduplicated(docs).where("doc_id <> 2").collect()} == {0: "", 1: "one and the same line of text", 3: None}
+
+
+def test_ties_and_null_keys(spark):
+    docs = spark.createDataFrame([(None, "a line of some length"), (7, "x y\na line of some length"), (7, "x y\na line of some length")], "doc_id long, text string").coalesce(1)
+    got = sorted((str(r.doc_id), r.line_no, r.class_doc, r.class_line, r.kept) for r in line_classes(docs).collect())
+    assert got == [("7", 0, 7, 0, False), ("7", 0, 7, 0, True), ("7", 1, 7, 1, False), ("7", 1, 7, 1, True), ("None", 0, 7, 1, False)]
 
 
 def test_deduplicated_keeps_rows_and_columns(spark):
