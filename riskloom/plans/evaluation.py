@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskloom.operators import evaluation as E
+from riskloom.operators import risk as R
 from riskloom.operators.ordering import percentiles
 from riskloom.plans.registry import query, table
 
@@ -173,11 +174,12 @@ def oracle_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("change_id")).agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("defective"), F.countDistinct("l_suppkey").alias("impacted"))
 
 
-@query("SELECT max(n) AS top, max_by(lang, n) AS family FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
+@query(f"""WITH {_S}, p AS (SELECT lang, score, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM s GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER (PARTITION BY lang ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY lang ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY lang) AS n1, sum(neg) OVER (PARTITION BY lang) AS n0 FROM p),
+k AS (SELECT lang AS family, sum(pos / n1 * tp / (tp + fp)) AS pr_auc FROM c WHERE n1 > 0 AND n0 > 0 GROUP BY 1) SELECT family, round(pr_auc, 4) AS pr_auc FROM k ORDER BY k.pr_auc DESC, family LIMIT 1""")
 def best_family(spark: SparkSession, d: str) -> DataFrame:
-    """The family with the highest value."""
-    n = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return n.agg(F.max("n").alias("top"), F.max_by("lang", "n").alias("family"))
+    """The family with the highest area under the precision-recall curve."""
+    areas = E.ranking_scores(scored(spark, d), group=["lang"]).withColumnRenamed("lang", "family")
+    return R.best_family(areas).select("family", F.round("pr_auc", 4).alias("pr_auc"))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from riskloom.operators.campus import trend
 from riskloom.plans.registry import query, table
 
 
@@ -33,9 +34,10 @@ def exposed_share(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS age FROM events), k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM r WHERE age <= 2048) SELECT event_type, value AS p95 FROM k WHERE i = least(n - 1, CAST(round_even(0.95 * (n - 1), 0) AS BIGINT))")
 def rolling_p95(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest-rank 95th percentile of the last 2048 rows."""
-    age = F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
-    r = table(spark, d, "events").withColumn("age", age).where("age <= 2048")
+    """The nearest-rank 95th percentile of the last 2048 rows; each type is first cut in 32 parts, which keep as many each."""
+    age = lambda *by: F.row_number().over(W.partitionBy("event_type", *by).orderBy(F.desc("ts"), F.desc("event_id")))
+    last = table(spark, d, "events").withColumn("part", F.pmod("event_id", F.lit(32))).withColumn("age", age("part")).where("age <= 2048")
+    r = last.withColumn("age", age()).where("age <= 2048")
     k = r.select("event_type", "value", (F.row_number().over(W.partitionBy("event_type").orderBy("value")) - 1).alias("i"), F.count("*").over(W.partitionBy("event_type")).alias("n"))
     return k.where(F.col("i") == F.least(F.col("n") - 1, F.bround(0.95 * (F.col("n") - 1), 0).cast("bigint"))).select("event_type", F.col("value").alias("p95"))
 
@@ -52,9 +54,7 @@ def interleaved_trace(spark: SparkSession, d: str) -> DataFrame:
 def trends(spark: SparkSession, d: str) -> DataFrame:
     """The difference of the last two terms as a trend."""
     y = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
-    w = W.partitionBy("o_custkey")
-    r = y.withColumn("delta", F.col("v") - F.lag("v").over(w.orderBy("y"))).withColumn("rn", F.row_number().over(w.orderBy(F.desc("y")))).where("rn = 1")
-    return r.select("o_custkey", F.when(F.col("delta") >= 1000, "improving").when(F.col("delta") <= -1000, "declining").otherwise("steady").alias("trend"))
+    return trend(y, "o_custkey", "y", "v", 1000.0)
 
 
 @query("SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
