@@ -12,6 +12,7 @@ from riskloom.operators import history as H
 from riskloom.operators import risk as K
 from riskloom.plans.evaluation import _S, scored
 from riskloom.plans.registry import query, table
+from riskloom.plans.texts import PLANTED_SQL, planted
 from riskloom.sources.sinks import redacted_json
 from riskloom.streaming import canary as Y
 
@@ -188,17 +189,14 @@ def change_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select("change_id", *(F.round(n, 2 if n == "recent_churn" else 4).alias(n) for n in K.NAMES))
 
 
-@query("""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -p_partkey, 'key = AKIA' || upper(lpad(CAST(p_partkey AS VARCHAR), 16, 'Q')) || ' and' || CASE WHEN p_partkey % 3 = 0 THEN ' ghp_' || repeat('a1B2', 9) ELSE ' none' END || CASE p_partkey % 4 WHEN 0 THEN ' password: "Zq8vXr2Lw9Kt"' WHEN 1 THEN ' secret = "aaaaaaaaaaaaaa"' WHEN 2 THEN ' api_key="example-Zq8vXr2Lw9"' ELSE '' END FROM part),
-r(rule, p) AS (VALUES """ + ", ".join(f"('{n}', '{p}')" for n, p in X.SECRET_RULES.items()) + """),
+@query(f"WITH t AS ({PLANTED_SQL}), " + """r(rule, p) AS (VALUES """ + ", ".join(f"('{n}', '{p}')" for n, p in X.SECRET_RULES.items()) + """),
 plain AS (SELECT doc_id, rule, CAST(len(regexp_extract_all(text, p)) AS BIGINT) AS n FROM t, r WHERE regexp_matches(text, p)),
 v AS (SELECT doc_id, lower(regexp_extract(m, a, 1)) AS name, regexp_extract(m, a, 2) AS value FROM (SELECT doc_id, a, unnest(regexp_extract_all(text, a)) AS m FROM t, (SELECT '""" + X.ASSIGNED_SECRET.replace("'", "''") + """' AS a))),
 w AS (SELECT row_number() OVER () AS i, * FROM v WHERE NOT regexp_matches(value, '""" + X.PLACEHOLDER.replace("'", "''") + """')), k AS (SELECT i, length(value) AS n, c, count(*) AS k FROM (SELECT i, value, unnest(string_split(value, '')) AS c FROM w) GROUP BY 1, 2, 3), e AS (SELECT i, -sum(CAST(k AS DOUBLE) / n * log2(CAST(k AS DOUBLE) / n)) AS e FROM k GROUP BY 1)
 SELECT * FROM plain UNION ALL SELECT doc_id, 'assigned-' || name, count(*) FROM w JOIN e USING (i) WHERE e >= 3.5 GROUP BY 1, 2""")
 def secret_rules(spark: SparkSession, d: str) -> DataFrame:
     """All secret rules, entropy and placeholders of assigned values, over all texts and over planted ones."""
-    k = F.col("p_partkey")
-    planted = F.concat(F.lit("key = AKIA"), F.upper(F.lpad(k.cast("string"), 16, "Q")), F.lit(" and"), F.when(k % 3 == 0, F.concat(F.lit(" ghp_"), F.repeat(F.lit("a1B2"), 9))).otherwise(" none"), F.when(k % 4 == 0, ' password: "Zq8vXr2Lw9Kt"').when(k % 4 == 1, ' secret = "aaaaaaaaaaaaaa"').when(k % 4 == 2, ' api_key="example-Zq8vXr2Lw9"').otherwise(""))
-    texts = table(spark, d, "documents").select("doc_id", "text").unionAll(table(spark, d, "part").select((-k).alias("doc_id"), planted.alias("text")))
+    texts = planted(spark, d)
     return texts.select("doc_id", F.explode(X.secrets(F.col("text"))).alias("s")).groupBy("doc_id", "s.rule").agg(F.count("*").alias("n"))
 
 

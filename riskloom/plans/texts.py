@@ -35,13 +35,25 @@ def code_tokens(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_distinct"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) AS n_tokens, len(regexp_extract_all(text, '\b(AKIA|ASIA)[0-9A-Z]{16}\b')) AS n_keys, regexp_replace(regexp_replace(text, '\b(AKIA|ASIA)[0-9A-Z]{16}\b', '[REDACTED-SECRET]', 'g'), '(token = ")[0-9a-f]{40}(")', '\1[REDACTED-SECRET]\2', 'g') AS redacted FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"|\b(AKIA|ASIA)[0-9A-Z]{16}\b')""")
+def planted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, and a text with made-up secrets for each part."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("key = AKIA"), F.upper(F.lpad(k.cast("string"), 16, "Q")), F.lit(" and"), F.when(k % 3 == 0, F.concat(F.lit(" ghp_"), F.repeat(F.lit("a1B2"), 9))).otherwise(" none"), F.when(k % 4 == 0, ' password: "Zq8vXr2Lw9Kt"').when(k % 4 == 1, ' secret = "aaaaaaaaaaaaaa"').when(k % 4 == 2, ' api_key="example-Zq8vXr2Lw9"').otherwise(""))
+    return table(spark, d, "documents").select("doc_id", "text").unionAll(table(spark, d, "part").select((-k).alias("doc_id"), text.alias("text")))
+
+
+PLANTED_SQL = """SELECT doc_id, text FROM documents UNION ALL SELECT -p_partkey, 'key = AKIA' || upper(lpad(CAST(p_partkey AS VARCHAR), 16, 'Q')) || ' and' || CASE WHEN p_partkey % 3 = 0 THEN ' ghp_' || repeat('a1B2', 9) ELSE ' none' END || CASE p_partkey % 4 WHEN 0 THEN ' password: "Zq8vXr2Lw9Kt"' WHEN 1 THEN ' secret = "aaaaaaaaaaaaaa"' WHEN 2 THEN ' api_key="example-Zq8vXr2Lw9"' ELSE '' END FROM part"""
+_REDACTED = "text"
+for _rule in X.SECRET_RULES.values():
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_rule}', '{X.REDACTED}', 'g')"
+_REDACTED = f"regexp_replace({_REDACTED}, '" + X.ASSIGNED_VALUE.replace("'", "''") + f"', '\\1{X.REDACTED}\\3', 'g')"
+
+
+@query(f"WITH t AS ({PLANTED_SQL}), r AS (SELECT doc_id, text, {_REDACTED} AS redacted FROM t) SELECT doc_id, redacted FROM r WHERE redacted <> text")
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Secrets found and replaced."""
-    key, token = X.SECRET_RULES["aws-access-key"], r'(token = ")[0-9a-f]{40}(")'
-    rows = table(spark, d, "documents").where(F.col("text").rlike(f"{token}|{key}"))
-    n = lambda p: F.size(X.find_all(F.col("text"), p)).cast("bigint")
-    return rows.select("doc_id", n(token).alias("n_tokens"), n(key).alias("n_keys"), F.regexp_replace(F.regexp_replace("text", key, X.REDACTED), token, "$1" + X.REDACTED + "$2").alias("redacted"))
+    """Texts with secrets, after all rules have replaced them."""
+    rows = planted(spark, d).withColumn("redacted", X.redact(F.col("text")))
+    return rows.where("redacted <> text").select("doc_id", "redacted")
 
 
 @query(r"""SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '(?i)(^|[^A-Za-z])(the|und|que|des)([^A-Za-z]|$)')) AS hits FROM conversations GROUP BY 1""")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from riskloom.operators.campus import trend
 from riskloom.plans.registry import query, table
+from riskloom.streaming.canary import readings
 
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
@@ -16,13 +17,12 @@ def event_sequence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "user_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("seq"))
 
 
-@query("WITH c AS (SELECT user_id, event_id, ts, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS errors, row_number() OVER w AS requests FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), s AS (SELECT * FROM c WHERE requests % 10 = 0) SELECT user_id, event_id, CAST(requests - lag(requests, 1, 0) OVER (PARTITION BY user_id ORDER BY requests) AS BIGINT) AS d_requests, CAST(errors - lag(errors, 1, 0) OVER (PARTITION BY user_id ORDER BY requests) AS BIGINT) AS d_errors FROM s")
+@query("WITH c AS (SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS errors, row_number() OVER w AS requests, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), s AS (SELECT * FROM c WHERE requests % 10 = 0), r AS (SELECT user_id, requests AS t, requests - lag(requests) OVER w AS requests, errors - lag(errors) OVER w AS errors, value AS p95_ms FROM s WINDOW w AS (PARTITION BY user_id ORDER BY requests)) SELECT user_id, t, requests, errors, round(errors / CAST(requests AS DOUBLE), 4) AS error_rate, p95_ms FROM r WHERE requests IS NOT NULL")
 def counter_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """Differences of cumulative counters between snapshots."""
+    """Requests, errors and error rate between consecutive snapshots of counters."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    c = table(spark, d, "events").select("user_id", "event_id", F.sum((F.col("event_type") == "error").cast("bigint")).over(w).alias("errors"), F.count("*").over(w).alias("requests"))
-    by = W.partitionBy("user_id").orderBy("requests")
-    return c.where("requests % 10 = 0").select("user_id", "event_id", (F.col("requests") - F.lag("requests", 1, 0).over(by)).alias("d_requests"), (F.col("errors") - F.lag("errors", 1, 0).over(by)).alias("d_errors"))
+    c = table(spark, d, "events").select("user_id", F.sum((F.col("event_type") == "error").cast("bigint")).over(w).alias("errors"), F.count("*").over(w).alias("requests"), F.col("value").alias("p95_ms"))
+    return readings(c.where("requests % 10 = 0").withColumn("t", F.col("requests")), ["user_id"])
 
 
 @query("SELECT event_id, user_id, round(CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS DOUBLE) / count(*) OVER w, 6) AS exposed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
