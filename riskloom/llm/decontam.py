@@ -7,7 +7,9 @@ compared word by word, so the matches are exact. Every window goes through the i
 
 A document is known by its id and a hash of its text, so repeated rows repeat results and rows that share an id do
 not mix. Null texts have no words and stay with zeros. Items without words are no items; items shorter than a window
-are one window. An empty benchmark or an empty table give zeros or no rows. Other columns are not read.
+are one window. An empty benchmark or an empty table give zeros or no rows. Very long texts are indexed whole; of words
+equally rare the one that stands first in the item counts as rarer. Other columns of both tables are not read, whatever
+their names; items that repeat count once, equal item ids with different texts together.
 Test sets are broadcast only while small (BROADCAST rows); beyond that the same joins shuffle.
 """
 

@@ -4,7 +4,8 @@ A batch's new pre-tokens are held as one flat array of symbols with the number o
 round finds each pre-token's pair of lowest rank and merges all its places at once, in all pre-tokens together; what
 has no pair left is counted. Counts of pre-tokens are remembered up to a bound.
 
-Null texts are empty and have no tokens; texts of any length are counted whole; repeated rows give repeated results.
+Null texts are empty and have no tokens; texts of any length are counted whole; repeated rows give repeated results; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -54,3 +54,15 @@ def test_proximity(spark):
     near = {r.doc_id for r in proximity_matches(index, places, 3).collect()}
     assert {1, 2} <= near and 4 not in near
     assert {r.doc_id for r in alignments(index, places).collect()} >= {1}
+
+
+def test_long_texts_and_clashing_names(spark):
+    rng = random.Random(8)
+    item = " ".join(f"i{k}" for k in range(25))
+    filler = lambda n: " ".join(rng.choice(["the", "of", "i1", "i2"]) for _ in range(n))
+    texts = [(1, filler(30000) + " " + item + " " + filler(30000)), (2, filler(30000))]
+    docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in texts], "doc_id long, text string, pos int, words string, item_id string")
+    bench = spark.createDataFrame([(1, item, 3, "w", 9), (1, item, 4, "v", 9)], "item_id long, text string, width int, words string, iid long")
+    got = sorted(tuple(r) for r in decontaminate(docs, bench).collect())
+    assert got == sorted((i, *brute(t, [(1, item)])) for i, t in texts)
+    assert clean(docs, bench).columns == docs.columns
