@@ -13,24 +13,19 @@ still in several components, all its pairs across components are tried, in block
 them to be under the threshold (common.linked). Buckets, links and components are tables; nothing is collected.
 
 Words are those of common.words_of. Null and empty texts and texts without words are equal (no words) and form one
-class. Repeated rows are copies. Very long texts are hashed whole. All columns of the table are kept, whatever their names.
+class. Repeated rows are copies. A class is named after its row of the least key (doc_id unless another column is named; a
+null is last), of rows with one key the one read first. Very long texts are hashed whole; an empty table gives no rows.
+All columns of the table are kept, whatever their names; only the text goes to Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from riskloom.llm.common import linked, possible, small, stored, words_of
-from riskloom.session import importable
+from riskloom.llm.common import LONGS, across, crowded, likely, linked, map_arrow, small, stored, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -49,7 +44,7 @@ class WordHashes(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -143,10 +138,6 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-#: Longs of parities that a bag's bits have.
-LONGS = 8
-
-
 def parities(shingle: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """The bits of each of n bags for common.possible: its weight, and 64 LONGS parities; a shingle of weight w is w elements."""
     which = np.repeat(np.arange(len(weight)), weight)
@@ -168,87 +159,86 @@ def overlap(a: list[bytes], b: list[bytes]) -> float:
     return float(both / (weight.sum() - both))
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc (all columns as one struct), uid, key (a 128-bit hash of the words), bands, bits of every row; stored. Scans read the fields of doc that they need."""
-    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("uid"))
-    schema = StructType([*rows.schema, StructField("key", BinaryType()), StructField("bands", ArrayType(LongType())), StructField("bits", ArrayType(LongType()))])
-    arrow = to_arrow_schema(schema)
-    importable(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            texts = pc.struct_field(batch.column("doc"), "text").to_pylist()
-            sizes = [len(t or "") for t in texts]
-            while at < batch.num_rows:
-                size, end = 0, at
-                while end < batch.num_rows and (end == at or size + sizes[end] < 500_000) and end - at < 256:
-                    size += sizes[end]
-                    end += 1
-                part = batch.slice(at, end - at)
-                words = [words_of(t) for t in texts[at:end]]
-                at = end
-                keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+def signed(rows: DataFrame) -> DataFrame:
+    """uid, key (a 128-bit hash of the words), bands, bits of every row of rows (uid, text); stored."""
+
+    def make():
+        def step(batch):
+            out = {"uid": batch["uid"], "key": [], "bands": [], "bits": []}
+            sizes, at = [len(t or "") for t in batch["text"]], 0
+            while at < len(sizes):
+                size, end = sizes[at], at + 1
+                while end < len(sizes) and size + sizes[end] < 500_000:
+                    size, end = size + sizes[end], end + 1
+                words = [words_of(t) for t in batch["text"][at:end]]
                 parts = bags(words)
-                slots = signatures(*parts, len(words))
-                lists = [h.tolist() if w else [] for h, w in zip(band_hashes(slots), words, strict=True)]
-                columns = [*part.columns, pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(parities(*parts, len(words)).tolist(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                out["key"] += [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+                out["bands"] += [h.tolist() if w else [] for h, w in zip(band_hashes(signatures(*parts, len(words))), words, strict=True)]
+                out["bits"] += parities(*parts, len(words)).tolist()
+                at = end
+            return out
+
+        return step
 
-    return stored(rows.mapInArrow(run, schema), "signed")
+    return stored(map_arrow(rows, ["uid", "text"], "uid bigint, key binary, bands array<bigint>, bits array<bigint>", make, rows=256), "signed")
 
 
 def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b of the pairs of nodes whose bags overlap that much; texts: uid, text."""
-    wanted = pairs.select(F.col("a").alias("uid")).unionAll(pairs.select("b")).distinct()
-    texts = stored(texts.join(small(wanted), "uid", "left_semi"), "texts")
-    both = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-
-    importable(pairs.sparkSession)
-
-    def run(batches):
-        last, words = None, []
-        for batch in batches:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            keep = []
-            for i, x in enumerate(a):
-                if x != last:
-                    last, words = x, words_of(ta[i])
-                if overlap(words, words_of(tb[i])) >= threshold:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def link(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """node, root of the nodes that a verified link joins; nodes: node, bands, bits."""
-    members = nodes.select(F.explode("bands").alias("band"), "node")
-    bits = lambda own: nodes.select("node", "bits").join(small(own), "node", "left_semi")
-    return linked(members, lambda pairs: verified(texts, pairs, threshold), bits, possible(LONGS, threshold), "documents")
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows, of): the stored rows of signed(), and key, first (the uid of the class's first row), size for each key."""
-    rows = signed(docs)
-    keys = stored(rows.groupBy("key").agg(F.min("uid").alias("node"), F.count("*").alias("n")), "keys")
-    nodes = rows.select(F.col("uid").alias("node"), "bands", "bits").join(keys.select("node"), "node")
-    roots = link(rows.select("uid", F.col("doc.text").alias("text")), nodes, threshold)
-    known = keys.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    whole = known.groupBy("root").agg(F.min("node").alias("first"), F.sum("n").alias("size"))
-    return rows, known.join(whole, "root").select("key", "first", "size")
-
-
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the doc_id of the class's first row), class_size (rows) of every row of docs (doc_id, text)."""
-    rows, of = classes(docs.select("doc_id", "text"), threshold)
-    of = stored(of, "classes")
-    first = rows.select(F.col("uid").alias("first"), F.col("doc.doc_id").alias("class_id")).join(of.select("first").distinct(), "first")
-    named = of.join(first, "first").select("key", "class_id", "size")
-    return rows.join(named, "key").select(F.col("doc.doc_id").alias("doc_id"), "class_id", F.col("size").alias("class_size"))
-
-
-def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b of the pairs of nodes whose bags overlap that much; texts: node, text."""
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def make():
+        last: list = [None, None]
+
+        def step(batch):
+            out = {"a": [], "b": []}
+            for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
+                if a != last[0]:  # the pairs of a node stand together
+                    last[:] = a, words_of(text_a)
+                if overlap(last[1], words_of(text_b)) >= threshold:
+                    out["a"].append(a)
+                    out["b"].append(b)
+            return out
+
+        return step
+
+    return map_arrow(both, ["a", "b", "text_a", "text_b"], "a bigint, b bigint", make, rows=64)
+
+
+def link(rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """node, root of the nodes that a verified link joins; nodes: node (a uid), bands, bits; rows: uid, text."""
+    crowd = crowded(nodes.select(F.explode("bands").alias("band"), "node"), "documents")
+    bits = stored(nodes.select("node", "bits").join(small(crowd.select("node").distinct()), "node", "left_semi"), "documents-bits")
+    texts = stored(rows.select(F.col("uid").alias("node"), "text").join(small(bits.select("node")), "node", "left_semi"), "documents-texts")
+    verify = lambda pairs: verified(texts, likely(pairs, bits, threshold), threshold)
+    settle = lambda members: verified(texts, across(members, bits, threshold), threshold)
+    return linked(crowd, verify, settle, "documents")
+
+
+def classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """uid, first (the uid of the class's first row), first_key, size of every row of rows (uid, key, text; stored)."""
+    own = signed(rows.select("uid", "text"))
+    keys = stored(own.groupBy("key").agg(F.min("uid").alias("node"), F.count("*").alias("n")), "documents-keys")
+    nodes = own.select(F.col("uid").alias("node"), "bands", "bits").join(small(keys.select("node")), "node", "left_semi")
+    roots = link(rows.select("uid", "text"), stored(nodes, "documents-nodes"), threshold)
+    known = keys.join(roots, "node", "left").select(F.col("key").alias("words"), "n", F.coalesce("root", "node").alias("root"))
+    several = known.groupBy("root").agg(F.sum("n").alias("size")).where("size > 1")
+    of = stored(known.join(several, "root").select("words", "root", "size"), "documents-classes")
+    member = stored(own.select("uid", F.col("key").alias("words")).join(small(of), "words").join(rows.select("uid", "key"), "uid").select("uid", "key", "root", "size"), "documents-members")
+    first = member.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "uid")).alias("f"))
+    found = member.join(first, "root").select("uid", F.col("f.uid").alias("first"), F.col("f.key").alias("first_key"), "size")
+    alone = rows.select("uid", "key").join(small(member.select("uid")), "uid", "left_anti").select("uid", F.col("uid").alias("first"), F.col("key").alias("first_key"), F.lit(1).cast("bigint").alias("size"))
+    return found.unionAll(alone)
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
+    """doc_id, class_id (the key of the class's first row), class_size (rows) of every row of docs (doc_id, text)."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), "text"), "documents-rows")
+    return rows.select("uid", F.col("key").alias("doc_id")).join(classes(rows, threshold), "uid").select("doc_id", F.col("first_key").alias("class_id"), F.col("size").alias("class_size"))
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """The first row of every class, in the columns of docs."""
-    rows, of = classes(docs, threshold)
-    return rows.join(of.select(F.col("first").alias("uid")).distinct(), "uid").select("doc.*")
+    rows = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("uid")), "documents-rows")
+    of = classes(rows.select("uid", F.col("doc")[key].alias("key"), F.col("doc.text").alias("text")), threshold)
+    return rows.join(small(of.where("uid <> first").select("uid")), "uid", "left_anti").select("doc.*")

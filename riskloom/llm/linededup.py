@@ -1,19 +1,22 @@
 """Line dedup (operator 10), native: fuzzy lines by MinHash over character shingles.
 
-1. Lines become sketches where they are read. A shingle is 8 consecutive characters; the sketch hashes all of a line's
-   shingles and sorts the hashes. The hash circle is cut in 12 equal arcs; the band of an arc is its first hash with the
-   three that follow on the circle, so one band of two lines agrees with probability near the fourth power of their resemblance.
-2. Lines that share a band are candidates: each bucket links its members to its least one, by partial minima and a
-   join that adaptive execution can split.
+1. Lines become sketches where they are read. A shingle is 8 consecutive characters. Every shingle of a line is hashed, and
+   the sketch has the least hash under each of 24 orders: order c puts the hash x at place x xor c, with 24 fixed c, so that
+   the least hashes of two lines are one shingle's with probability equal to their resemblance. Minima are partial
+   aggregates in generated code, over a row for eight shingles; equal lines meet in one sketch.
+2. A sketch is a grid of 4 rows and 6 columns. Its bands are the columns and the two diagonals from the head of each column,
+   18 bands of 4 minima. Lines that share a band are candidates: each bucket links its members to its least one.
 3. Candidates are held against each other with the exact Jaccard similarity of all their shingles.
-4. Verified links become components by distributed union-find; every component keeps its first line.
-   Where a bucket's members are still in several components after that, all its pairs across components are tried, in blocks,
-   but for those whose parities prove them to be under the threshold (common.linked).
+4. Verified links become components by distributed union-find. Where a bucket's members are still in several components,
+   all its pairs across components are tried, in blocks, but for those whose parities prove them to be under the
+   threshold (common.linked). Every component keeps its first line.
 
 Lines are what "\\n" parts. Blank lines (white space only) are never duplicates. Lines shorter than a shingle are one
-shingle. Equal lines are one node, known by a 64-bit hash of the line. The first line is the one read first (in the
-order of the table's files and rows). Null texts have no lines and stay null; an empty text has one blank line; very long lines are
-sketched and compared whole; repeated rows are repeated lines. All columns of the table are kept, whatever their names.
+shingle. Equal lines are one node, known by a 64-bit hash of the line. The first line of a component is that of the least
+key (doc_id unless another column is named; a null is last), of those the one that stands first in its text; rows with one
+key come in the order in which they are read. Null texts have no lines and stay null; an empty text has one blank line; very
+long lines are sketched and compared whole; repeated rows are repeated lines; an empty table gives no rows. All columns
+of the table are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,44 +24,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import linked, possible, small, stored
+from riskloom.llm.common import LONGS, across, crowded, likely, linked, small, stored
 
-SHINGLE, ROWS, THRESHOLD = 8, 4, 0.8
+SHINGLE, ROWS, COLUMNS, THRESHOLD = 8, 4, 6, 0.8
+#: Steps to the right from row to row of the grid: columns, diagonals, and diagonals the other way.
+DIAGONALS = (0, 1, 5)
 #: White space that a blank line may have.
-SPACE = " \t\r\f\v\u00a0"
-#: The circle of signed hashes has so many arcs.
-ARCS = 12
-#: Longs of parities that a line's bits have, and characters of a piece (see hashes()).
-LONGS, PIECE = 4, 64
+SPACE = " \t\r\f\v "
+#: Shingles hashed in one row, characters of a piece of a long line.
+TOGETHER, PIECE = 8, 4096
 
 
-def hashes(line: str) -> str:
-    """SQL for the hashes of a line's shingles, each once; a line shorter than a shingle is one.
+def lines_of(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns named, line_no and line of every line of docs (text) that is not blank; line_no from 0."""
+    return docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim(F.col("line"), F.lit(SPACE)) != "")
 
-    A long line is cut in overlapping pieces first, as substring() counts characters from the start of its argument.
-    """
-    inner = lambda x: f"transform(sequence(1, length({x}) - {SHINGLE - 1}), i -> xxhash64(substring({x}, i, {SHINGLE})))"
-    pieces = f"transform(sequence(0, (length({line}) - {SHINGLE}) div {PIECE}), k -> substring({line}, cast(k * {PIECE} + 1 as int), {PIECE + SHINGLE - 1}))"
-    return f"array_distinct(case when length({line}) < {SHINGLE} then array(xxhash64({line})) when length({line}) < {PIECE + SHINGLE} then {inner(line)} else flatten(transform({pieces}, p -> {inner('p')})) end)"
+
+def _order(row: int, column: int) -> str:
+    """The constant of an order: rows lie in different quarters of the hashes, so that they rarely pick one shingle twice."""
+    place = (row << 62) + (column << 62) // COLUMNS + ((row * COLUMNS + column + 1) * 0x9E3779B97F4A7C15 & (1 << 58) - 1)
+    return f"{place - (1 << 64) if place >> 63 else place}L"
 
 
-def sketch(line: str = "line") -> Column:
-    """The bands of a line, of all its shingles."""
-    arc = lambda x: f"shiftright(shiftright({x}, 32) * {ARCS}, 32)"
-    after = ", ".join(f"s[(i + {k}) % size(s)]" for k in range(1, ROWS))
-    each = f"transform(s, (x, i) -> if(i = 0 or {arc('x')} <> {arc('s[i - 1]')}, xxhash64(x, {after}), null))"
-    return F.expr(f"transform(array(sort_array({hashes(line)})), s -> filter({each}, b -> b is not null))[0]")
+def sketches(lines: DataFrame) -> DataFrame:
+    """h, bands of every different line of lines (line).
+
+    Four bytes a character let any shingle be reached at once. A piece of a long line overlaps the next one by a shingle less a character.
+    """
+    wide = lines.select(F.xxhash64("line").alias("h"), F.coalesce(F.encode("line", "UTF-32"), F.lit(b"")).alias("wide"))
+    cut = f"transform(sequence(0, octet_length(wide) div 4 - 1, {PIECE}), k -> substring(wide, 4 * k + 1, {4 * (PIECE + SHINGLE - 1)}))"
+    pieces = wide.select("h", F.explode(F.expr(f"if(octet_length(wide) <= {4 * PIECE}, array(wide), {cut})")).alias("b"))
+    starts = pieces.select("h", "b", F.explode(F.expr(f"sequence(0, greatest(octet_length(b) div 4 - {SHINGLE}, 0), {TOGETHER})")).alias("i"))
+    first = f"xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE}))"
+    each = [F.expr(f"if(octet_length(b) >= 4 * i + {4 * (j + SHINGLE)}, xxhash64(substring(b, 4 * i + {4 * j + 1}, {4 * SHINGLE})), {first})" if j else first).alias(f"x{j}") for j in range(TOGETHER)]
+    least = lambda c: F.expr(f"least({', '.join(f'x{j} ^ {c}' for j in range(TOGETHER))})")
+    minima = starts.select("h", *each).groupBy("h").agg(*(F.min(least(_order(r, c))).alias(f"m{r}_{c}") for r in range(ROWS) for c in range(COLUMNS)))
+    bands = [F.xxhash64(F.lit(s * COLUMNS + c), *(f"m{r}_{(c + r * s) % COLUMNS}" for r in range(ROWS))) for s in DIAGONALS for c in range(COLUMNS)]
+    return minima.select("h", F.array(*bands).alias("bands"))
 
 
-def parities(line: str = "line") -> Column:
-    """The bits of a line for common.possible: how many shingles, and 64 LONGS parities."""
-    place = lambda k: f"aggregate(s, 0L, (a, x) -> a ^ if((x & 192) = {64 * k}, shiftleft(1L, cast(x & 63 as int)), 0L))"
-    return F.expr(f"transform(array({hashes(line)}), s -> array(cast(size(s) as bigint), {', '.join(map(place, range(LONGS)))}))[0]")
+def hashes(line: str) -> str:
+    """SQL for the hashes of a line's shingles, each once; a line shorter than a shingle is one."""
+    every = f"transform(sequence(1, octet_length(w) - {4 * SHINGLE - 1}, 4), i -> xxhash64(substring(w, i, {4 * SHINGLE})))"
+    return f"transform(array(encode({line}, 'UTF-32')), w -> array_distinct(if(octet_length(w) < {4 * SHINGLE}, array(xxhash64(w)), {every})))[0]"
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """uid, line_no, line of every line of docs (uid, text) that is not blank; line_no from 0."""
-    return docs.select("uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim(F.col("line"), F.lit(SPACE)) != "")
+def parities(texts: DataFrame) -> DataFrame:
+    """node, bits (for common.possible) of lines h, line, each once: how many shingles, and 64 LONGS parities."""
+    one = texts.select("h", F.explode(F.expr(hashes("line"))).alias("x"))
+    one = one.select("h", F.expr(f"shiftright(x, 6) & {LONGS - 1}").alias("place"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
+    longs = [F.bit_xor(F.expr(f"if(place = {k}, bit, 0L)")).alias(f"b{k}") for k in range(LONGS)]
+    return one.groupBy("h").agg(F.count("*").alias("n"), *longs).select(F.col("h").alias("node"), F.array("n", *(f"b{k}" for k in range(LONGS))).alias("bits"))
 
 
 def jaccard(a: str, b: str) -> Column:
@@ -68,30 +84,36 @@ def jaccard(a: str, b: str) -> Column:
     return F.expr(f"transform({counts}, q -> q.i / (q.n - q.i))[0]")
 
 
-def wanted_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """h, line of the line hashes (h) that nodes has."""
-    return lines_of(docs).select(F.xxhash64("line").alias("h"), "line").join(small(nodes), "h", "left_semi").dropDuplicates(["h"])
-
-
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b of the pairs (of line hashes) whose lines have that similarity."""
-    wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")).distinct()
-    texts = stored(wanted_lines(docs, wanted), "lines")
+def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """a, b of the pairs (of line hashes) whose lines have that similarity; texts: h, line."""
     both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     return both.where(jaccard("line_a", "line_b") >= threshold).select("a", "b")
 
 
 def link(docs: DataFrame, sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, root of the line hashes that a verified link joins; sketched: h, bands."""
-    members = sketched.select(F.explode("bands").alias("band"), F.col("h").alias("node"))
-    bits = lambda nodes: wanted_lines(docs, nodes.select(F.col("node").alias("h"))).select(F.col("h").alias("node"), parities().alias("bits"))
-    return linked(members, lambda pairs: verified(docs, pairs, threshold), bits, possible(LONGS, threshold), "lines")
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """uid, line_no, lid, h, bands of every line that is not blank; lid rises in reading order; stored."""
-    rows = lines_of(docs).select("uid", "line_no", F.xxhash64("line").alias("h"), sketch().alias("bands"))
-    return stored(rows.withColumn("lid", F.monotonically_increasing_id()), "sketches")
+    crowd = crowded(sketched.select(F.explode("bands").alias("band"), F.col("h").alias("node")), "lines")
+    wanted = crowd.select(F.col("node").alias("h")).distinct()
+    texts = stored(lines_of(docs).select(F.xxhash64("line").alias("h"), "line").join(small(wanted), "h", "left_semi").dropDuplicates(["h"]), "lines")
+    bits = stored(parities(texts), "lines-bits")
+    verify = lambda pairs: verified(texts, likely(pairs, bits, threshold), threshold)
+    settle = lambda rows: verified(texts, across(rows, bits, threshold), threshold)
+    return linked(crowd, verify, settle, "lines")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(lines, of): uid, key, line_no, h of every line of docs (uid, key, text), stored; and, of each h whose component has
+    several lines, h, first_uid, first_key, first_line (the line that the component keeps); stored. Other passes over docs
+    read texts only, so that uids need to stay the same in this one alone."""
+    lines = stored(lines_of(docs, "uid", "key").select("uid", "key", "line_no", F.xxhash64("line").alias("h")), "lines-read")
+    roots = link(docs, sketches(lines_of(docs)), threshold)
+    own = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("low"))
+    heads = own.join(small(roots), own["h"] == roots["node"], "left").where("n > 1 or root is not null").select("h", "n", "low", F.coalesce("root", "h").alias("root"))
+    heads = stored(heads, "lines-heads")  # lines that stand once and have no link are left out
+    several = heads.groupBy("root").agg(F.sum("n").alias("n"), F.min("low").alias("low")).where("n > 1").select("root", "low")
+    known = stored(heads.select("h", "root").join(several, "root"), "lines-known")
+    first = lines.join(small(known), "h").where("key <=> low").groupBy("root").agg(F.min(F.struct("line_no", "uid")).alias("f"))
+    return lines, stored(known.join(first, "root").select("h", F.col("f.uid").alias("first_uid"), F.col("low").alias("first_key"), F.col("f.line_no").alias("first_line")), "lines-first")
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
@@ -99,35 +121,24 @@ def with_uid(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("uid")), "rows")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """uid, line_no, lid, first (the lid of the line that its component keeps) of every line of docs (uid, text)."""
-    lines = sketches(docs)
-    roots = link(docs, lines.select("h", "bands"), threshold)
-    own = lines.groupBy("h").agg(F.min("lid").alias("low"))
-    heads = own.join(roots, own["h"] == roots["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
-    firsts = heads.groupBy("root").agg(F.min("low").alias("first"))
-    known = heads.join(firsts, "root").select("h", "first")
-    return lines.drop("bands").join(known, "h").select("uid", "line_no", "lid", "first")
-
-
-def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """The rows of docs, in their columns, without the lines that repeat an earlier one; n_chars, if there, is counted anew."""
     names = docs.columns
     rows = with_uid(docs)
-    drop = classes(rows.select("uid", F.col("doc.text").alias("text")), threshold).where("lid <> first").groupBy("uid").agg(F.collect_set("line_no").alias("gone"))
-    joined = rows.join(drop, "uid", "left").withColumn("whole", F.col("doc.text"))
+    lines, of = classes(rows.select("uid", F.col("doc")[key].alias("key"), F.col("doc.text").alias("text")), threshold)
+    later = lines.join(small(of), "h").where("uid <> first_uid or line_no <> first_line")
+    drop = stored(later.groupBy("uid").agg(F.collect_set("line_no").alias("gone")), "lines-gone")
+    joined = rows.join(small(drop), "uid", "left").withColumn("whole", F.col("doc.text"))
     kept = F.expr("if(gone is null, whole, array_join(filter(split(whole, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n'))")
     out = joined.select("doc", kept.alias("kept"))
     count = F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None
     return out.select(*(F.col("kept").alias(n) if n == "text" else F.when(F.col("kept").eqNullSafe(F.col("doc")["text"]), F.col("doc")[n]).otherwise(count).alias(n) if n == "n_chars" else F.col("doc")[n].alias(n) for n in names))
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc_id, line_no, class_doc, class_line (where the kept line of the component stands), kept: a row for every line that is not blank."""
-    rows = docs.select(F.col("doc_id").alias("own"), "text", F.monotonically_increasing_id().alias("uid"))
-    rows = stored(rows, "rows")
-    found = stored(classes(rows), "classes")
-    ids = rows.select("uid", "own")
-    named = found.join(ids, "uid").select(F.col("own").alias("doc_id"), "line_no", "lid", "first")
-    heads = named.where("lid = first").select(F.col("first").alias("head"), F.col("doc_id").alias("class_doc"), F.col("line_no").alias("class_line"))
-    return named.join(heads, named["first"] == heads["head"]).select("doc_id", "line_no", "class_doc", "class_line", (F.col("lid") == F.col("first")).alias("kept"))
+    lines, of = classes(docs.select(F.col(key).alias("key"), "text", F.monotonically_increasing_id().alias("uid")))
+    alone = F.col("first_line").isNull()
+    first = lambda name, own: F.when(alone, F.col(own)).otherwise(F.col(name))
+    kept = alone | ((F.col("uid") == F.col("first_uid")) & (F.col("line_no") == F.col("first_line")))
+    return lines.join(small(of), "h", "left").select(F.col("key").alias("doc_id"), "line_no", first("first_key", "key").alias("class_doc"), first("first_line", "line_no").alias("class_line"), kept.alias("kept"))
