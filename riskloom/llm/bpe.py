@@ -5,7 +5,7 @@ and every two neighbours encode to themselves when joined; those facts are kept
 tests all its pairs as one sorted array. Pre-tokens with a failing pair go through exact merging by rank.
 
 Null texts are empty; empty texts have no tokens; texts of any length are encoded whole; repeated rows give
-repeated results; other columns are not read.
+repeated results; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class Codec:
     """Encodes and decodes with a byte-level BPE vocabulary file; keep bounds the pre-tokens remembered."""
 
-    def __init__(self, source: str, keep: int = 300_000):
+    def __init__(self, source: str, keep: int = 200_000):
         spec = json.loads(source)
         back = {c: b for b, c in byte_symbols().items()}
         raw = lambda s: bytes(back[c] for c in s)
@@ -171,7 +171,19 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tu
         return step
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_arrow(docs, [*keep, text], f"{kinds}, ids binary, decoded string", make, rows=256)
+    return map_arrow(docs, [*dict.fromkeys([*keep, text])], f"{kinds}, ids binary, decoded string", make, rows=256)
+
+
+def encoded(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns of keep and ids of every row, without decoding."""
+    source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    def make():
+        c = codec(source.value)
+        return lambda rows: {k: rows[k] for k in keep} | {"ids": [x for part in by_size(rows[text]) for x in c.encode(part)]}
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return map_arrow(docs, [*dict.fromkeys([*keep, text])], f"{kinds}, ids binary", make, rows=256)
 
 
 def encoded_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
