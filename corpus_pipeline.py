@@ -36,7 +36,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the token ids (little-endian unsigned 32-bit) of what is left."""
-    out = bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json"), keep=("doc_id", "lang", "source"))
+    out = bpe.encoded(docs, vocabulary("byte_bpe_50k.json"), keep=("doc_id", "lang", "source"))
     return out.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids")
 
 
@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encoded),
 ]
 
-#: None of the stages but decontamination can be written in SQL; tests/llm hold the pipeline against a brute-force version.
+#: Of the stages, decontamination alone can be written in SQL; tests/llm hold every stage against a plain version.
 ORACLE_SQL = None
 
 
