@@ -133,3 +133,14 @@ def test_fragmented_containers():
     data = moov + moof(len(moof(0)) + 8) + media.box(b"mdat", b"abcdefghij")
     (track,) = media.inspect(data)
     assert media.read_back(data, track) == b"abcdefghij" and track.duration == 30 and track.keyframe_ranges() == track.ranges()[:1]
+
+
+def test_empty_tables_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a text", b"i", "d", 5, True)], "doc_id long, text string, ids binary, decoded string, n_tokens int, over_limit boolean")
+    count, code = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
+    n = len(Tokenizer.from_file(code).encode("a text", add_special_tokens=False).ids)
+    assert [(r.doc_id, r.n_tokens) for r in bpe.encoded_digests(docs, code).collect()] == [(1, n)]
+    assert [len(r.ids) for r in bpe.encoded(docs, code, keep=("doc_id", "text")).collect()] == [4 * n]
+    assert tokencount.token_counts(docs, count).first().n_bytes == 6
+    assert bpe.encoded_digests(docs.limit(0), code).count() == 0 and tokencount.token_counts(docs.limit(0), count).count() == 0
+    assert license.license_scan(docs.withColumnRenamed("ids", "labels")).count() == 1
