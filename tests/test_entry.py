@@ -2,6 +2,7 @@ import math
 
 import __spark_entry__ as entry
 import duckdb
+import pandas as pd
 import pytest
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,7 +21,7 @@ def duck():
 
 def rows(frame):
     """The rows of a frame in an order of their own, numbers to six digits."""
-    plain = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    plain = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted((tuple(plain(x) for x in row) for row in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
 
 
