@@ -26,7 +26,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Codec:
-    """Encodes and decodes with a byte-level BPE vocabulary file; keep bounds the pre-tokens remembered."""
+    """Encodes and decodes with a byte-level BPE vocabulary file; 2 keep bounds the pre-tokens remembered."""
 
     def __init__(self, source: str, keep: int = 200_000):
         spec = json.loads(source)
@@ -47,10 +47,9 @@ class Codec:
             self.longest[token[:2]] = max(len(token), self.longest.get(token[:2], 0))
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.old = keep, {}, {}
         self.alone: dict[int, bool] = {}
-        self.good = np.empty(0, np.int64)
-        self.bad = np.empty(0, np.int64)
+        self.pairs, self.fine = np.empty(0, np.int64), np.empty(0, bool)  # sorted, and whether both tokens stand side by side
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: the pair of lowest rank, leftmost first, until none is left."""
@@ -105,15 +104,18 @@ class Codec:
                 wrong[owner[flat == t]] = True
         inside = owner[:-1] == owner[1:]
         pairs = (flat[:-1] << 32 | flat[1:])[inside]
-        new = np.setdiff1d(pairs, np.concatenate([self.good, self.bad]))
+        seen = np.unique(pairs)
+        at = np.searchsorted(self.pairs, seen)
+        known = np.append(self.pairs, -1)[at] == seen
+        new = seen[~known]
         if len(new):
-            ok = np.fromiter((self.merge(self.bytes[a] + self.bytes[b]) == [a, b] for a, b in zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist(), strict=True)), bool, len(new))
-            if len(self.good) + len(self.bad) > 4 * self.keep:
-                keep = np.unique(pairs)
-                self.good, self.bad = np.intersect1d(self.good, keep), np.intersect1d(self.bad, keep)
-            self.good, self.bad = np.union1d(self.good, new[ok]), np.union1d(self.bad, new[~ok])
-        if len(self.bad) and len(pairs):
-            wrong[owner[:-1][inside][np.isin(pairs, self.bad)]] = True
+            fine = np.fromiter((self.merge(self.bytes[a] + self.bytes[b]) == [a, b] for a, b in zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist(), strict=True)), bool, len(new))
+            if len(self.pairs) > 4 * self.keep:  # only this batch's pairs stay
+                self.pairs, self.fine = self.pairs[at[known]], self.fine[at[known]]
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.fine = np.insert(self.pairs, place, new), np.insert(self.fine, place, fine)
+        if len(pairs):
+            wrong[owner[:-1][inside][~self.fine[np.searchsorted(self.pairs, pairs)]]] = True
         for i in np.flatnonzero(wrong).tolist():
             guess[i] = self.merge(raw[i])
         self.known.update((w, np.array(g, "<u4").tobytes()) for w, g in zip(words, guess, strict=True))
@@ -126,9 +128,12 @@ class Codec:
                 pieces.append([self.special[p] if p in self.special else self.find(p) for p in self.cut(text)])
             else:
                 pieces.append([self.find(text)])
-        if len(self.known) > self.keep:
-            self.known.clear()
+        if len(self.known) > self.keep:  # what is used again moves over from the old words
+            self.known, self.old = {}, self.known
         new = set().union(*(p for ps in pieces for p in ps if not isinstance(p, int))) - self.known.keys()
+        if again := new & self.old.keys():
+            self.known.update((w, self.old[w]) for w in again)
+            new -= again
         if new:
             self.learn(list(new))
         get = self.known.__getitem__
