@@ -36,7 +36,7 @@ from riskloom.llm.common import UPPER, release, stored, text_batches
 
 LEAST, LONGEST, TOP, SCALE, SHARE = 30, 4, 2000, 2_000_000, 80
 #: Bytes of a shard's texts, bytes parted at a time, positions of a container, entries of a range of prefixes.
-SHARD, SLICE, BITS, RANGE = 24 << 20, 4 << 20, 32, 1 << 19
+SHARD, SLICE, BITS, RANGE = 12 << 20, 2 << 20, 32, 1 << 18
 #: Bits of the tables of frequent words (2 MB) and pairs (16 MB).
 WORD_BITS, PAIR_BITS = 24, 27
 MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -133,8 +133,9 @@ class Bitmaps:
         first[:, 1:] = word[:, 1:] != word[:, :-1]
         starts = np.flatnonzero(first)
         mask = np.bitwise_or.reduceat((np.uint32(1) << (grid & 31).astype(np.uint32)).ravel(), starts) if n else np.zeros(0, np.uint32)
-        symbol, container = word.ravel()[starts], starts // BITS
-        slot = np.arange(len(starts)) - np.flatnonzero(starts % BITS == 0)[container]
+        symbol, container = word.ravel()[starts], (starts // BITS).astype(np.int32)
+        slot = np.arange(len(starts), dtype=np.int32) - np.flatnonzero(starts % BITS == 0).astype(np.int32)[container]
+        del grid, word, first, starts
         real = symbol > 0
         symbol, container, slot, mask = symbol[real], container[real], slot[real], mask[real]
         self.words, self.masks = np.zeros((n, BITS), np.int32), np.zeros((n, BITS), np.uint32)
@@ -162,6 +163,8 @@ class Bitmaps:
 
         frequent(a, b) says which pairs may be frequent; no phrase with another pair is counted or made longer.
         """
+        if not len(self.symbol):
+            return
         ends = [*np.flatnonzero(np.diff(self.symbol)) + 1, len(self.symbol)]
         start = 0
         for i, end in enumerate(ends):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bagminhash, bpe, chat, collocations, decontam, license, linededup, media, pii, tokencount, toxicity
+from riskloom.llm import bagminhash, bpe, chat, collocations, decontam, hardneg, license, linededup, media, pigeonhole, pii, tokencount, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -64,10 +64,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose vec_id is divisible by 7 first move on by one, as the contract says."""
+    rows = table(spark, sf_dir, "embeddings")
+    return hardneg.hard_negatives(rows.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,9 +85,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_decontamination, op3_chat_formatting, op4_near_dedup, op5_license_scan, op6_token_counts, op7_bpe_codec, op8_media_columns, op9_pii, op10_line_dedup, op12_collocations]
+    own = [op1_toxicity, op2_decontamination, op3_chat_formatting, op4_near_dedup, op5_license_scan, op6_token_counts, op7_bpe_codec, op8_media_columns, op9_pii, op10_line_dedup, op11_embedding_dedup, op12_collocations, op13_hard_negatives]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE_SQL, "op9_pii": pii.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
+    return {"op2_decontamination": decontam.ORACLE_SQL, "op9_pii": pii.ORACLE_SQL, "op11_embedding_dedup": pigeonhole.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL, "op13_hard_negatives": hardneg.ORACLE_SQL}
