@@ -11,6 +11,8 @@ from riskloom.operators.storage import exists, shared_folder
 from riskloom.plans.registry import query, table
 from riskloom.sources.sinks import prometheus
 from riskloom.streaming import canary as C
+from riskloom.streaming import runs as R
+from riskloom.streaming.resume import follow, since
 
 _W = "w AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, CASE WHEN user_id % 10 = 0 THEN 'canary' ELSE 'stable' END AS version, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, quantile_cont(value, 0.95) AS p95_ms FROM events GROUP BY 1, 2)"
 
@@ -95,7 +97,50 @@ def activity_feed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("event_id > 100 and event_type = 'error'").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'error') > 0 AS interrupted, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
-def run_recovery(spark: SparkSession, d: str) -> DataFrame:
-    """Runs to recover."""
-    return table(spark, d, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") > 0).alias("interrupted"), F.countDistinct("event_type").alias("kinds"))
+@query("SELECT event_id, user_id, event_type, value, CAST(epoch_us(ts) AS BIGINT) AS us FROM events WHERE event_id > 100")
+def resumed_log(spark: SparkSession, d: str) -> DataFrame:
+    """An event log in two parts, followed by a stream that is stopped between them and started again; events after number 100."""
+    base = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    half = F.pmod(F.xxhash64("user_id"), F.lit(2)) == 0
+    for part in (half, ~half):
+        rows.where(part).write.mode("append").json(f"{base}/lines")
+        follow(spark, f"{base}/lines", f"{base}/table", f"{base}/state", "event_id long, user_id long, event_type string, value double, us long").awaitTermination()
+    return since(spark, f"{base}/table", 100, "event_id")
+
+
+#: What the kinds of events stand for in the log of submissions, the time after which a run counts as interrupted, and the lateness.
+_KINDS = {"view": "submit", "click": "start", "signup": "stage", "purchase": "finish", "error": "cancel"}
+_TIMEOUT_MS, _LATE_MS = 12 * 3600 * 1000, 3600 * 1000
+
+_RUNS_SQL = f"""
+WITH RECURSIVE m AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type FROM events), mark AS (SELECT max(ms) - {_LATE_MS} AS mark FROM m),
+e AS (SELECT user_id, event_id, ms, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM m, mark WHERE ms < mark),
+f AS (
+  SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS run, 'none' AS status, false AS stopping, 0::BIGINT AS last, NULL::BIGINT AS gone, NULL::BIGINT AS gone_run, NULL::VARCHAR AS said, NULL::BIGINT AS seq, NULL::BIGINT AS ms FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, i, new_run, new_status, CASE WHEN said = 'queued' THEN false ELSE stopping OR said = 'cancel_requested' END, CASE WHEN new_status IN ('queued', 'running') THEN ms ELSE last END, gone, run, said, event_id, ms FROM (
+    SELECT *, CASE WHEN said = 'queued' THEN run + 1 ELSE run END AS new_run, CASE WHEN said IN ('queued', 'running', 'cancelled', 'completed') THEN said ELSE st END AS new_status FROM (
+      SELECT *, CASE kind WHEN 'submit' THEN CASE WHEN active THEN 'deduplicated' ELSE 'queued' END WHEN 'cancel' THEN CASE WHEN active THEN 'cancel_requested' ELSE 'not_cancellable' END
+          WHEN 'start' THEN CASE WHEN st = 'queued' THEN CASE WHEN stopping THEN 'cancelled' ELSE 'running' END END WHEN 'stage' THEN CASE WHEN st = 'running' AND stopping THEN 'cancelled' END
+          WHEN 'finish' THEN CASE WHEN st = 'running' THEN 'completed' END END AS said FROM (
+        SELECT *, st IN ('queued', 'running') AS active FROM (
+          SELECT f.user_id, e.i, f.run, f.stopping, f.last, e.event_id, e.ms, e.kind, CASE WHEN f.status IN ('queued', 'running') AND e.ms - f.last >= {_TIMEOUT_MS} THEN f.last + {_TIMEOUT_MS} END AS gone, CASE WHEN f.status IN ('queued', 'running') AND e.ms - f.last >= {_TIMEOUT_MS} THEN 'failed' ELSE f.status END AS st
+          FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))))
+), ends AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1),
+changes AS (
+  SELECT user_id, run, seq, ms, said AS status FROM f WHERE said IS NOT NULL UNION ALL SELECT user_id, gone_run, NULL, gone, 'interrupted' FROM f WHERE gone IS NOT NULL
+  UNION ALL SELECT user_id, run, NULL, last + {_TIMEOUT_MS}, 'interrupted' FROM ends, mark WHERE status IN ('queued', 'running') AND last + {_TIMEOUT_MS} < mark
+) SELECT 'repo-' || (user_id % 40) AS repo, CAST(user_id AS VARCHAR) AS ref, run, seq, ms AS at_ms, status FROM changes
+"""
+
+
+@query(_RUNS_SQL)
+def run_submissions(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions, cancellations and interrupted runs from a stream of events, kept in typed state with timers."""
+    where = f"{d}/events.parquet"
+    kind = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))[F.col("event_type")]
+    log = _stream(spark, where, spark.read.parquet(where).schema).select(F.concat(F.lit("repo-"), F.col("user_id") % 40).alias("repo"), F.col("user_id").cast("string").alias("ref"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    with R.typed_state(spark):
+        changes = _drained(spark, R.submissions(log, _TIMEOUT_MS), "append")
+    return changes.select("repo", "ref", "run", "seq", F.unix_millis("at").alias("at_ms"), "status")
