@@ -17,6 +17,7 @@ stream that is stopped and started again gives each event once.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ from riskloom.session import importable
 from riskloom.sources.readers import FIELD, RECORD
 
 SPLIT, CHUNK = 64 << 20, 1 << 20
+#: Commit, line before, line now and perhaps the lines of its group.
+_HEAD = re.compile(rb"([0-9a-f]{40}) [0-9]+ ([0-9]+)(?: [0-9]+)?")
 
 
 @dataclass
@@ -117,25 +120,24 @@ class _Blame(_Reader):
     def read(self, partition: Range) -> Iterator[tuple]:
         if not partition.path:
             return
-        sha, line, author, time, path, inside = None, None, None, None, None, partition.start == 0
-        # entries end with the line of text, which alone begins with a tab; one that begins in the range is read to its end
+        entry: dict = {}
+        # an entry begins with its commit and lines; one that begins in the range is read to its line of text, which alone begins with a tab
         for at, raw, _ in records(Range(partition.path, partition.start, 1 << 62), b"\n"):
             if raw.startswith(b"\t"):
-                if inside and sha:
-                    yield sha, path, line, author, time
-                sha, author, time, path, inside = None, None, None, None, True
-                if at + len(raw) + 1 >= partition.end:
-                    return
+                if entry:
+                    yield tuple(entry.get(c) for c in ("sha", "path", "line", "author", "author_time"))
+                entry = {}
                 continue
-            word, _, rest = raw.decode("utf-8", "replace").partition(" ")
-            if sha is None and len(word) == 40 and not set(word) - set("0123456789abcdef") and len(rest.split(" ")) >= 2:
-                sha, line = word, int(rest.split(" ")[1])
-            elif word == "author":
-                author = rest
-            elif word == "author-time":
-                time = int(rest)
-            elif word == "filename":
-                path = rest
+            if head := _HEAD.fullmatch(raw):
+                if at >= partition.end:
+                    return
+                entry = {"sha": head[1].decode(), "line": int(head[2])}
+            elif entry:
+                word, _, rest = raw.decode("utf-8", "replace").partition(" ")
+                if word == "author-time":
+                    entry["author_time"] = int(rest)
+                elif word in ("author", "filename"):
+                    entry["path" if word == "filename" else word] = rest
 
 
 class BlameSource(DataSource):
