@@ -29,6 +29,25 @@ def text_entropy(text: Column) -> Column:
     return F.aggregate(kinds, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
 
 
+def round_binary(x: Column, digits: int = 4) -> Column:
+    """A double rounded to decimal digits as its exact binary value asks for, ties to even; digits from 0 to 22.
+
+    x 10^digits is a double p and what p leaves out, both exact by Dekker's product (10^digits is a double itself). p alone decides but
+    for a half, where the rest's sign does. Values of 2^53 and more after scaling have no digits to lose; infinities and
+    NaN stay.
+    """
+    scale = 10.0**digits
+    high = lambda a: 134217729.0 * a - (134217729.0 * a - a)
+    x = x.cast("double")
+    p, top = x * scale, float(high(scale))
+    xh = high(x)
+    rest = ((xh * top - p) + xh * (scale - top) + (x - xh) * top) + (x - xh) * (scale - top)
+    whole = F.rint(p)
+    half = p - whole  # exact
+    whole = F.when((half == 0.5) & (rest > 0), whole + 1).when((half == -0.5) & (rest < 0), whole - 1).otherwise(whole)
+    return F.when(F.abs(p) < 9007199254740992.0, whole / scale).otherwise(x)
+
+
 def round_half_up(x: Column, digits: int = 2) -> Column:
     """Exact decimal rounding, halves away from zero."""
     return F.round(x.cast("decimal(38,10)"), digits)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from riskloom.functions.scalars import round_binary
 from riskloom.operators import relations as R
 from riskloom.plans.registry import query, table
 
@@ -328,3 +329,10 @@ def overview(spark: SparkSession, d: str) -> DataFrame:
     done = o.where("o_orderstatus <> 'P'").withColumn("rn", rn).join(F.broadcast(ref))
     last = F.col("rn") == 1
     return done.agg(F.max("running").alias("running"), F.count_if(last & (F.col("o_orderstatus") == "F")).alias("blocked"), F.count_if(last & (F.col("o_orderstatus") == "O")).alias("passed"), F.count_if(F.col("o_orderdate") >= F.col("ref") - F.expr("INTERVAL 7 DAYS")).alias("last_week"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', CAST(l_quantity AS DOUBLE) / 8) AS DOUBLE) AS eighth, CAST(printf('%.1f', CAST(l_extendedprice AS DOUBLE) * CAST(l_discount AS DOUBLE)) AS DOUBLE) AS off FROM lineitem")
+def rounded_values(spark: SparkSession, d: str) -> DataFrame:
+    """M2: doubles rounded by their binary value, ties to even; every second quantity over eight is such a tie."""
+    x = lambda c: F.col(c).cast("double")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", round_binary(x("l_quantity") / 8, 2).alias("eighth"), round_binary(x("l_extendedprice") * x("l_discount"), 1).alias("off"))
