@@ -11,8 +11,10 @@ from riskloom.operators.storage import exists, shared_folder
 from riskloom.plans.registry import query, table
 from riskloom.sources.sinks import prometheus
 from riskloom.streaming import canary as C
+from riskloom.streaming import latency as L
 from riskloom.streaming import runs as R
 from riskloom.streaming.resume import follow, since
+from riskloom.streaming.router import routed
 
 _W = "w AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, CASE WHEN user_id % 10 = 0 THEN 'canary' ELSE 'stable' END AS version, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, quantile_cont(value, 0.95) AS p95_ms FROM events GROUP BY 1, 2)"
 
@@ -144,3 +146,25 @@ def run_submissions(spark: SparkSession, d: str) -> DataFrame:
     with R.typed_state(spark):
         changes = _drained(spark, R.submissions(log, _TIMEOUT_MS), "append")
     return changes.select("repo", "ref", "run", "seq", F.unix_millis("at").alias("at_ms"), "status")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS router, epoch_us(ts) AS us, CASE WHEN event_type = 'signup' AND user_id % 5 = 0 THEN (user_id % 11) / 10.0::DOUBLE END AS weight FROM events),
+r AS (SELECT *, count(weight) OVER (PARTITION BY router ORDER BY us, event_id) AS run FROM e), w AS (SELECT router, run, greatest(0, least(1, weight)) AS weight FROM r WHERE weight IS NOT NULL),
+q AS (SELECT r.router, r.run, r.event_id, coalesce(w.weight, 0)::DOUBLE AS w, row_number() OVER (PARTITION BY r.router, r.run ORDER BY us, event_id) AS i FROM r LEFT JOIN w ON w.router = r.router AND w.run = r.run WHERE r.weight IS NULL),
+s AS (SELECT router, run, 0::BIGINT AS i, 0::DOUBLE AS credit, 0::BIGINT AS event_id, false AS canary FROM (SELECT DISTINCT router, run FROM q)
+  UNION ALL SELECT q.router, q.run, q.i, CASE WHEN s.credit + q.w >= 1 THEN s.credit + q.w - 1 ELSE s.credit + q.w END, q.event_id, s.credit + q.w >= 1 FROM s JOIN q ON q.router = s.router AND q.run = s.run AND q.i = s.i + 1)
+SELECT event_id, router, canary FROM s WHERE i > 0""")
+def credit_routing(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of three routers by their float credit, which each change of weight clears."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("router"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.when((F.col("event_type") == "signup") & (F.col("user_id") % 5 == 0), (F.col("user_id") % 11) / F.lit(10.0)).alias("weight"))
+    return routed(e, ["router"], ["us", "event_id"]).select("event_id", "router", "canary")
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS age FROM events), k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM r WHERE age <= 2048) SELECT event_type AS route, n, value AS p95 FROM k WHERE i = least(n - 1, CAST(round_even(0.95 * (n - 1), 0) AS BIGINT))")
+def streamed_p95(spark: SparkSession, d: str) -> DataFrame:
+    """The 95th percentile of each route's last 2048 latencies, kept as a list in the state of a stream."""
+    where = f"{d}/events.parquet"
+    requests = _stream(spark, where, spark.read.parquet(where).schema).select(F.col("event_type").alias("route"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"), "value")
+    with R.typed_state(spark):
+        states = _drained(spark, L.latest(requests), "update")
+    return L.nearest_rank(states).select("route", "n", F.col("value").alias("p95"))

@@ -1,13 +1,17 @@
+import datetime
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.functions.scalars import round_binary
+from riskloom.operators import history as H
 from riskloom.sources import formats
 from riskloom.sources.readers import parse_commits
-from riskloom.streaming import resume
+from riskloom.streaming import latency, resume
 from riskloom.streaming import runs as R
+from riskloom.streaming.router import credit_picks, routed
 
 EVENT = "seq long, kind string, data string"
 
@@ -132,3 +136,78 @@ def test_commit_and_blame_ranges(spark, tmp_path, split):
     got = {r.line: (r.sha, r.path, r.author, r.author_time) for r in formats.blame_lines(spark, str(tmp_path / "blame"), splitBytes=split).collect()}
     want = {i + 1: ((s := shas[i * 7 % 5 % 2]), f"src/{s[0]}.py", "Anna B.", 100 if s == shas[0] else 200) for i in range(12)}
     assert got == want
+
+
+def credit_loop(weights_and_requests):
+    """Picks of a router by the plain rule; a number is a new weight, None a request."""
+    weight, credit, out = 0.0, 0.0, []
+    for x in weights_and_requests:
+        if x is not None:
+            weight, credit = max(0.0, min(1.0, x)), 0.0
+            continue
+        credit += weight
+        out.append(credit >= 1.0)
+        credit -= out[-1]
+    return out
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.1, 0.3, 1 / 3, 0.999, 1.0, 1e-4, 0.7])
+def test_credit_is_followed_float_by_float(weight):
+    n = 30_000
+    assert [i + 1 for i, p in enumerate(credit_loop([weight] + [None] * n)) if p] == list(credit_picks(weight, n))
+
+
+def test_routers_in_any_order_of_rows(spark):
+    rng = random.Random(6)
+    rows = [(r, i, rng.choice([0.1, 0.3, 1.0, -2.0, 7.0, 0.0]) if rng.random() < 0.02 else None) for r in ("a", "b", None) for i in range(600)] + [("quiet", i, None) for i in range(3)]
+    log = spark.createDataFrame(rng.sample(rows, len(rows)), "router string, at long, weight double").where("router is not null")
+    got = {(r.router, r.at): r.canary for r in routed(log, ["router"], ["at"]).collect()}
+    for name in ("a", "b", "quiet"):
+        own = sorted((r for r in rows if r[0] == name), key=lambda r: r[1])
+        assert [got[name, r[1]] for r in own if r[2] is None] == credit_loop([r[2] for r in own])
+    assert routed(log.where("at < 0"), ["router"], ["at"]).collect() == []
+
+
+def test_last_latencies_over_batches_and_a_restart(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [{"route": rng.choice("aab"), "us": rng.randint(0, 400), "id": i, "value": rng.random()} for i in range(600)]
+    log, out, state = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "state")
+    log.mkdir()
+    for n in range(3):
+        (log / f"{n}.json").write_text("".join(json.dumps(r) + "\n" for r in rows[n * 200 : n * 200 + 200]))
+        with R.typed_state(spark):
+            stream = spark.readStream.schema("route string, us long, id long, value double").json(str(log))
+            q = latency.latest(stream, 50).writeStream.outputMode("update").foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+            q.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        seen = rows[: n * 200 + 200]
+        got = {r.route: (r.n, r.value) for r in latency.nearest_rank(spark.read.parquet(out), kept=50).collect()}
+        for route in "ab":
+            last = sorted((r["value"] for r in sorted((r for r in seen if r["route"] == route), key=lambda r: (r["us"], r["id"]))[-50:]))
+            assert got[route] == (len(last), last[min(len(last) - 1, round(0.95 * (len(last) - 1)))])
+
+
+def test_rounding_by_the_binary_value(spark):
+    rng = random.Random(1)
+    xs = [rng.uniform(-10, 10) for _ in range(3000)] + [rng.randint(-(10**6), 10**6) / 2 ** rng.randint(0, 12) for _ in range(3000)] + [rng.uniform(-1, 1) * 10 ** rng.randint(-20, 20) for _ in range(3000)]
+    xs += [(rng.randint(-(10**5), 10**5) * 2 + 1) / 2 / 10 ** rng.randint(0, 5) for _ in range(3000)] + [0.0, -0.0, float("inf"), 1e308, 5e-324, 2.675, 0.5, 1.5, 2.5, -0.5, 2.0**52, 2.0**51 + 0.5, 499839699574617.25]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for n in (0, 1, 2, 4, 15):
+        assert [r.x for r in df.select("x", round_binary(F.col("x"), n).alias("y")).collect() if repr(r.y) != repr(round(r.x, n))] == []
+
+
+def test_ownership_against_a_plain_loop(spark):
+    rng = random.Random(9)
+    at = lambda d: f"2024-01-{1 + d % 28:02} 00:00:{d % 60:02}"
+    history = [(f"f{rng.randint(0, 4)}", f"s{(s := rng.randint(0, 30))}", ["Ann", "bob", None][s % 3], rng.randint(1, 9), at(s)) for _ in range(80)]
+    changes = [(i, ["ANN", "Bob", None][i % 3], at(rng.randint(0, 40))) for i in range(25)] + [(99, "ann", None)]
+    touched = [(i, f"f{rng.randint(0, 5)}") for i, _, _ in changes for _ in range(rng.randint(0, 3))]
+    df = lambda rows, ddl, c: spark.createDataFrame(rows, ddl).withColumn(c, F.to_timestamp(c))
+    got = {r.change: r for r in H.ownership(df(changes, "change int, author string, at string", "at"), spark.createDataFrame(touched, "change int, file string"), df(history, "file string, sha string, author string, churn int, at string", "at"), "change", days=7).collect()}
+    seconds = lambda t: datetime.datetime.fromisoformat(t).timestamp()
+    for change, author, when in changes:
+        files = {f for c, f in touched if c == change}
+        past = [h for h in history if when and h[0] in files and seconds(h[4]) < seconds(when)]
+        ages = [min(seconds(when) - seconds(h[4]) for h in past if h[0] == f) / 86400 for f in files if any(h[0] == f for h in past)]
+        want = (len({h[1] for h in past if author and h[2] and h[2].lower() == author.lower()}), sum(h[3] for h in past if seconds(when) - seconds(h[4]) <= 7 * 86400), sum(ages) / len(ages) if ages else 0)
+        r = got[change]
+        assert (r.author_prior_commits, r.recent_churn) == want[:2] and abs(r.code_age_days - want[2]) < 1e-9 and r.author_is_new == (want[0] == 0)
