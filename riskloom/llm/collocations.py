@@ -11,9 +11,9 @@ longer, their popcounts the shard's counts. Prefixes are taken range by range of
 the next. Counts are summed over shards under the 64-bit hashes of the phrase's symbols; the table of words shows whether two
 symbols share a hash, and then another seed is taken, so that a hash stands for one word.
 
-Two passes over the shards: pairs of frequent words; phrases of three and four words whose pairs are all frequent. A phrase
-that occurs `least` times has only parts that do. The passes know frequent words and pairs by a bit table of fixed size
-(WORD_BITS, PAIR_BITS) that is broadcast; a wrong bit costs work only, since sums over all shards decide.
+A pass over the shards for each length: pairs of frequent words, then phrases whose shorter parts are all frequent. A phrase
+that occurs `least` times has only parts that do. The passes know frequent words and phrases by bit tables of fixed size
+(WORD_BITS, PHRASE_BITS) that are broadcast; a wrong bit costs work only, since sums over all shards decide.
 
 Nulls: a null text is empty, a null language is `und`. Empty texts have no words; an empty table gives no rows. Repeated rows
 count each time. A shard has whole texts, a very long one has a shard of its own (about four times its bytes in memory).
@@ -23,10 +23,12 @@ Ties are broken as the contract says: score, count, phrase in byte order. Only l
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -36,9 +38,9 @@ from riskloom.llm.common import UPPER, release, stored, text_batches
 
 LEAST, LONGEST, TOP, SCALE, SHARE = 30, 4, 2000, 2_000_000, 80
 #: Bytes of a shard's texts, bytes parted at a time, positions of a container, entries of a range of prefixes.
-SHARD, SLICE, BITS, RANGE = 12 << 20, 2 << 20, 32, 1 << 18
-#: Bits of the tables of frequent words (2 MB) and pairs (16 MB).
-WORD_BITS, PAIR_BITS = 24, 27
+SHARD, SLICE, BITS, RANGE = 8 << 20, 2 << 20, 32, 1 << 18
+#: Bits of the tables of frequent words (2 MB) and phrases (16 MB), and the bits between the places of two words' hashes.
+WORD_BITS, PHRASE_BITS, SHIFT = 24, 27, 12
 MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Sentence marks and line ends all become a full stop, tabs a space, A-Z become a-z.
 PLAIN = bytes.maketrans(MARKS + b"\t" + UPPER.encode(), b"." * len(MARKS) + b" " + UPPER.lower().encode())
@@ -112,6 +114,7 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
                 if held >= size:
                     yield row(texts)
                     texts, held = {}, 0
+                    release()
         if texts:
             yield row(texts)
         release()
@@ -158,10 +161,10 @@ class Bitmaps:
             found.append((prefix[at : at + block][row], self.words[c[row], hit & 31], c[row], both.ravel()[hit]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (prefix, np.zeros(0, np.int32), container, mask)
 
-    def phrases(self, longest: int, frequent: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(symbols, counts) of the phrases of 2 to `longest` words; symbols has a column a word.
+    def phrases(self, length: int, known: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(symbols, counts) of the phrases of `length` words; symbols has a column a word.
 
-        frequent(a, b) says which pairs may be frequent; no phrase with another pair is counted or made longer.
+        known(words) says which shorter phrases, given word by word, may be frequent; a phrase with another one in it is not counted.
         """
         if not len(self.symbol):
             return
@@ -169,17 +172,17 @@ class Bitmaps:
         start = 0
         for i, end in enumerate(ends):
             if end - start >= RANGE or i + 1 == len(ends):
-                yield from self._deeper(self.symbol[start:end, None], np.arange(end - start), self.container[start:end], self.mask[start:end], longest, frequent)
+                yield from self._deeper(self.symbol[start:end, None], np.arange(end - start), self.container[start:end], self.mask[start:end], length, known)
                 start = end
 
-    def _deeper(self, symbols: np.ndarray, prefix: np.ndarray, container: np.ndarray, mask: np.ndarray, longest: int, frequent: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _deeper(self, symbols: np.ndarray, prefix: np.ndarray, container: np.ndarray, mask: np.ndarray, length: int, known: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """As phrases(), for the prefixes in the rows of `symbols`, to which the entries prefix, container, mask belong."""
-        length = symbols.shape[1] + 1
+        now = symbols.shape[1] + 1
         prefix, word, container, mask = self.step(prefix, container, mask)
-        if length == 2:  # a prefix is an entry so far; by symbol it is one for all its containers
+        if now == 2:  # a prefix is an entry so far; by symbol it is one for all its containers
             prefix, symbols = symbols[prefix, 0], np.arange(int(self.symbol[-1]) + 1, dtype=np.int32)[:, None]
-        if frequent is not None and len(word):
-            keep = frequent(symbols[prefix, -1], word)
+        if known is not None and len(word):  # the phrase itself, or what is left of it without its first word
+            keep = known([*(symbols[prefix, i] for i in range(int(now == length), now - 1)), word])
             prefix, word, container, mask = prefix[keep], word[keep], container[keep], mask[keep]
         if not len(word):
             return
@@ -189,10 +192,11 @@ class Bitmaps:
         key = key[order]
         starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
         longer = np.column_stack([symbols[key[starts] // width], key[starts] % width]).astype(np.int32)
-        yield longer, np.add.reduceat(np.bitwise_count(mask[order]), starts, dtype=np.int64)
-        if length < longest:
+        if now == length:
+            yield longer, np.add.reduceat(np.bitwise_count(mask[order]), starts, dtype=np.int64)
+        else:
             number = np.repeat(np.arange(len(starts)), np.diff([*starts, len(key)]))
-            yield from self._deeper(longer, number, container[order], mask[order], longest, frequent)
+            yield from self._deeper(longer, number, container[order], mask[order], length, known)
 
 
 def bit_table(slots: DataFrame, bits: int) -> bytes:
@@ -203,54 +207,65 @@ def bit_table(slots: DataFrame, bits: int) -> bytes:
     return table.tobytes()
 
 
-def _pair_slot(a: str, b: str) -> Column:
-    return F.expr(f"({a} ^ shiftrightunsigned({b}, 17)) & {(1 << PAIR_BITS) - 1}L").alias("slot")
+def _slot(phrase: str) -> Column:
+    """The slot of a phrase (array of hashes) in the table of phrases: each hash gives other bits at another place."""
+    return F.expr(f"aggregate(transform({phrase}, (h, i) -> shiftrightunsigned(h, {SHIFT} * i)), 0L, (a, x) -> a ^ x) & {(1 << PHRASE_BITS) - 1}L").alias("slot")
 
 
 def _holds(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (table[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
-def _phrase_counts(hashed: DataFrame, words: bytes, pairs: bytes | None, longest: int) -> DataFrame:
-    """h1 to h<longest> (null beyond a phrase's end), n of each shard's phrases: pairs if `pairs` is None, else those of 3 words and more.
+def _phrase_counts(hashed: DataFrame, words: bytes, phrases: bytes | None, length: int) -> DataFrame:
+    """h1 to h<length>, n of each shard's phrases of so many words.
 
-    hashed: h (array, the hashes of a shard's symbols), stream; words, pairs: bit tables of what may be frequent.
+    hashed: h (array, the hashes of a shard's symbols), stream; words, phrases: bit tables of what may be frequent.
     """
     context = hashed.sparkSession.sparkContext
-    words_b, pairs_b = context.broadcast(words), context.broadcast(pairs)
-    ddl = ", ".join(f"h{i + 1} bigint" for i in range(longest)) + ", n bigint"
+    words_b, phrases_b = context.broadcast(words), context.broadcast(phrases)
+    ddl = ", ".join(f"h{i + 1} bigint" for i in range(length)) + ", n bigint"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def counts(h: np.ndarray, stream: np.ndarray) -> Iterator[list]:
-        known = _holds(np.frombuffer(words_b.value, np.int64), h & ((1 << WORD_BITS) - 1))
-        known[0] = False
-        stream = np.where(known[stream], stream, 0)
-        frequent = None
-        if pairs_b.value is not None:
-            table = np.frombuffer(pairs_b.value, np.int64)
-            low, high = h & ((1 << PAIR_BITS) - 1), (h.view(np.uint64) >> np.uint64(17)).view(np.int64) & ((1 << PAIR_BITS) - 1)
-            frequent = lambda a, b: _holds(table, low[a] ^ high[b])
-        for symbols, n in Bitmaps(stream).phrases(longest, frequent):
-            width = symbols.shape[1]
-            if frequent is None or width > 2:
-                yield [*(pa.array(h[symbols[:, i]]) if i < width else pa.nulls(len(n), pa.int64()) for i in range(longest)), pa.array(n)]
+        often = _holds(np.frombuffer(words_b.value, np.int64), h & ((1 << WORD_BITS) - 1))
+        often[0] = False
+        stream = np.where(often[stream], stream, 0)
+        known = None
+        if phrases_b.value is not None:
+            table = np.frombuffer(phrases_b.value, np.int64)
+            bits = [(h.view(np.uint64) >> np.uint64(SHIFT * i)).astype(np.int64) & ((1 << PHRASE_BITS) - 1) for i in range(length - 1)]
+            known = lambda symbols: _holds(table, reduce(np.bitwise_xor, (b[x] for b, x in zip(bits, symbols, strict=False))))
+        for symbols, n in Bitmaps(stream).phrases(length, known):
+            yield [*(pa.array(h[symbols[:, i]]) for i in range(length)), pa.array(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, stream in zip(batch.column("h"), batch.column("stream"), strict=True):
                 for columns in counts(np.concatenate([np.zeros(1, np.int64), h.values.to_numpy()]), np.frombuffer(stream.as_buffer(), "<i4")):
                     whole = pa.RecordBatch.from_arrays(columns, schema=schema)
-                    yield from (whole.slice(at, 1 << 16) for at in range(0, whole.num_rows, 1 << 16))
-        release()
+                    yield from (whole.slice(at, 1 << 14) for at in range(0, whole.num_rows, 1 << 14))
+                    del columns, whole
+                release()
 
     return hashed.mapInArrow(run, ddl)
 
 
-def _summed(each: DataFrame, longest: int, least: int) -> DataFrame:
+def _summed(each: DataFrame, length: int, least: int) -> DataFrame:
     """p (hashes of the words), a of the phrases that occur `least` times in all shards together."""
-    names = [f"h{i + 1}" for i in range(longest)]
-    total = each.groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return total.select(F.filter(F.array(*names), lambda x: x.isNotNull()).alias("p"), "a")
+    names = [f"h{i + 1}" for i in range(length)]
+    # a shard's phrases are summed already: another map of them before the shuffle would hold much and merge little
+    return each.repartition(*names).groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least).select(F.array(*names).alias("p"), "a")
+
+
+@contextmanager
+def _few_rows(spark: SparkSession, rows: int = 1) -> Iterator[None]:
+    """Arrow batches of so many rows while an action runs: a shard is a row of many megabytes."""
+    before = spark.conf.get(name := "spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -268,12 +283,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     often = words.where(F.col("n") >= least)
     known = bit_table(often.select((F.col("h").bitwiseAND(F.lit((1 << WORD_BITS) - 1))).alias("slot")), WORD_BITS)
     counts = often.select(F.array("h").alias("p"), F.col("n").alias("a"))
-    if longest >= 2:
-        pairs = stored(_summed(_phrase_counts(hashed, known, None, 2), 2, least), "pairs")
-        counts = counts.unionAll(pairs)
-    if longest >= 3:
-        held = bit_table(pairs.select(_pair_slot("p[0]", "p[1]")), PAIR_BITS)
-        counts = counts.unionAll(stored(_summed(_phrase_counts(hashed, known, held, longest), longest, least), "phrases"))
+    shorter = None
+    for length in range(2, longest + 1):
+        held = None if shorter is None else bit_table(shorter.select(_slot("p")), PHRASE_BITS)
+        with _few_rows(docs.sparkSession):
+            found = stored(_summed(_phrase_counts(hashed, known, held, length), length, least), "phrases")
+        shorter = found if shorter is None else shorter.unionAll(found)
+        counts = counts.unionAll(found)
     return words, stored(counts, "counts")
 
 

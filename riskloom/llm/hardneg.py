@@ -147,7 +147,7 @@ def hard_negatives(rows: DataFrame, every: int = EVERY, positives: int = POSITIV
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score; rows: vec_id, embedding, label."""
     spark = rows.sparkSession
     good = usable(rows.where("vec_id is not null and label is not null"), "vec_id", "label")
-    scaled = F.transform("v", lambda x: F.when(F.abs(x * SCALE) < 2.0**52, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))  # beyond, doubles are whole
+    scaled = F.transform(F.col("v").cast("array<double>"), lambda x: F.when(F.abs(x * SCALE) < 2.0**52, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))  # beyond, doubles are whole
     whole = stored(good.select(F.monotonically_increasing_id().alias("uid"), "vec_id", F.col("label").cast("int").alias("label"), scaled.alias("v")), "whole-vectors")
     schema = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
     anchor = F.col("vec_id") % every == 0

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import components, small, stored
 from riskloom.llm.vectors import mapped, matrix, tiled, usable
 
-THRESHOLD, BLOCK, TILE, SAMPLE, AXES = 0.95, 8, 2048, 4096, 4
+THRESHOLD, BLOCK, TILE, SAMPLE, AXES = 0.95, 8, 8192, 4096, 4
 #: What rounding may add to a squared distance of unit vectors.
 SLACK = 1e-9
 #: Bits of a cell's place on an axis.
@@ -80,6 +80,7 @@ class Blocks:
 
 def unit(v: np.ndarray) -> np.ndarray:
     """Rows by their norm; scaled first, so that squares neither overflow nor vanish."""
+    v = v.astype(float)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
@@ -137,20 +138,17 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     schema = "block int, cell bigint, home boolean"
     counts = mapped(nodes, schema, lambda b: touched(b, False)).groupBy("block", "cell").agg(F.count("*").alias("all"), F.sum(F.col("home").cast("long")).alias("own"))
     counts = stored(counts.where("own > 0 and all > 1").select("block", "cell", F.ceil(F.col("own") / TILE).alias("rows"), F.ceil(F.col("all") / TILE).alias("columns")), "cells")
-    rows = mapped(nodes, schema + ", node bigint, n bigint, v array<double>", lambda b: touched(b, True)).join(small(counts), ["block", "cell"])
-    sides = F.array(
-        F.struct(F.lit(True).alias("own"), F.pmod(F.xxhash64("node", F.lit(1)), "rows").alias("i"), F.lit(None).cast("bigint").alias("j")),
-        F.struct(F.lit(False).alias("own"), F.lit(None).cast("bigint").alias("i"), F.pmod(F.xxhash64("node", F.lit(2)), "columns").alias("j")),
-    )  # a resident is a row of the cell's matrix as well as a column, a visitor a column only
-    rows = rows.select("*", F.explode(F.filter(sides, lambda s: F.col("home") | ~s["own"])).alias("side"))
-    dealt = F.when(F.col("side.own"), F.sequence(F.lit(0), F.col("columns") - 1)).otherwise(F.sequence(F.lit(0), F.col("rows") - 1))
-    rows = rows.select("block", "cell", "node", "n", "v", "side", F.explode(dealt).alias("o"))
-    rows = rows.select("block", "cell", F.coalesce("side.i", "o").alias("i"), F.coalesce("side.j", "o").alias("j"), F.col("side.own").alias("own"), "node", "n", "v")
+    rows = mapped(nodes, schema + f", node bigint, n bigint, v {nodes.schema['v'].dataType.simpleString()}", lambda b: touched(b, True)).join(small(counts), ["block", "cell"])
+    # a resident is in a row of the cell's tiles and, like a visitor, in a column; a copy goes to each tile, one where they cross
+    row, column = F.pmod(F.xxhash64("node", F.lit(1)), "rows"), F.pmod(F.xxhash64("node", F.lit(2)), "columns")
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (F.col("home") & (i == row)).alias("own"), (j == column).alias("other"))
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: place(i, column))
+    across = F.filter(F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: place(row, j)), lambda t: F.col("home") & ~t["other"])
+    rows = rows.select("block", "cell", "node", "n", "v", F.explode(F.concat(down, across)).alias("t")).select("block", "cell", "t.*", "node", "n", "v")
 
     def meet(key: tuple, table: pa.Table) -> dict:
-        own = table.column("own").to_numpy()
         node, n, v = table.column("node").to_numpy(), table.column("n").to_numpy(), matrix(table.column("v"))
-        x, y = np.flatnonzero(own), np.flatnonzero(~own)
+        x, y = (np.flatnonzero(table.column(c).to_numpy()) for c in ("own", "other"))
         p, q = tile_links(blocks.value, key[0], threshold, v[x], v[y]) if len(x) and len(y) else (x[:0], y[:0])
         other = node[x[p]] != node[y[q]]
         p, q = p[other], q[other]

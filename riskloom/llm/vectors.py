@@ -16,15 +16,17 @@ from riskloom.session import importable
 
 
 def usable(rows: DataFrame, *columns: str) -> DataFrame:
-    """The columns named and v (array of double) of the rows whose embedding is not null and has finite components only.
+    """The columns named and v (array of float if the embedding is one, else of double) of the rows whose embedding is not null and has finite components only.
 
     All v have one length: a shorter vector has zeros where longer ones go on, an empty one one zero at least. -0.0 is 0.0.
     """
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     good = rows.where(F.col("embedding").isNotNull() & finite)
     length = max(good.agg(F.max(F.size("embedding"))).first()[0] or 0, 1)
-    v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
-    return good.select(*columns, F.concat(v, F.array_repeat(F.lit(0.0), F.lit(length) - F.size("embedding"))).alias("v"))
+    kind = "float" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    zero = F.lit(0.0).cast(kind)
+    v = F.transform("embedding", lambda x: x.cast(kind) + zero)
+    return good.select(*columns, F.concat(v, F.array_repeat(zero, F.lit(length) - F.size("embedding"))).alias("v"))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

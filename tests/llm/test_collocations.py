@@ -71,7 +71,7 @@ def test_bitmaps_of_a_stream():
     want = Counter()
     for k in (2, 3, 4):
         want.update(tuple(stream[i : i + k].tolist()) for i in range(len(stream) - k + 1) if (stream[i : i + k] > 0).all())
-    got = {tuple(s.tolist()): int(n) for symbols, counts in Bitmaps(stream).phrases(4) for s, n in zip(symbols, counts, strict=True)}
+    got = {tuple(s.tolist()): int(n) for k in (2, 3, 4) for symbols, counts in Bitmaps(stream).phrases(k) for s, n in zip(symbols, counts, strict=True)}
     assert got == dict(want)
 
 
