@@ -5,10 +5,10 @@
    with one of the strongest. Vectors of cosine t are at squared distance 2 (1 - t); each block has a share of it as its budget, in
    proportion to its variance. Two vectors within the whole distance are within the budget of at least one block.
 3. Range join of each block: a grid over its leading axes with cells of four radii. A vector is at home in one cell and visits
-   those that its ball touches. A cell's residents meet all who are in it, in tiles of at most TILE by TILE vectors, so that
+   those before it that its ball touches. A cell's residents meet all who are in it, in tiles of at most TILE by TILE vectors, so that
    a cell that holds many vectors is many tasks. In a tile, pairs within the block's budget are candidates.
 4. Candidates are verified exactly, by the cosine of the vectors themselves. A pair counts in the first block whose
-   budget it keeps, so that it counts once for either end. Tiles give sums of links and a spanning forest, never pairs.
+   budget it keeps, so that it counts once, for either end. Tiles give sums of links and a spanning forest, never pairs.
 5. Forests become components by distributed union-find.
 
 The axes are fitted on a bounded sample (SAMPLE vectors, those of least hash), as is the number of grid axes on the number of
@@ -22,6 +22,8 @@ Only vec_id and embedding are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,8 @@ from riskloom.llm.vectors import mapped, matrix, tiled, usable
 THRESHOLD, BLOCK, TILE, SAMPLE, AXES = 0.95, 8, 8192, 4096, 4
 #: What rounding may add to a squared distance of unit vectors.
 SLACK = 1e-9
+#: The same in single precision.
+ROUGH = 1e-5
 #: Bits of a cell's place on an axis.
 PLACE = 15
 
@@ -62,22 +66,32 @@ class Blocks:
         return np.einsum("ij,jk->ik", unit, self.axes).reshape(len(unit), self.m, self.size)
 
     def cells(self, rotated: np.ndarray) -> tuple[np.ndarray, ...]:
-        """row, block, cell, home of all cells that the balls of the vectors touch."""
+        """row, block, cell, home of the cells at home and of those visited: what the vector's ball touches, up to its home in number.
+
+        Two vectors within a block's budget are in each other's cells, so that it is enough if one of them visits the other.
+        """
         found = []
         for j in range(self.m):
             x, width, most = rotated[:, j, : self.grid[j]], self.width[j], self.budget[j] + SLACK
-            home = np.floor(x / width).astype(np.int64)
+            place = np.floor(x / width).astype(np.int64)
+            home = _packed(place)
             for step in np.ndindex(*(3,) * self.grid[j]):
-                near = home + np.array(step) - 1
+                near = place + np.array(step) - 1
                 apart = np.maximum(np.maximum(near * width - x, x - (near + 1) * width), 0)
-                row = np.flatnonzero((apart**2).sum(1) <= most)
-                cell = np.zeros(len(row), np.int64)
-                for k in range(self.grid[j]):
-                    cell = (cell << PLACE) | (near[row, k] & ((1 << PLACE) - 1))
-                found.append((row, np.full(len(row), j), cell, np.full(len(row), all(s == 1 for s in step))))
+                cell, own = _packed(near), all(s == 1 for s in step)
+                row = np.flatnonzero(((apart**2).sum(1) <= most) & ((cell < home) | own))
+                found.append((row, np.full(len(row), j), cell[row], np.full(len(row), own)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _packed(place: np.ndarray) -> np.ndarray:
+    """One number for places on up to four axes."""
+    out = np.zeros(len(place), np.int64)
+    for column in place.T:
+        out = (out << PLACE) | (column & ((1 << PLACE) - 1))
+    return out
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Rows by their norm; scaled first, so that squares neither overflow nor vanish."""
     v = v.astype(float)
@@ -99,25 +113,40 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def tile_links(blocks: Blocks, block: int, threshold: float, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in x and y (vectors) of the links that count in a block: verified, and within no earlier block's budget."""
+def tile_links(blocks: Blocks, block: int, threshold: float, x: np.ndarray, y: np.ndarray, may: Callable[[slice], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y (vectors) of the links that count in a block: verified, and within no earlier block's budget.
+
+    may: for a slice of x, by columns y, which pairs to look at; all without it. What single precision and a part of the axes rule out
+    with room for rounding is not looked at again; what is left is decided in double precision.
+    """
     ux, uy = unit(x), unit(y)
-    rx, ry = blocks.rotated(ux), blocks.rotated(uy)
+    rx, ry = ((u.astype(np.float32) @ blocks.axes.astype(np.float32)).reshape(len(u), blocks.m, blocks.size) for u in (ux, uy))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    bx, by = rx[:, block], ry[:, block]
-    ny = (by * by).sum(1)
+    bx, by = (np.ascontiguousarray(r[:, block]) for r in (rx, ry))
+    others = [(block + k) % blocks.m for k in range(1, min(3, blocks.m))]
+    ox, oy = (np.ascontiguousarray(r[:, others].reshape(len(r), -1)) for r in (rx, ry))
+    ny, whole = (by * by).sum(1), np.float32(2 * (1 - threshold) + ROUGH)
     for at in range(0, len(bx), 256):
         part = bx[at : at + 256]
-        apart = (part * part).sum(1)[:, None] + ny - 2 * (part @ by.T)
-        i, j = np.nonzero(apart <= blocks.budget[block] + SLACK)
+        apart = part @ (-2 * by.T)
+        apart += (part * part).sum(1)[:, None]
+        apart += ny
+        near = apart <= np.float32(blocks.budget[block] + ROUGH)
+        if may is not None:
+            near &= may(slice(at, at + 256))
+        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
         i += at
-        for k in range(0, len(i), 1 << 16):
-            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            keeps = ((rx[p] - ry[q]) ** 2).sum(2) <= blocks.budget
-            good = keeps[:, block] & ~keeps[:, :block].any(1)
-            p, q = p[good], q[good]
-            good = (ux[p] * uy[q]).sum(1) >= threshold
-            found.append((p[good], q[good]))
+        for k in range(0, len(i), 1 << 18):
+            p, q = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+            left = ((ox[p] - oy[q]) ** 2).sum(1) <= whole
+            p, q = p[left], q[left]
+            for h in range(0, len(p), 1 << 15):
+                a, b = p[h : h + (1 << 15)], q[h : h + (1 << 15)]
+                good = (ux[a] * uy[b]).sum(1) >= threshold
+                a, b = a[good], b[good]
+                keeps = ((blocks.rotated(ux[a]) - blocks.rotated(uy[b])) ** 2).sum(2) <= blocks.budget
+                good = keeps[:, block] & ~keeps[:, :block].any(1)
+                found.append((a[good], b[good]))
     return (np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
@@ -141,20 +170,19 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = mapped(nodes, schema + f", node bigint, n bigint, v {nodes.schema['v'].dataType.simpleString()}", lambda b: touched(b, True)).join(small(counts), ["block", "cell"])
     # a resident is in a row of the cell's tiles and, like a visitor, in a column; a copy goes to each tile, one where they cross
     row, column = F.pmod(F.xxhash64("node", F.lit(1)), "rows"), F.pmod(F.xxhash64("node", F.lit(2)), "columns")
-    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (F.col("home") & (i == row)).alias("own"), (j == column).alias("other"))
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (F.col("home") & (i == row)).alias("own"), (j == column).alias("other"), F.col("home").alias("home"))
     down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: place(i, column))
     across = F.filter(F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: place(row, j)), lambda t: F.col("home") & ~t["other"])
     rows = rows.select("block", "cell", "node", "n", "v", F.explode(F.concat(down, across)).alias("t")).select("block", "cell", "t.*", "node", "n", "v")
 
     def meet(key: tuple, table: pa.Table) -> dict:
         node, n, v = table.column("node").to_numpy(), table.column("n").to_numpy(), matrix(table.column("v"))
+        home = table.column("home").to_numpy()
         x, y = (np.flatnonzero(table.column(c).to_numpy()) for c in ("own", "other"))
-        p, q = tile_links(blocks.value, key[0], threshold, v[x], v[y]) if len(x) and len(y) else (x[:0], y[:0])
-        other = node[x[p]] != node[y[q]]
-        p, q = p[other], q[other]
+        # residents meet one another once, in order of node, and every visitor
+        p, q = tile_links(blocks.value, key[0], threshold, v[x], v[y], lambda some: (node[x[some]][:, None] < node[y]) | ~home[y]) if len(x) and len(y) else (x[:0], y[:0])
         linked, place = np.unique(np.concatenate([node[x[p]], node[y[q]]]), return_inverse=True)
-        sums = np.zeros(len(linked), np.int64)
-        np.add.at(sums, place[: len(p)], n[y[q]])
+        sums = np.bincount(place, np.concatenate([n[y[q]], n[x[p]]]), len(linked)).astype(np.int64) if len(p) else np.zeros(0, np.int64)
         return {"node": linked, "n": sums, "root": linked[forest(place[: len(p)], place[len(p) :], len(linked))]}
 
     return tiled(rows, ["block", "cell", "i", "j"], "node bigint, n bigint, root bigint", meet)

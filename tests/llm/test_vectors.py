@@ -82,10 +82,10 @@ def test_each_pair_counts_in_one_block_and_one_cell():
     homes = {(r, b): c for r, b, c, h in zip(row, block, cell, home, strict=True) if h}
     inside = set(zip(row, block, cell, strict=True))
     rotated = blocks.rotated(v)
-    for i, j in want:  # whoever is within a block's budget is in the other's cell
+    for i, j in want:  # of two within a block's budget one is in the other's cell, both if they live in it
         for b in range(blocks.m):
-            if ((rotated[i, b] - rotated[j, b]) ** 2).sum() <= blocks.budget[b]:
-                assert (j, b, homes[i, b]) in inside
+            if i != j and ((rotated[i, b] - rotated[j, b]) ** 2).sum() <= blocks.budget[b]:
+                assert ((j, b, homes[i, b]) in inside) + ((i, b, homes[j, b]) in inside) == (2 if homes[i, b] == homes[j, b] else 1)
 
 
 def negatives_brute(rows):
