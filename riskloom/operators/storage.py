@@ -30,9 +30,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(hadoop).exists(p)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written in the shared folder and read again: the lineage is cut, and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written in the shared folder and read again: the lineage is cut, and a lost executor loses nothing. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
