@@ -45,7 +45,7 @@ MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Sentence marks and line ends all become a full stop, tabs a space, A-Z become a-z.
 PLAIN = bytes.maketrans(MARKS + b"\t" + UPPER.encode(), b"." * len(MARKS) + b" " + UPPER.lower().encode())
 UNKNOWN = b"und"
-#: A shard: its symbols with their counts, and their numbers by position (from 1, little-endian; 0 is no word).
+#: A shard: its symbols with their counts, and their numbers by position (from 1; 0 is no word), as _planes() puts them.
 SHARD_ROW = "words array<struct<lang: binary, word: binary, n: bigint>>, stream binary"
 
 
@@ -93,6 +93,15 @@ def shard(texts: dict[bytes, list[bytes]]) -> tuple[pa.StructArray, np.ndarray]:
     return pa.concat_arrays(known), np.concatenate(stream)
 
 
+def _planes(stream: np.ndarray) -> bytes:
+    """First the low bytes of all numbers, last the high ones, which are mostly zeros and so take little room when compressed."""
+    return np.ascontiguousarray(stream.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _stream(planes: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
     """The shards of docs (lang, text), as SHARD_ROW."""
     text_batches(docs)
@@ -100,7 +109,7 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
 
     def row(texts: dict[bytes, list[bytes]]) -> pa.RecordBatch:
         words, stream = shard(texts)
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words).cast(schema.field(0).type), pa.array([stream.astype("<i4").tobytes()], pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words).cast(schema.field(0).type), pa.array([_planes(stream)], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[bytes, list[bytes]] = {}
@@ -241,7 +250,7 @@ def _phrase_counts(hashed: DataFrame, words: bytes, phrases: bytes | None, lengt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, stream in zip(batch.column("h"), batch.column("stream"), strict=True):
-                for columns in counts(np.concatenate([np.zeros(1, np.int64), h.values.to_numpy()]), np.frombuffer(stream.as_buffer(), "<i4")):
+                for columns in counts(np.concatenate([np.zeros(1, np.int64), h.values.to_numpy()]), _stream(stream.as_buffer())):
                     whole = pa.RecordBatch.from_arrays(columns, schema=schema)
                     yield from (whole.slice(at, 1 << 14) for at in range(0, whole.num_rows, 1 << 14))
                     del columns, whole
@@ -271,7 +280,7 @@ def _few_rows(spark: SparkSession, rows: int = 1) -> Iterator[None]:
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(words, counts): h, lang, word, n of all words; p (array of hashes), a of all phrases of 1 to `longest` words that occur `least`
     times within pieces. Both stored."""
-    table = stored(shards(docs), "shards")
+    table = stored(shards(docs), "shards", compression="zstd")
     total = stored(table.select(F.explode("words").alias("w")).groupBy("w.lang", "w.word").agg(F.sum("w.n").alias("n")), "symbols")
     seed = 0
     while True:
