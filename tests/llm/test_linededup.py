@@ -110,3 +110,40 @@ def test_long_near_copies_are_found_in_every_language(spark):
     for kind in WORDS:
         own = [i for i, (k, _) in enumerate(pairs) if k == kind]
         assert sum(got[i, 0] == got[i, 1] for i in own) >= 0.98 * len(own), kind
+
+
+def near_pair(rng, length, least, most):
+    """Two lines of about so many characters whose similarity lies between least and most."""
+    letters = "abcdefghijklmnopqrstuvwxyz 0123456789"
+    while True:
+        a = "".join(rng.choice(letters) for _ in range(length)).strip()
+        b = list(a)
+        for _ in range(rng.randint(1, 1 + length // 60)):
+            at = rng.choice([0, len(b) - 1, rng.randrange(len(b))])
+            b[at : at + rng.randint(0, 1)] = rng.choice(letters)
+        b = "".join(b).strip()
+        x, y = sh(a), sh(b)
+        if a != b and least <= len(x & y) / len(x | y) <= most:
+            return a, b
+
+
+def test_short_lines_lose_no_link(spark):
+    """Pairs at 0.8 to 0.85 by length of line; those of fewer than 86 shingles are found for certain."""
+    rng = random.Random(11)
+    lost = {}
+    for length in (16, 20, 26, 40, 90, 200):
+        pairs = [near_pair(rng, length, 0.8, 0.88 if length < 30 else 0.85) for _ in range(300)]
+        docs = spark.createDataFrame([(2 * i + k, line) for i, p in enumerate(pairs) for k, line in enumerate(p)], "doc_id long, text string")
+        kept = {r.doc_id: r.class_doc for r in line_classes(docs).collect()}
+        lost[length] = sum(kept[2 * i] != kept[2 * i + 1] for i in range(len(pairs)))
+    assert all(n == 0 for length, n in lost.items() if length <= 90), lost
+    assert lost[200] <= 3, lost
+
+
+def test_numbered_short_lines_against_brute_force(spark):
+    """Many lines that share most of their shingles: the frequent ones come last among the keys."""
+    rng = random.Random(12)
+    texts = ["\n".join(f"{rng.choice(['Item number', 'Line no.', 'of the other'])} {rng.randint(0, 99999)}{rng.choice(['', ' a', '.'])}" for _ in range(30)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in line_classes(docs).collect()}
+    assert got == brute(texts)
