@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["change_risk", "verifying", "relational", "windows", "evaluation", "studies", "texts", "retrieving", "graphs", "campus", "code", "events"]
+_MODULES = ["functions", "change_risk", "verifying", "relational", "windows", "evaluation", "studies", "texts", "retrieving", "graphs", "campus", "code", "events"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
