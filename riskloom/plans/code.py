@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import code as C
+from riskloom.functions import generate as G
 from riskloom.plans.registry import query, table
 
 
@@ -51,3 +52,35 @@ def diff_files(spark: SparkSession, d: str) -> DataFrame:
     diffs = table(spark, d, "part").select(F.concat(F.lit("d"), k).alias("id"), text.alias("text"))
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return C.diffs_of(diffs).select("id", "path", "status", join("added_lines").alias("added"), join("removed_lines").alias("removed"))
+
+
+def varied_sources(spark: SparkSession, d: str) -> DataFrame:
+    """path, text of a module for each part: one to four functions whose branches, loops and numbers come from the part's size."""
+    text = F.expr("""concat('import os\nimport re\n\nLIMIT = ', cast(p_size as string), '\n', array_join(transform(sequence(0, p_size % 4), i -> concat(
+        '\n\ndef work_', cast(i as string), '(amount, rate=2):\n    total = amount * ', cast(p_size + 2 as string), '\n',
+        repeat(concat('    if total > ', cast(p_size + i as string), ':\n        total = total - rate\n'), cast((i + p_size) % 3 as int)),
+        if(i % 2 = 1, '    for step in range(3):\n        total += step\n', ''), '    return total\n')), ''),
+        '\n\ndef test_work_0():\n    assert work_0(1) >= 0\n')""")
+    return table(spark, d, "part").select(F.concat(F.lit("pkg/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+
+
+@query("SELECT 'pkg/p' || p_partkey || '.py' AS path, 'work_' || i AS qualname, CAST(1 + (i + p_size) % 3 + i % 2 AS INTEGER) AS complexity FROM (SELECT *, unnest(generate_series(0, p_size % 4)) AS i FROM part) UNION ALL SELECT 'pkg/p' || p_partkey || '.py', 'test_work_0', 2 FROM part")
+def varied_complexity(spark: SparkSession, d: str) -> DataFrame:
+    """Cyclomatic complexity of functions that differ from module to module; an assertion counts as a branch."""
+    return C.complexity_of(varied_sources(spark, d)).select("path", "qualname", "complexity")
+
+
+@query()
+def generated_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled changes of every category that a module gives; syntax trees have no SQL, tests run what the changes make."""
+    made = G.changes_of(varied_sources(spark, d))
+    return made.select("path", "category", "kind", "unit", "label", "proven", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber AS path, 'C4' AS category, 'revert:' || left(sha256(CAST(l_orderkey AS VARCHAR)), 12) AS kind, 1 AS label, 'rate = ' || l_linenumber AS text FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber <> CAST(l_quantity AS INTEGER)")
+def regression_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Fixes taken back (C4); a returned line stands for a fix of its number to its quantity."""
+    line = table(spark, d, "lineitem").where("l_returnflag <> 'N'")
+    text = lambda c: F.concat(F.lit("rate = "), F.col(c).cast("int").cast("string"))
+    fixes = line.select(F.sha2(F.col("l_orderkey").cast("string"), 256).alias("sha"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"), text("l_linenumber").alias("before"), text("l_quantity").alias("after"))
+    return G.regressions(fixes)
