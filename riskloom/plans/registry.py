@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["functions", "change_risk", "verifying", "relational", "windows", "evaluation", "studies", "texts", "retrieving", "graphs", "campus", "code", "events"]
+_MODULES = ["functions", "impacts", "change_risk", "verifying", "relational", "windows", "evaluation", "studies", "texts", "retrieving", "graphs", "campus", "code", "events"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its function's name; sql: what DuckDB runs to check it."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql

@@ -174,11 +174,13 @@ def merged_claims(spark: SparkSession, d: str) -> DataFrame:
     return R.merge_claims(c).select("type", "target", "ord", F.size("evidence_ids").cast("bigint").alias("evidence"))
 
 
-@query("SELECT DISTINCT l_suppkey AS test FROM lineitem WHERE l_partkey <= 20 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal < 0")
+@query("SELECT p_partkey AS change, l_suppkey AS test FROM lineitem JOIN part ON p_partkey = l_partkey UNION SELECT p_partkey, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey + 1 JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 0")
 def impacted_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Tests that run changed lines, or fail."""
-    hit = table(spark, d, "lineitem").where("l_partkey <= 20").select(F.col("l_suppkey").alias("test"))
-    return hit.union(table(spark, d, "supplier").where("s_acctbal < 0").select("s_suppkey")).distinct()
+    """Of every part as a change, the tests that run it, or that run the part before it and fail."""
+    ran = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("test")).distinct()
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("change"))
+    failing = ran.join(table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("test")), "test", "left_semi")
+    return ran.select(F.col("part").alias("change"), "test").unionByName(failing.select((F.col("part") + 1).alias("change"), "test")).join(part, "change", "left_semi").distinct()
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")

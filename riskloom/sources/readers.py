@@ -66,8 +66,10 @@ def json_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def source_tree(spark: SparkSession, path: str, skip: list[str] | None = None) -> DataFrame:
     """path, text of the Python files under a folder, without skipped folders; line ends are \\n."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.py").select(F.col("_metadata.file_path").alias("full"), "value")
-    rel = F.regexp_replace("full", f"^.*?{path.rstrip('/').rsplit('/', 1)[-1]}/", "")
-    rows = files.select(rel.alias("path"), F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")).alias("text"))
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/") + "/"
+    rel = F.expr("substring(full, instr(full, root) + length(root))")
+    rows = files.withColumn("root", F.lit(root)).select(rel.alias("path"), F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")).alias("text"))
     for folder in skip or [".git", "__pycache__", ".venv", "node_modules"]:
         rows = rows.where(~F.concat(F.lit("/"), "path").contains(f"/{folder}/"))
     return rows

@@ -75,3 +75,16 @@ def test_comments_and_check_runs(spark):
     assert body["a"] == "## BLOCK (risk 0.91)\ntests fail\n\n| claim | target | status |\n|-|-|-|\n| test_impact | `t` | REFUTED |\n| api_break | `x\\|y` | VERIFIED |"
     assert body["b"] == "## PASS (risk 0.10)\n"
     assert {(r.id, r.conclusion) for r in sinks.check_runs(d, "id").collect()} == {("a", "failure"), ("b", "success")}
+
+
+def test_source_tree_below_folders_of_the_same_name(spark, tmp_path):
+    from riskloom.sources.readers import source_tree
+
+    root = tmp_path / "src" / "y" / "src"
+    (root / "a" / ".venv").mkdir(parents=True)
+    (root / "a" / "m.py").write_text("x = 1\r\ny = 2\n")
+    (root / "a" / ".venv" / "skip.py").write_text("")
+    (root / "n.txt").write_text("no")
+    (root / "top.py").write_text("z = 1")
+    for given in (str(root), str(root) + "/", f"file://{root}"):
+        assert sorted(map(tuple, source_tree(spark, given).collect())) == [("a/m.py", "x = 1\ny = 2\n"), ("top.py", "z = 1")]
