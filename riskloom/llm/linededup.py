@@ -35,8 +35,8 @@ SHINGLE, ROWS, COLUMNS, THRESHOLD = 8, 4, 6, 0.8
 DIAGONALS = (0, 1, 5)
 #: White space that a blank line may have.
 SPACE = " \t\r\f\v "
-#: Characters of a short line: at 0.8 the longest partner of 86 shingles, below which bands lose links, has 107.
-SHORT = 107 + SHINGLE - 1
+#: Characters of a short line: bands lose more than one link in 300 under 46 shingles, whose partners at 0.8 have 56 at most.
+SHORT = 56 + SHINGLE - 1
 #: Bits of the table of frequent shingles, and the share of the lines looked at that makes one frequent.
 FREQUENT_BITS, FREQUENT = 20, 1 / 4096
 #: Shingles hashed in one row, characters of a piece of a long line.
