@@ -124,3 +124,20 @@ def test_scores_beyond_doubles():
     assert scores(a, np.array([[2.0**20, 5.0]])).tolist() == [[2**60 + 15], [2**20 + 5]]
     with pytest.raises(OverflowError):
         scores(a, np.array([[2.0**40, 5.0]]))
+
+
+def test_queries_equal_their_sql_where_there_are_links(spark, tmp_path):
+    import duckdb
+
+    from riskloom.llm import hardneg, pigeonhole, registered
+
+    rows = clouds(8, 300, 24, 10)
+    frame(spark, rows).select("vec_id", "embedding", "label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for query, sql in ((registered.op11_embedding_dedup, pigeonhole.ORACLE_SQL), (registered.op13_hard_negatives, hardneg.ORACLE_SQL)):
+        got = query(spark, str(tmp_path))
+        result = con.execute(sql)
+        names = [c[0] for c in result.description]
+        assert names == got.columns
+        assert sorted(result.fetchall()) == sorted(map(tuple, got.collect())) != []
