@@ -24,6 +24,8 @@ UNIT = 64
 RATE = 8000
 #: Fixed box types that hold other boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"moof", b"traf", b"mvex", b"udta"}
+#: Boxes within boxes at most.
+DEEP = 64
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -88,9 +90,12 @@ class Track:
 
 
 def walk(data: bytes | memoryview, start: int = 0, end: int | None = None):
-    """(type, body start, body end) of every box, outer ones first."""
-    at, end = start, len(data) if end is None else end
-    while at + 8 <= end:
+    """(type, body start, body end) of every box, outer ones first; boxes nested deeper than DEEP are no container."""
+    open_ = [(start, len(data) if end is None else end)]
+    while open_:
+        at, end = open_.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         body = at + 8
         if size == 1 and at + 16 <= end:
@@ -99,21 +104,26 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None):
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} at {at} leaves its parent")
         yield kind, body, stop
+        open_.append((stop, end))
         if kind in NESTED:
-            yield from walk(data, body, stop)
-        at = stop
+            if len(open_) > DEEP:
+                raise ValueError(f"box {kind!r} at {at} lies too deep")
+            open_.append((body, stop))
 
 
 class _Runs:
     """The samples of movie fragments: run by run, sizes and flags from the run, else the fragment, else the track's defaults."""
 
-    def __init__(self):
-        self.base = 0
+    def __init__(self, most: int) -> None:
+        """most: samples that a container of this size can say anything about."""
+        self.base, self.most, self.track = 0, most, None
         self.found: list[tuple[Track, int, int, int, bool]] = []  # track, offset, size, duration, keyframe
 
     def start(self, numbers, at: int, tracks: list[Track], defaults: dict[int, tuple[int, ...]]) -> None:
         flags, number = numbers(at, 1)[0] & 0xFFFFFF, numbers(at + 4, 1)[0]
-        self.track = next(t for t in tracks if t.number == number)
+        self.track = next((t for t in tracks if t.number == number), None)
+        if self.track is None:
+            raise ValueError(f"a fragment of track {number}, which is not there")
         self.duration, self.size, self.flags = defaults.get(number, (0, 0, 0))
         at += 8
         self.offset = self.base
@@ -128,6 +138,8 @@ class _Runs:
 
     def add(self, numbers, at: int) -> None:
         flags, n = numbers(at, 1)[0] & 0xFFFFFF, numbers(at + 4, 1)[0]
+        if self.track is None or len(self.found) + n > self.most:
+            raise ValueError("a run of no fragment, or of more samples than the container has bytes")
         at, first = at + 8, None
         if flags & 0x1:
             self.next, at = self.offset + numbers(at, 1, "i")[0], at + 4
@@ -160,7 +172,7 @@ def inspect(data: bytes) -> list[Track]:
     numbers = lambda at, n, width="I": struct.unpack_from(f">{n}{width}", data, at)
     pending: list[tuple[Track, list[int], list[tuple[int, int, int]]]] = []
     defaults: dict[int, tuple[int, ...]] = {}
-    runs = _Runs()
+    runs = _Runs(len(data))
     try:
         for kind, at, _ in walk(data):
             if kind == b"trak":
@@ -184,6 +196,8 @@ def inspect(data: bytes) -> list[Track]:
                 to_chunk += zip(flat[::3], flat[1::3], flat[2::3], strict=True)
             elif kind == b"stsz":
                 size, n = numbers(at + 4, 2)
+                if n * max(size, 1) > len(data):
+                    raise ValueError("more samples than the container has bytes")
                 tracks[-1].sizes = [size] * n if size else list(numbers(at + 12, n))
             elif kind in (b"stco", b"co64"):
                 chunks += numbers(at + 8, numbers(at + 4, 1)[0], "I" if kind == b"stco" else "Q")
@@ -202,6 +216,8 @@ def inspect(data: bytes) -> list[Track]:
                 continue
             sample = 0
             for k, (first, per, _) in enumerate(deal):
+                if first < 1:
+                    raise ValueError("chunks are counted from 1")
                 until = deal[k + 1][0] if k + 1 < len(deal) else len(own) + 1
                 for c in range(first, until):
                     where = own[c - 1]

@@ -144,3 +144,30 @@ def test_empty_tables_and_clashing_names(spark):
     assert tokencount.token_counts(docs, count).first().n_bytes == 6
     assert bpe.encoded_digests(docs.limit(0), code).count() == 0 and tokencount.token_counts(docs.limit(0), count).count() == 0
     assert license.license_scan(docs.withColumnRenamed("ids", "labels")).count() == 1
+
+
+def test_broken_containers_give_no_tracks():
+    import random
+    import struct
+
+    b, full = media.box, media.full
+    deep = b""
+    for _ in range(1200):
+        deep = b(b"moov", deep)
+    trak = b(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 1)))
+    stsz = lambda size, n: b(b"moov", b(b"trak", full(b"stsz", struct.pack(">II", size, n))))
+    unknown = b(b"moov", trak) + b(b"moof", b(b"traf", full(b"tfhd", struct.pack(">I", 7))))
+    early = b(b"moov", trak) + b(b"moof", b(b"traf", full(b"trun", struct.pack(">I", 1))))
+    many = b(b"moov", trak) + b(b"moof", b(b"traf", full(b"tfhd", struct.pack(">I", 1)), full(b"trun", struct.pack(">I", 1 << 31))))
+    for data in (deep, stsz(1, 0xFFFFFFFF), stsz(0, 0xFFFFFFFF), unknown, early, many):
+        assert media.inspect(data) == []
+    rng = random.Random(4)
+    good = media.pack(media.padded("some text " * 400))
+    assert len(media.inspect(good)) == 1
+    for _ in range(3000):
+        data = bytearray(good[: rng.choice([len(good), rng.randint(0, len(good))])])
+        for _ in range(rng.randint(1, 8)):
+            if data:
+                at = rng.randrange(len(data) if rng.random() < 0.3 else min(len(data), 700))
+                data[at] = rng.choice([0, 1, 255, rng.randrange(256)])
+        assert isinstance(media.inspect(bytes(data)), list)
