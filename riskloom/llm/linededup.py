@@ -8,8 +8,7 @@
    18 bands of 4 minima. Lines that share a band are candidates: each bucket links its members to its least one.
    Of short lines (SHORT characters at most) minima pick the same few shingles again and would lose links. They have prefix
    keys beside the bands: of n shingles, in one order for all lines, the first n - ceil(0.8 n) + 1. Two short lines at 0.8 or more
-   share one of these for certain. Rare shingles come first; which are frequent is counted on a sixteenth of the short lines,
-   and changes the order alone.
+   share one of these for certain. The order is by the number of short lines that have a shingle, rare ones first.
 3. Candidates are held against each other with the exact Jaccard similarity of all their shingles.
 4. Verified links become components by distributed union-find. Where a bucket's members are still in several components,
    all its pairs across components are tried, in blocks, but for those whose parities prove them to be under the
@@ -37,8 +36,6 @@ DIAGONALS = (0, 1, 5)
 SPACE = " \t\r\f\v "
 #: Characters of a short line: bands lose more than one link in 300 under 46 shingles, whose partners at 0.8 have 56 at most.
 SHORT = 56 + SHINGLE - 1
-#: Bits of the table of frequent shingles, and the share of the lines looked at that makes one frequent.
-FREQUENT_BITS, FREQUENT = 20, 1 / 4096
 #: Shingles hashed in one row, characters of a piece of a long line.
 TOGETHER, PIECE = 8, 4096
 
@@ -85,24 +82,13 @@ def parities(texts: DataFrame) -> DataFrame:
     return one.groupBy("h").agg(F.count("*").alias("n"), *longs).select(F.col("h").alias("node"), F.array("n", *(f"b{k}" for k in range(LONGS))).alias("bits"))
 
 
-def frequent(lines: DataFrame) -> DataFrame:
-    """One row, bits: an array of longs, a bit for each slot of shingles that many of a sixteenth of the lines (h, line) have."""
-    some = lines.where("pmod(h, 16) = 0")
-    least = max(8, some.count() * FREQUENT)
-    often = some.select(F.explode(F.expr(hashes("line"))).alias("x")).groupBy(F.expr(f"x & {(1 << FREQUENT_BITS) - 1}").alias("slot")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    longs = often.groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))  # 2^14 rows at most
-    known = longs.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
-    return known.select(F.expr(f"transform(sequence(0L, {(1 << FREQUENT_BITS - 6) - 1}L), i -> coalesce(try_element_at(m, i), 0L))").alias("bits"))
-
-
 def prefixes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node, band: the prefix keys of the different lines of lines (line) that are short."""
+    """node, band: the prefix keys of the different lines of lines (line) that are short; a shingle of one line alone is no key."""
     short = stored(lines.where(F.length("line") <= SHORT).select(F.xxhash64("line").alias("h"), "line").dropDuplicates(["h"]), "lines-short")
-    bits = stored(frequent(short), "lines-frequent")
-    # frequent shingles lose their sign, rare ones get it, so that these come first
-    order = f"sort_array(transform({hashes('line')}, x -> if(shiftright(bits[cast(shiftright(x & {(1 << FREQUENT_BITS) - 1}, 6) as int)], cast(x & 63 as int)) & 1 = 1, x & {(1 << 63) - 1}L, x | (-{(1 << 63) - 1}L - 1L))))"
-    firsts = f"transform(array({order}), o -> slice(o, 1, size(o) - cast(ceil({threshold!r}D * size(o) - 1e-9D) as int) + 1))[0]"
-    return short.crossJoin(F.broadcast(bits)).select(F.col("h").alias("node"), F.explode(F.expr(firsts)).alias("x")).select("node", F.xxhash64(F.lit(-1), "x").alias("band"))
+    each = short.select("h", F.explode(F.expr(hashes("line"))).alias("x"))
+    ranked = each.join(each.groupBy("x").agg(F.count("*").alias("n")), "x").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("s"))  # a short line has SHORT of them at most
+    firsts = F.expr(f"slice(s, 1, size(s) - cast(ceil({threshold!r}D * size(s) - 1e-9D) as int) + 1)")
+    return ranked.select(F.col("h").alias("node"), F.explode(firsts).alias("k")).where("k.n > 1").select("node", F.xxhash64(F.lit(-1), "k.x").alias("band"))
 
 
 def jaccard(a: str, b: str) -> Column:
