@@ -27,7 +27,9 @@ def introducers(fixes: DataFrame, blame: DataFrame, known: DataFrame, issues: Da
 
 def defects_per_change(units: DataFrame, links: DataFrame, change: str) -> DataFrame:
     """change, szz_defects: fixes of each changed unit (file, function), distinct by unit, added up over the units of a change."""
-    per = units.select(change, "file", "function").distinct().join(links.select("file", "function", "fix_sha"), ["file", "function"], "left").groupBy(change, "file", "function").agg(F.countDistinct("fix_sha").alias("n"))
+    # a unit's fixes do not depend on the change: counted before the join, so that a unit meets one row
+    fixes = links.groupBy("file", "function").agg(F.countDistinct("fix_sha").alias("n"))
+    per = units.select(change, "file", "function").distinct().join(fixes, ["file", "function"], "left").na.fill(0, ["n"])
     return per.groupBy(change).agg(F.sum("n").alias("szz_defects"))
 
 

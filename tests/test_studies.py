@@ -209,3 +209,11 @@ def test_modes(spark):
     got = Q.retrieve({"bm25": bm25, "graph": graph}, q, p, 2, "hybrid").orderBy("rank").collect()
     assert got[0].doc == "3" and [r.rank for r in got] == [1, 2] and {tuple(r.sources) for r in got} == {("bm25",), ("bm25", "graph")}
     assert [r.doc for r in Q.retrieve({"bm25": bm25, "graph": graph}, q, p, 2, "graph").collect()] == ["5"]
+
+
+def test_a_units_fixes_are_counted_before_changes_meet_them(spark):
+    units = spark.createDataFrame([(c, "f", "g") for c in range(40)] + [(0, "f", "g"), (0, "f", None), (7, "h", "g")], "change long, file string, function string")
+    links = spark.createDataFrame([("f", "g", f"s{i % 30}") for i in range(60)] + [("h", "g", None)], "file string, function string, fix_sha string")
+    out = H.defects_per_change(units, links, "change")
+    assert {r.change: r.szz_defects for r in out.collect()} == {c: 30 for c in range(40)}
+    assert "fix_sha" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # nothing counts pairs of change and fix
