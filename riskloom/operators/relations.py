@@ -100,6 +100,30 @@ def resolve_tiers(tiers: list[DataFrame], keys: list[str], target: str, limit: i
     return counted.select(*keys, target, (1.0 / F.col("_n")).alias("confidence"))
 
 
+def resolve_places(callers: list[DataFrame], targets: DataFrame, on: list[str], key: str, target: str, limit: int = 3) -> DataFrame:
+    """key, target, confidence: candidates of the first tier that has any; none where that tier has more than `limit`; 1/n each.
+
+    callers: by tier key and the columns `on`, equal in its candidates (targets: on, target); a caller is no candidate of its own.
+    Places of more than limit + 1 targets have more than `limit` for every caller: they settle its tier by their count, without pairs.
+    """
+    places = targets.select(*on, target).distinct()
+    counts = places.groupBy(*on).agg(F.count("*").alias("_n"))
+    few, many = (counts.where(f"_n {sign} {limit + 1}").select(*on) for sign in ("<=", ">"))
+    few = places.join(few, on)
+    rows = None
+    for i, c in enumerate(callers):
+        c = c.select(key, *on)
+        pairs = c.join(few, on).where(F.col(key) != F.col(target)).select(key, target).distinct()
+        crowd = c.join(many, on).select(key, F.lit(None).cast(targets.schema[target].dataType).alias(target)).distinct()
+        t = pairs.unionByName(crowd).withColumn("_tier", F.lit(i))
+        rows = t if rows is None else rows.unionByName(t)
+    own = W.partitionBy(key)
+    best = rows.withColumn("_best", F.min("_tier").over(own)).where("_tier = _best")
+    size = F.when(F.col(target).isNull(), limit + 1).otherwise(1)
+    counted = best.withColumn("_n", F.sum(size).over(own)).where(F.col("_n") <= limit)
+    return counted.select(key, target, (1.0 / F.col("_n")).alias("confidence"))
+
+
 def merge_claims(claims: DataFrame) -> DataFrame:
     """One claim for each type and target: the first one's text, everyone's evidence; claims: ord, type, target, assertion, evidence_ids."""
     g = claims.groupBy("type", "target").agg(F.min("ord").alias("ord"), F.min_by("assertion", "ord").alias("assertion"), F.array_sort(F.collect_list(F.struct("ord", "evidence_ids"))).alias("_e"))

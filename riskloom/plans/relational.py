@@ -98,8 +98,8 @@ def call_resolution(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     a = p.select(F.col("p_partkey").alias("caller"), F.col("p_brand").alias("name"), (F.col("p_size") % 5).alias("hint"))
     b = p.select(F.col("p_partkey").alias("target"), F.col("p_brand").alias("name"), "p_size")
-    tier = lambda k: a.withColumn("p_size", F.col("hint") + k).join(b, ["name", "p_size"]).where("caller <> target")
-    return R.resolve_tiers([tier(0), tier(10)], ["caller"], "target")
+    tier = lambda k: a.withColumn("p_size", F.col("hint") + k)
+    return R.resolve_places([tier(0), tier(10)], b, ["name", "p_size"], "caller", "target")
 
 
 @query("""WITH a AS (SELECT l_partkey AS k, max(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS k, max(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)

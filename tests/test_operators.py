@@ -157,3 +157,15 @@ def test_long_chains_are_walked_to_their_end(spark):
     assert G.closure(chain, spark.createDataFrame([(30,)], "seed long")).count() == 41
     layers, cyclic = G.topological_layers(chain)
     assert {r.node: r.layer for r in layers.collect()} == {i: i for i in range(71)} and cyclic.isEmpty()
+
+
+def test_crowded_places_settle_a_tier_without_pairs(spark):
+    targets = spark.createDataFrame([(f"t{i:03}", "x", 1) for i in range(300)] + [("a", "x", 2), ("b", "x", 2), ("c", "x", 2), ("d", "x", 2), ("a", "y", 1), ("b", "y", 1)], "target string, name string, place int")
+    callers = spark.createDataFrame([("t007", "x"), ("q", "x"), ("a", "y"), ("z", "y"), ("d", "z")], "caller string, name string")
+    tier = lambda k: callers.withColumn("place", F.lit(k))
+    of = lambda *ks: R.resolve_places([tier(k) for k in ks], targets, ["name", "place"], "caller", "target")
+    rows = lambda df: sorted((r.caller, r.target, round(r.confidence, 4)) for r in df.collect())
+    assert rows(of(1, 2)) == [("a", "b", 1.0), ("z", "a", 0.5), ("z", "b", 0.5)]  # 300 candidates of x give none, and no later tier
+    assert rows(of(2, 1)) == [("a", "b", 1.0), ("z", "a", 0.5), ("z", "b", 0.5)]  # four candidates are too many
+    four = callers.unionByName(spark.createDataFrame([("c", "x")], callers.schema)).withColumn("place", F.lit(2))
+    assert rows(R.resolve_places([four], targets, ["name", "place"], "caller", "target")) == [("c", "a", 0.3333), ("c", "b", 0.3333), ("c", "d", 0.3333)]
