@@ -93,3 +93,19 @@ def test_seeds_and_odd_sources(spark):
     fixes = spark.createDataFrame([("s1", "a", "x", "y"), ("s2", "a", None, "y"), ("s3", "a", "y", "y")], "sha string, path string, before string, after string")
     assert [(r.kind, r.text, r.label) for r in regressions(fixes).collect()] == [("revert:s1", "x", 1)]
     assert changes_of(rows.where("path = 'z'")).collect() == []
+
+
+def test_copies_of_a_text_are_worked_on_once(monkeypatch):
+    parsed = []
+    real = ast.parse
+    monkeypatch.setattr(ast, "parse", lambda *a, **k: parsed.append(1) or real(*a, **k))
+    text = MODULE.replace("40", "41").replace("fee", "fare")  # no other test's
+    first = [changes(f"a{i}.py", text) for i in range(30)]
+    before = len(parsed)
+    assert [changes(f"a{i}.py", text) for i in range(30)] == first
+    assert len(parsed) - before <= 30  # name_constant reads its own text again; it was some thousands
+
+
+def test_a_tuple_assignment_is_no_named_constant():
+    text = "A, B = 1, 2\n" + MODULE
+    assert any(c["kind"] == "name_constant" for s in range(40) for c in changes("m.py", text, str(s), ["C1"]))
