@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import ann
 from riskloom.operators import codesearch as S
-from riskloom.operators.retrieval import dense_nearest
+from riskloom.operators.retrieval import best, dense_nearest, top_products
 
 PATTERNS = [r"ab+c", r"(foo|bar)baz", r"x[yz]w", r"(ab|cd)?ef+", r"\bdef\b", r"a.c", r"(?:abc|ab\d)def", r"(abc){2}", r"[a-f]oo", r"(foo|b)", r"é{3}n", r"(?=foo)fooba", r"ba(r|z|rb)az", r"^abc$", r"(?i)FOO", r"(foo(bar|baz)+|abcd)", r"a{0}bcd", r"\d+\.\d+"]
 
@@ -61,3 +61,16 @@ def test_recall_of_the_inverted_file(spark, clustered):
     with pytest.raises(ValueError):
         ann.Index(rows.where("v is null"))
     assert index.search(queries.where("qid < 0")).collect() == []
+
+
+def test_top_products_equal_a_join_and_shuffle_no_pairs(spark):
+    rng = random.Random(8)
+    v = spark.createDataFrame([(d, t, float(rng.randint(-2, 3))) for d in range(300) for t in rng.sample("abcdefghij", 3)], "doc long, key string, x double")
+    q = spark.createDataFrame([(i, t, float(rng.randint(-2, 2))) for i in range(25) for t in rng.sample("abcdefghijz", 2)] + [(99, "z", 1.0)], "qid int, key string, y double")
+    pairs = v.join(q, "key").groupBy("qid", "doc").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+    rows = lambda df: sorted((r.qid, r["rank"], r.doc, r.score + 0.0) for r in df.collect())
+    for limit in (7, 1000):
+        assert rows(top_products(v, q, 9, limit=limit)) == rows(best(pairs, 9))
+        assert rows(top_products(v, q, 400, positive=True, limit=limit)) == rows(best(pairs.where("score > 0"), 400))
+    plan = top_products(v, q, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [qid" not in plan
