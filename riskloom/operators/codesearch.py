@@ -9,16 +9,23 @@ every matching line has one; only lines that meet all clauses are held against t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from re import _constants as sre
 from re import _parser as parser
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from riskloom.operators.retrieval import saved_index
+from riskloom.session import importable
 
 GRAM, BUCKETS = 3, 64
+#: Characters of the texts that are put in order at a time, rows of a batch.
+SLICE, ROWS = 1 << 20, 1 << 16
 #: Strings that a part of an expression may stand for before only its trigrams are kept, characters of a class that count as strings.
 STRINGS, CLASS = 32, 8
 
@@ -35,10 +42,49 @@ def _bucket(gram: Column) -> Column:
 
 
 def trigrams(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """gram, doc, line_no, places (from 0), bucket: a frequent trigram's rows are dealt over several files."""
-    grams = lines_of(docs, doc, text).select("doc", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)(?=(...))"), F.lit(1))).alias("at", "gram"))
-    rows = grams.groupBy("gram", "doc", "line_no").agg(F.array_sort(F.collect_list("at")).alias("places")).withColumn("bucket", _bucket(F.col("gram")))
-    return rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("gram")
+    """gram, doc, line_no, places (from 0), bucket; made where the texts are, some texts after the other, each by gram: nothing is shuffled."""
+    importable(docs.sparkSession)
+    schema = StructType([StructField("gram", StringType()), StructField("doc", docs.schema[doc].dataType), StructField("line_no", LongType()), StructField("places", ArrayType(IntegerType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = held = 0
+            texts = batch.column("text").to_pylist()
+            for i, t in enumerate(texts):
+                held += len(t)
+                if held >= SLICE or i + 1 == len(texts):
+                    yield from _postings(texts[start : i + 1], batch.column("doc").slice(start, i + 1 - start), arrow)
+                    start, held = i + 1, 0
+
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text is not null")
+    return rows.mapInArrow(run, schema).withColumn("bucket", _bucket(F.col("gram")))
+
+
+def _postings(texts: list[str], docs: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of some texts in order of gram, document and line."""
+    codes = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    ends = codes == 10
+    at = np.flatnonzero(~(ends[:-2] | ends[1:-1] | ends[2:]))
+    if not len(at):
+        return
+    line = np.concatenate([[0], np.cumsum(ends)[:-1]])  # of each character
+    begins = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
+    lines = np.array([t.count("\n") + 1 for t in texts])
+    owner, number = np.repeat(np.arange(len(texts)), lines), np.arange(lines.sum()) - np.repeat(np.cumsum(lines) - lines, lines) + 1
+    key = codes[at] << 42 | codes[at + 1] << 21 | codes[at + 2]
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    own = line[at]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
+    places = (at - begins[own]).astype(np.int32)
+    grams, which = np.unique(key[first], return_inverse=True)
+    spelt = np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    spelt = pa.array([spelt[i : i + GRAM] for i in range(0, len(spelt), GRAM)])
+    for a in range(0, len(first), ROWS):
+        part, stop = own[first[a : a + ROWS]], np.append(first, len(at))[a : a + ROWS + 1]
+        each = pa.ListArray.from_arrays(pa.array(stop - stop[0], pa.int32()), pa.array(places[stop[0] : stop[-1]])).cast(schema.field("places").type)
+        yield pa.RecordBatch.from_arrays([spelt.take(pa.array(which[a : a + ROWS])), docs.take(pa.array(owner[part])), pa.array(number[part], pa.int64()), each], schema=schema)
 
 
 def index(docs: DataFrame, doc: str, text: str) -> DataFrame:

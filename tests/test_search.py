@@ -74,3 +74,15 @@ def test_top_products_equal_a_join_and_shuffle_no_pairs(spark):
         assert rows(top_products(v, q, 400, positive=True, limit=limit)) == rows(best(pairs.where("score > 0"), 400))
     plan = top_products(v, q, 9)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [qid" not in plan
+
+
+def test_trigrams_are_made_without_a_shuffle(spark):
+    texts = ["abcabc\n\nab", "aaaaa", "é😀xé😀x\nabc", None, "", "\n"]
+    rows = S.trigrams(spark.createDataFrame(list(enumerate(texts)), "id long, body string"), "id", "body")
+    want = {}
+    for i, t in enumerate(texts):
+        for n, line in enumerate((t or "").split("\n")):
+            for at in range(len(line) - 2):
+                want.setdefault((line[at : at + 3], i, n + 1), []).append(at)
+    assert {(r.gram, r.doc, r.line_no): r.places for r in rows.collect()} == want and rows.count() == len(want)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
