@@ -45,6 +45,9 @@ MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Sentence marks and line ends all become a full stop, tabs a space, A-Z become a-z.
 PLAIN = bytes.maketrans(MARKS + b"\t" + UPPER.encode(), b"." * len(MARKS) + b" " + UPPER.lower().encode())
 UNKNOWN = b"und"
+#: Writer options: a row group for each shard. Parquet looks at its buffers after a hundred rows at first, and Spark reads a row group's
+#: rows as one batch, so that a task would hold as many shards as its split of the texts gives.
+ONE_ROW = {"parquet.block.row.count.limit": "1"}
 #: A shard: its symbols with their counts, and their numbers by position (from 1; 0 is no word), as _planes() puts them.
 SHARD_ROW = "words array<struct<lang: binary, word: binary, n: bigint>>, stream binary"
 
@@ -280,7 +283,7 @@ def _few_rows(spark: SparkSession, rows: int = 1) -> Iterator[None]:
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(words, counts): h, lang, word, n of all words; p (array of hashes), a of all phrases of 1 to `longest` words that occur `least`
     times within pieces. Both stored."""
-    table = stored(shards(docs), "shards", compression="zstd")
+    table = stored(shards(docs), "shards", compression="zstd", **ONE_ROW)
     total = stored(table.select(F.explode("words").alias("w")).groupBy("w.lang", "w.word").agg(F.sum("w.n").alias("n")), "symbols")
     seed = 0
     while True:

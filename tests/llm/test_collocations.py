@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from riskloom.llm import collocations
@@ -81,3 +82,13 @@ def test_slices_keep_words_and_pieces(monkeypatch):
     monkeypatch.setattr(collocations, "SLICE", 64)
     parts = collocations.shard({b"en": [text]})
     assert whole[0].equals(parts[0]) and whole[1].tolist() == parts[1].tolist()
+
+
+def test_shards_are_written_and_read_one_by_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"a{i} b c. d e{i}", "en") for i in range(40)], "text string, lang string").coalesce(1)
+    shards, stored, held = collocations.shards, collocations.stored, {}
+    monkeypatch.setattr(collocations, "shards", lambda d: shards(d, size=1))
+    monkeypatch.setattr(collocations, "stored", lambda df, name, **options: held.setdefault(name, stored(df, name, **options)))
+    collocations.phrase_counts(docs, least=2, longest=2)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in held["shards"].inputFiles()]
+    assert [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)] == [1] * 40
