@@ -30,10 +30,11 @@ def neighbours(edges: DataFrame, seeds: DataFrame, types: list[str] | None = Non
 def walk(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, every: int = 3) -> DataFrame:
     """seed, node, distance: what each seed reaches in at most `depth` steps, at its least distance; the seed itself is left out.
 
-    edges: src, dst; seeds: seed. Seeds without edges have no rows.
+    edges: src, dst; seeds: seed. Seeds without edges have no rows. After `every` steps the front is stored: with 1 no step is done again.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     e = edges.select(F.col(a).alias("node"), F.col(b).alias("to")).distinct()
+    e = cut(e) if every == 1 else e
     front = seeds.select("seed").distinct().withColumn("node", F.col("seed"))
     seen = front.withColumn("distance", F.lit(0))
     for k in range(1, depth + 1):
@@ -43,7 +44,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False,
             if front.isEmpty():
                 break
         seen = seen.unionAll(front.withColumn("distance", F.lit(k)))
-        if k % every == 0 and k < depth:
+        if every > 1 and k % every == 0 and k < depth:
             seen = cut(seen)
     return seen.where("distance > 0")
 

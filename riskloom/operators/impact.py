@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.code import imports_of, symbols_of
+from riskloom.functions.code import outlines_of
 from riskloom.functions.scalars import is_test_path
 from riskloom.operators import verification as V
 from riskloom.operators.graph import cut, resolve_modules, structure_edges, walk
@@ -23,8 +23,9 @@ def project(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     nodes: id, path, qualname, name, kind, parent, start, end, signature, is_test; edges: src, dst, type, confidence.
     """
-    symbols = cut(symbols_of(sources).withColumn("is_test", is_test_path(F.col("path"))))
-    found = resolve_modules(imports_of(sources).select(F.col("path").alias("importer"), "module", "level"), sources)
+    parsed = cut(outlines_of(sources))
+    symbols = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.*", is_test_path(F.col("path")).alias("is_test"))
+    found = resolve_modules(parsed.select(F.col("path").alias("importer"), F.explode("imports").alias("i")).select("importer", "i.module", "i.level"), sources)
     ident = F.concat(F.lit("sym:"), F.col("path"), F.lit("::"), F.col("qualname"))
     nodes = symbols.select(ident.alias("id"), "path", "qualname", "name", "kind", "parent", "start", "end", "signature", "is_test")
     return nodes, cut(structure_edges(symbols, cut(found.select("importer", "path"))))
@@ -42,7 +43,7 @@ def static_reach(nodes: DataFrame, edges: DataFrame, units: DataFrame, depth: in
     A unit of several runs is walked from once.
     """
     carried = edges.where(F.col("type").isin(CARRY))
-    found = walk(carried, units.select(F.col("id").alias("seed")), depth, reverse=True)
+    found = walk(carried, units.select(F.col("id").alias("seed")), depth, reverse=True, every=1)
     rows = found.join(nodes.select(F.col("id").alias("node"), "path", "is_test", "kind"), "node").where("kind <> 'class'")
     return rows.join(units.select("run_id", F.col("id").alias("seed")).distinct(), "seed").select("run_id", F.col("seed").alias("unit"), "node", "distance", "path", "is_test")
 
