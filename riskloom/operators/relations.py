@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Rows that a task holds where rows are dealt by key for windows, joins and sums.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys over enough tasks for TASK_ROWS of `rows` each, so that a task's memory does not grow with the table.
+
+    Where the session's shuffle partitions are as many, df as it is: the operator behind it shuffles as usual.
+    """
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def first_per(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in an order; ties are the caller's to break."""
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

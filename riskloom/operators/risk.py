@@ -93,12 +93,16 @@ def decide(risk: Column, failures: Column, canary: float = CANARY, block: float
     return F.when(failures > 0, "BLOCK").when(risk >= block, "BLOCK").when(risk >= canary, "CANARY").otherwise("PASS")
 
 
-def contributions(df: DataFrame, key: str, weights: dict[str, float] = WEIGHTS, top: int = 8) -> DataFrame:
-    """key, feature, contribution, place: the largest parts of each row's score by size."""
-    parts = F.array(*(F.struct(F.lit(n).alias("feature"), (F.lit(w) * F.col(n)).alias("contribution")) for n, w in weights.items()))
-    long = df.select(key, F.explode(parts).alias("p")).select(key, "p.*")
-    place = F.row_number().over(W.partitionBy(key).orderBy(F.abs("contribution").desc(), "feature"))
-    return long.withColumn("place", place).where(F.col("place") <= top)
+def contributions(df: DataFrame, key: str, weights: dict[str, float] = WEIGHTS, top: int = 8, digits: int | None = None) -> DataFrame:
+    """key, feature, contribution, place: the largest parts of each row's score by size, ties by feature; digits: sizes are compared rounded.
+
+    A row's parts are few and are put in order inside the row: nothing is shuffled or sorted across rows.
+    """
+    part = lambda n, w: F.lit(w) * F.col(n)
+    size = lambda v: F.abs(v if digits is None else F.round(v, digits))
+    parts = F.array(*(F.struct((-size(part(n, w))).alias("o"), F.lit(n).alias("feature"), part(n, w).alias("contribution")) for n, w in weights.items()))
+    long = df.select(key, F.posexplode(F.slice(F.array_sort(parts), 1, top)).alias("place", "p"))
+    return long.select(key, "p.feature", "p.contribution", (F.col("place") + 1).alias("place"))
 
 
 def explain(parts: DataFrame, key: str, least: float = 0.05, top: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from riskloom.functions.scalars import entropy_share
 from riskloom.operators import risk
+from riskloom.operators.relations import dealt
 from riskloom.plans.registry import query, table
 
 
@@ -16,15 +17,17 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     First touches come from one window over (author, file); sizes are summed per file before the entropy.
     """
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    n = lines.count()
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), n, "o_orderkey")
+    lines = dealt(lines, n, "l_orderkey")
     flag = lambda c: F.sum(c.cast("bigint"))
     files = lines.groupBy("l_orderkey", "l_partkey").agg(
         F.sum("l_quantity").alias("size"), F.count("*").alias("lines"), flag((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("failed"), flag(F.col("l_returnflag") == "A").alias("bare")
     )
-    touched = files.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    touched = dealt(files.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), n, "o_custkey", "l_partkey")
     first = F.min("o_orderdate").over(W.partitionBy("o_custkey", "l_partkey"))
-    touched = touched.withColumn("prior", (first < F.col("o_orderdate")).cast("int"))
+    touched = dealt(touched.withColumn("prior", (first < F.col("o_orderdate")).cast("int")), n, "o_orderkey")
     total = F.sum("size").over(W.partitionBy("o_orderkey"))
     rows = touched.withColumn("part", entropy_share(F.col("size"), total)).groupBy("o_orderkey", "o_custkey", "o_orderdate").agg(
         F.sum("size").alias("churn"), F.count("*").alias("files_touched"), F.sum("part").alias("bits"), F.max("prior").alias("prior"), F.sum("failed").alias("failures"), F.sum("bare").alias("uncovered"), F.sum("lines").alias("lines")
@@ -69,10 +72,7 @@ SELECT change_id, feature, round(v, 4) AS contribution, place FROM r WHERE place
 def top_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three largest parts of every change's score."""
     rows = scored(spark, sf_dir).withColumnRenamed("o_orderkey", "change_id")
-    parts = F.array(*(F.struct(F.lit(n).alias("feature"), (F.lit(w) * F.col(n)).alias("v")) for n, w in risk.WEIGHTS.items()))
-    long = rows.select("change_id", F.explode(parts).alias("p")).select("change_id", "p.*")
-    place = F.row_number().over(W.partitionBy("change_id").orderBy(F.abs(F.round("v", 6)).desc(), "feature"))
-    return long.withColumn("place", place.cast("bigint")).where("place <= 3").select("change_id", "feature", F.round("v", 4).alias("contribution"), "place")
+    return risk.contributions(rows, "change_id", top=3, digits=6).select("change_id", "feature", F.round("contribution", 4).alias("contribution"), F.col("place").cast("bigint").alias("place"))
 
 
 @query("""WITH t AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderdate, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
@@ -118,12 +118,14 @@ def defect_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     looks back at the last touches by another change through two windows.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_returnflag")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    n = lines.count()
+    lines, orders = dealt(lines, n, "l_orderkey"), dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), n, "o_orderkey")
     fixes = lines.where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("own"), F.col("l_partkey").alias("file"), F.col("o_orderdate").alias("at"), F.lit(None).cast("bigint").alias("by"), F.lit(0).alias("kind"))
-    touches = lines.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_partkey", "l_shipdate", "l_orderkey").agg(F.count("*")).select(F.lit(None).cast("bigint").alias("own"), F.col("l_partkey").alias("file"), F.col("l_shipdate").alias("at"), F.col("l_orderkey").alias("by"), F.lit(1).alias("kind"))
+    touches = lines.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.lit(None).cast("bigint").alias("own"), F.col("l_partkey").alias("file"), F.col("l_shipdate").alias("at"), F.col("l_orderkey").alias("by"), F.lit(1).alias("kind"))
+    # equal touches of a change lie side by side and are one to the windows
     # fixes stand before touches of the same time, so that only earlier touches are seen; of equal times the least id comes last
     order = W.partitionBy("file").orderBy("at", "kind", F.desc("by")).rowsBetween(W.unboundedPreceding, -1)
-    both = fixes.unionAll(touches).withColumn("last", F.last("by", True).over(order))
+    both = dealt(fixes.unionAll(touches), 2 * n, "file").withColumn("last", F.last("by", True).over(order))
     prior = W.partitionBy("file").orderBy("at", "kind", F.desc("by"))
     chain = both.withColumn("other", F.when(F.col("by").isNotNull() & (F.col("by") != F.col("last")), F.col("last")))
     # the last touch by a change other than the latest one, carried along for fixes that are themselves the latest

@@ -169,3 +169,22 @@ def test_crowded_places_settle_a_tier_without_pairs(spark):
     assert rows(of(2, 1)) == [("a", "b", 1.0), ("z", "a", 0.5), ("z", "b", 0.5)]  # four candidates are too many
     four = callers.unionByName(spark.createDataFrame([("c", "x")], callers.schema)).withColumn("place", F.lit(2))
     assert rows(R.resolve_places([four], targets, ["name", "place"], "caller", "target")) == [("c", "a", 0.3333), ("c", "b", 0.3333), ("c", "d", 0.3333)]
+
+
+def test_tasks_grow_with_dealt_rows(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") % 50).alias("k"))
+    assert R.dealt(rows, 1000, "k") is rows
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    dealt = R.dealt(rows, 1000, "k")
+    assert dealt.rdd.getNumPartitions() == 10
+    assert dealt.groupBy("k").count().where("count = 20").count() == 50
+
+
+def test_contributions_are_put_in_order_inside_the_row(spark):
+    rows = spark.createDataFrame([(1, 0.5, -2.0, 0.5), (2, 0.0, 1.0, None)], "id int, b double, c double, a double")
+    weights = {"b": 1.0, "c": -1.0, "a": 1.0}
+    parts = risk.contributions(rows, "id", weights, top=2)
+    assert not any(x in parts._jdf.queryExecution().optimizedPlan().toString() for x in ("Window", "Sort"))
+    assert sorted((r.id, r.place, r.feature, r.contribution) for r in parts.where("id = 1").collect()) == [(1, 1, "c", 2.0), (1, 2, "a", 0.5)]
+    near = spark.createDataFrame([(1, 0.5000000001, 0.5)], "id int, b double, a double")
+    assert [r.feature for r in risk.contributions(near, "id", {"b": 1.0, "a": 1.0}, top=1, digits=6).collect()] == ["a"]
