@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from riskloom.operators.relations import dealt
+
 
 def introducers(fixes: DataFrame, blame: DataFrame, known: DataFrame, issues: DataFrame | None = None) -> DataFrame:
     """fix_sha, introducing_sha, file, function, line, confidence, issue: blamed lines of each fix, once for each function.
@@ -42,21 +44,22 @@ def ownership(changes: DataFrame, touched: DataFrame, history: DataFrame, change
     """
     day = 86_400_000_000
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    c = changes.select(change, F.lower("author").alias("_who"), micros("at").alias("_t"))
-    t = touched.select(change, "file").distinct().join(c, change)
+    n = touched.count()
+    c = dealt(changes.select(change, F.lower("author").alias("_who"), micros("at").alias("_t")), n, change)
+    t = dealt(touched.select(change, "file"), n, change).distinct().join(c, change)
     h = history.select("file", "sha", F.lower("author").alias("_who"), "churn", micros("at").alias("_t")).where("_t is not null")
     # each file's touches and questions in order of time: sums over what lies before a question
     w = W.partitionBy("file").orderBy("_t")
     rows = t.select(change, "file", "_t", F.lit(None).cast(h.schema["churn"].dataType).alias("churn"), F.lit(None).cast("bigint").alias("_at")).unionByName(h.select(F.lit(None).cast(changes.schema[change].dataType).alias(change), "file", "_t", "churn", F.col("_t").alias("_at")))
-    per = rows.select(change, "_t", F.col("_at").isNull().alias("_asked"), F.max("_at").over(w.rangeBetween(W.unboundedPreceding, -1)).alias("_last"), F.sum("churn").over(w.rangeBetween(-days * day, -1)).alias("churn")).where("_asked and _last is not null")
-    files = per.groupBy(change).agg(F.avg((F.col("_t") - F.col("_last")) / day).alias("code_age_days"), F.sum(F.coalesce("churn", F.lit(0))).alias("recent_churn"))
+    per = dealt(rows, 2 * n, "file").select(change, "_t", F.col("_at").isNull().alias("_asked"), F.max("_at").over(w.rangeBetween(W.unboundedPreceding, -1)).alias("_last"), F.sum("churn").over(w.rangeBetween(-days * day, -1)).alias("churn")).where("_asked and _last is not null")
+    files = dealt(per, n, change).groupBy(change).agg(F.avg((F.col("_t") - F.col("_last")) / day).alias("code_age_days"), F.sum(F.coalesce("churn", F.lit(0))).alias("recent_churn"))
     # the author's own earlier commits: for one file a running count, for several a join of their own touches, since a commit counts once
-    several = t.groupBy(change).agg(F.count("*").alias("_files"))
-    mine = t.where("_who is not null").join(several, change)
-    own = h.where("_who is not null").select("file", "_who", "sha", "_t").distinct()
+    mine = t.where("_who is not null").withColumn("_files", F.count("*").over(W.partitionBy(change)))
+    own = dealt(h.where("_who is not null").select("file", "_who", "sha", "_t"), n, "file", "_who").distinct()
     line = mine.where("_files = 1").select(change, "file", "_who", "_t", F.lit(0).alias("_one")).unionByName(own.select(F.lit(None).cast(changes.schema[change].dataType).alias(change), "file", "_who", "_t", F.lit(1).alias("_one")))
-    counted = line.withColumn("_n", F.sum("_one").over(W.partitionBy("file", "_who").orderBy("_t").rangeBetween(W.unboundedPreceding, -1))).where("_one = 0").select(change, F.col("_n").alias("author_prior_commits"))
-    joined = mine.where("_files > 1").alias("m").join(own.alias("o"), ["file", "_who"]).where("o._t < m._t").groupBy(change).agg(F.countDistinct("sha").alias("author_prior_commits"))
-    prior = counted.unionByName(joined)
+    counted = dealt(line, n, "file", "_who").withColumn("_n", F.sum("_one").over(W.partitionBy("file", "_who").orderBy("_t").rangeBetween(W.unboundedPreceding, -1))).where("_one = 0").select(change, F.col("_n").alias("author_prior_commits"))
+    asked = dealt(mine.where("_files > 1"), n, "file", "_who").alias("m")
+    joined = dealt(asked.join(own.alias("o"), ["file", "_who"]).where("o._t < m._t").select(change, "sha"), n, change).groupBy(change).agg(F.countDistinct("sha").alias("author_prior_commits"))
+    prior = dealt(counted.unionByName(joined), n, change)
     out = c.select(change).join(files, change, "left").join(prior, change, "left").na.fill(0, ["code_age_days", "recent_churn", "author_prior_commits"])
     return out.withColumn("author_is_new", (F.col("author_prior_commits") == 0).cast("int"))

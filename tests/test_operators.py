@@ -188,3 +188,17 @@ def test_contributions_are_put_in_order_inside_the_row(spark):
     assert sorted((r.id, r.place, r.feature, r.contribution) for r in parts.where("id = 1").collect()) == [(1, 1, "c", 2.0), (1, 2, "a", 0.5)]
     near = spark.createDataFrame([(1, 0.5000000001, 0.5)], "id int, b double, a double")
     assert [r.feature for r in risk.contributions(near, "id", {"b": 1.0, "a": 1.0}, top=1, digits=6).collect()] == ["a"]
+
+
+def test_ownership_in_many_tasks_is_the_same(spark, monkeypatch):
+    from riskloom.operators import history as H
+
+    changes = spark.range(40).select("id", F.concat(F.lit("A"), (F.col("id") % 3).cast("string")).alias("author"), F.timestamp_seconds(F.col("id") * 86400).alias("at"))
+    touched = spark.range(120).select((F.col("id") % 40).alias("id"), (F.col("id") * 7 % 11).alias("file"))
+    history = touched.join(changes, "id").select("file", F.col("id").cast("string").alias("sha"), F.lower("author").alias("author"), F.col("file").alias("churn"), "at")
+    of = lambda: H.ownership(changes, touched, history, "id", days=9)
+    want = sorted(map(tuple, of().collect()))
+    monkeypatch.setattr(R, "TASK_ROWS", 12)
+    many = of()
+    assert "RepartitionByExpression" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, many.collect())) == want and len(want) == 40
