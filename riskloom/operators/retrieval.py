@@ -8,6 +8,7 @@ from its texts, and used again as long as they are the same.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from riskloom.functions.text import TOKEN, cited, find_all, injections, tokenize
 from riskloom.operators.graph import cut
-from riskloom.operators.storage import exists, shared_folder
+from riskloom.operators.storage import exists, shared_folder, stored
 from riskloom.session import importable
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -45,6 +46,76 @@ def token_counts(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return raw.join(words, "_raw").groupBy(*keys, "term").agg(F.sum(F.col("_n") * F.col("_m")).alias("n"))
 
 
+def raw_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, raws: the different raw tokens of every text that has any, with spaces between them; parted in Arrow batches, since a match
+    costs a pattern in the JVM several objects."""
+    importable(docs.sparkSession)
+    schema = StructType([docs.schema[key], StructField("raws", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TOKEN).findall
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                raws = [" ".join(set(find(t))) if t else "" for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), pa.array(raws, arrow.field(1).type)], schema=arrow)
+
+    return docs.select(key, text).mapInArrow(run, schema).where("raws <> ''")
+
+
+def shared_terms(claims: DataFrame, sources: DataFrame, claim: str, source: str, text: str, least: float = 0.0) -> DataFrame:
+    """claim, source, h, n of the pairs that share a term: how many, and how many different ones the claim has, where h / n is `least`
+    at least. Null keys have no pairs.
+
+    Texts of sources are parted once; each different raw token is split and stemmed once, and only those with a term of some claim meet
+    the texts. Hits are dealt by source, so that its pairs are counted where they arise: in NumPy if the claims' terms are FEW, else by joins.
+    """
+    spark = sources.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, for a few hits become many pairs
+    q = token_counts(claims.where(F.col(claim).isNotNull()), [claim], text).select(claim, F.col("term").alias("_w"))
+    q = stored(q.join(q.groupBy(claim).agg(F.count("*").alias("n")), claim), "claim-terms")
+    few = q.limit(FEW + 1).count() <= FEW
+    small = lambda df: F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    held = stored(raw_tokens(sources.where(F.col(source).isNotNull()), source, text), "raw-tokens").select(source, F.explode(F.split("raws", " ")).alias("_raw"))
+    words = held.select("_raw").distinct().repartition(parts, "_raw").select("_raw", F.explode(tokenize(F.col("_raw"))).alias("_w"))
+    known = stored(words.join(small(q.select("_w").distinct()), "_w", "left_semi").distinct(), "known-tokens")
+    hits = held.join(small(known), "_raw").select(source, "_w").repartition(parts, source)
+    if not few:
+        pairs = hits.distinct().join(q, "_w").groupBy(claim, source, "n").agg(F.count("*").alias("h"))
+        return pairs.where(F.col("h") / F.col("n") >= least).select(claim, source, "h", "n")
+    terms = q.sort("_w").toArrow()
+    shared = spark.sparkContext.broadcast((terms.column("_w").combine_chunks().dictionary_encode(), terms.column(claim).combine_chunks().dictionary_encode(), terms.column("n").to_numpy()))
+    schema = StructType([claims.schema[claim], sources.schema[source], StructField("h", LongType()), StructField("n", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, c, n = shared.value
+        of = c.indices.to_numpy()  # the claims of the terms, term by term
+        degree = np.bincount(w.indices.to_numpy(), minlength=len(w.dictionary))
+        begin = np.cumsum(degree) - degree
+        wide = len(c.dictionary)
+        size = np.zeros(wide, np.int64)
+        size[of] = n
+        step = max(1, (1 << 22) // max(wide, len(of), 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
+                lists = b.column(1)
+                term = pc.index_in(pc.list_flatten(lists), w.dictionary).to_numpy()
+                times = degree[term]
+                ends = np.cumsum(times)
+                place = np.arange(times.sum()) + np.repeat(begin[term] - ends + times, times)
+                row = np.repeat(pc.list_parent_indices(lists).to_numpy(), times)
+                h = np.bincount(row * wide + of[place], minlength=b.num_rows * wide)
+                hit = np.flatnonzero(h)
+                hit = hit[h[hit] / size[hit % wide] >= least]
+                columns = [c.dictionary.take(pa.array(hit % wide)), b.column(0).take(pa.array(hit // wide)), pa.array(h[hit]), pa.array(size[hit % wide])]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return hits.groupBy(source).agg(F.collect_set("_w").alias("ws")).mapInArrow(run, schema)
+
+
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """doc, term, tf, len (the tokens of the document)."""
     terms = token_counts(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), ["doc"], "text")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import scalars as S
 from riskloom.functions import text as X
 from riskloom.operators.relations import set_print
-from riskloom.operators.retrieval import token_counts
+from riskloom.operators.retrieval import shared_terms, token_counts
 from riskloom.plans.registry import query, table
 
 
@@ -83,12 +83,9 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
 SELECT q.k AS item_id, s.k AS doc_id, round(CAST(count(*) AS DOUBLE) / n, 4) AS share FROM q JOIN s ON q.w = s.w JOIN n ON n.k = q.k GROUP BY 1, 2, n HAVING CAST(count(*) AS DOUBLE) / n >= 0.25""")
 def lexical_support(spark: SparkSession, d: str) -> DataFrame:
     """The share of a claim's tokens in each source, through a join on tokens."""
-    of = lambda df, key: token_counts(df, [key], "text").select(key, F.col("term").alias("w"))
-    q = of(table(spark, d, "benchmark"), "item_id")
-    s = of(table(spark, d, "documents"), "doc_id")
-    n = q.groupBy("item_id").agg(F.count("*").alias("n"))
-    hits = q.join(s, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("h")).join(n, "item_id")
-    return hits.where("h / n >= 0.25").select("item_id", "doc_id", F.round(F.col("h") / F.col("n"), 4).alias("share"))
+    claims = table(spark, d, "benchmark").select("item_id", "text")
+    hits = shared_terms(claims, table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id", "text", least=0.25)
+    return hits.select("item_id", "doc_id", F.round(F.col("h") / F.col("n"), 4).alias("share"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_matches(url, '\.(md|rst|txt)$|(^|/)docs/') AS is_doc FROM pages""")

@@ -217,3 +217,22 @@ def test_a_units_fixes_are_counted_before_changes_meet_them(spark):
     out = H.defects_per_change(units, links, "change")
     assert {r.change: r.szz_defects for r in out.collect()} == {c: 30 for c in range(40)}
     assert "fix_sha" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # nothing counts pairs of change and fix
+
+
+def test_shared_terms_are_counted_where_the_sources_are(spark, monkeypatch):
+    claims = spark.createDataFrame([(1, "running computeGPA rows"), (2, "the of"), (3, "alpha beta gamma delta"), (3, "alpha omega"), (None, "alpha"), (4, None)], "c long, text string")
+    sources = spark.createDataFrame([("a", "The rows runs compute_gpa"), ("b", None), ("a", "alpha alphas"), (None, "rows"), ("c", "Beta GAMMA 12rows"), ("d", "nothing")], "s string, text string")
+    of = lambda df, k: df.where(F.col(k).isNotNull()).select(k, F.explode(Q.tokenize(F.col("text"))).alias("w")).distinct().collect()
+    cs, ss = of(claims, "c"), of(sources, "s")
+    n = {c: len({r.w for r in cs if r.c == c}) for c in {r.c for r in cs}}
+    h = {(c, s): len({r.w for r in cs if r.c == c} & {r.w for r in ss if r.s == s}) for c in n for s in {r.s for r in ss}}
+    for few in (Q.FEW, 3):  # in NumPy, and by joins
+        monkeypatch.setattr(Q, "FEW", few)
+        for least in (0.0, 0.4):
+            got = Q.shared_terms(claims, sources, "c", "s", "text", least)
+            assert sorted(map(tuple, got.select("c", "s", "h", "n").collect())) == sorted((c, s, x, n[c]) for (c, s), x in h.items() if x and x / n[c] >= least)
+            if few > 3:  # pairs are not shuffled again
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                assert "Exchange" not in plan.split("MapInArrow")[0]
+    empty = Q.shared_terms(claims.limit(0), sources, "c", "s", "text")
+    assert empty.count() == 0 and Q.shared_terms(claims, sources.limit(0), "c", "s", "text").count() == 0
