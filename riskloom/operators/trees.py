@@ -1,6 +1,8 @@
 """Boosted trees grown leaf by leaf: histograms of gradients are one aggregation for all open leaves of a tree.
 
-Features are cut into bins once; rows are stored as bins, label and margin. A tree takes the leaf of largest gain next, whichever its
+Features are cut into bins once; rows of equal bins are one row, stored as bins, how many they are, the sum of their labels and margin, so
+that what a tree reads grows with the combinations of bins that occur and not with the table. BLOCK of them are one row of the stored
+table, their values one after another, for a tree reads them many times and Spark's rows cost more than the sums. A tree takes the leaf of largest gain next, whichever its
 depth. A leaf's split asks for the histograms of its children: those of all open leaves are counted in one job, the
 larger child's by subtraction, so that a tree costs about as many jobs as it is deep. What reaches the driver is a sum
 for each open leaf, feature and bin. The model is a list of trees of plain lists, which the tasks follow in NumPy.
@@ -24,6 +26,8 @@ from riskloom.session import importable
 RATE, LEAVES, ROUNDS, LEAST, BINS = 0.05, 15, 200, 10, 32
 #: Trees after which margins are written anew, least hessian of a leaf.
 WRITE, LEAST_HESSIAN = 10, 1e-3
+#: Rows of a block; rows whose sums are made at once.
+BLOCK, AT_ONCE = 1024, 1 << 16
 
 
 @dataclass
@@ -45,12 +49,16 @@ class Tree:
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row of bins."""
-        at = np.zeros(len(bins), np.int64)
-        feature, last, left, right = (np.array(c) for c in (self.feature, self.last, self.left, self.right))
-        while (open_ := feature[at] >= 0).any():
-            i = np.flatnonzero(open_)
-            n = at[i]
-            at[i] = np.where(bins[i, feature[n]] <= last[n], left[n], right[n])
+        at = np.empty(len(bins), np.int64)
+        columns = np.ascontiguousarray(bins.T)
+        todo = [(0, np.arange(len(bins)))]
+        while todo:
+            node, rows = todo.pop()
+            if self.feature[node] < 0:
+                at[rows] = node
+            elif len(rows):
+                left = columns[self.feature[node]].take(rows) <= self.last[node]
+                todo += [(self.left[node], rows[left]), (self.right[node], rows[~left])]
         return at
 
 
@@ -127,18 +135,30 @@ def gradients(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nda
     return p - label, p * (1 - p)
 
 
-def counted(bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: int, width: int) -> np.ndarray:
-    """(nodes, features, bins, 3): sums of gradients, hessians and rows; rows of node -1 do not count."""
+def counted(bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: int, width: int, n: np.ndarray | None = None) -> np.ndarray:
+    """(nodes, features, bins, 3): sums of gradients, hessians and rows (n of each, or one); rows of node -1 do not count."""
     keep = node >= 0
-    bins, g, h, node = bins[keep], g[keep], h[keep], node[keep]
+    bins, g, h, node, n = bins[keep], g[keep], h[keep], node[keep], None if n is None else n[keep]
     out = np.empty((nodes, bins.shape[1], width, 3))
     for f in range(bins.shape[1]):
         at = node * width + bins[:, f]
-        for k, w in enumerate((g, h, None)):
+        for k, w in enumerate((g, h, n)):
             out[:, f, :, k] = np.bincount(at, w, nodes * width).reshape(nodes, width)
     return out
 
 
+def blocks(values: np.ndarray) -> pa.Array:
+    """The bytes of values (rows first), BLOCK rows in each item."""
+    ends = np.append(np.arange(0, len(values), BLOCK), len(values)) * (values.nbytes // len(values))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of blocks that follow each other, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
 def fit(rows: DataFrame, names: list[str], label: str, rounds: int = ROUNDS, leaves: int = LEAVES, rate: float = RATE, least: int = LEAST, bins: int = BINS, error: float = 0.001) -> Model:
     """A model of the label (0 or 1; nulls are left out) by the features named; missing features are in the first bin."""
     spark = rows.sparkSession
@@ -154,13 +174,28 @@ def fit(rows: DataFrame, names: list[str], label: str, rounds: int = ROUNDS, lea
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.stack([b.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))], 1)
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([r.tobytes() for r in model.binned(x)], pa.binary()), pa.array(np.full(len(x), model.start))], names=["y", "bins", "margin"])
+            ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(len(names))
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(model.binned(x).tobytes())])], names=["y", "bins"])
 
-    held, since = stored(data.mapInArrow(binned, "y double, bins binary, margin double"), "binned"), 0
+    kinds = {"bins": np.uint8, "n": float, "y": float, "margin": float}
+    schema = ", ".join(f"{k} binary" for k in kinds)
 
-    def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-        return x, b.column("y").to_numpy(), b.column("margin").to_numpy() + model_now.value.margins(x, written)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = flat(b.column("bins"), np.uint8).reshape(b.num_rows, -1)
+                columns = [x, b.column("n").to_numpy(), b.column("y").to_numpy(), np.full(len(x), model.start)]
+                yield pa.RecordBatch.from_arrays([blocks(c) for c in columns], names=list(kinds))
+
+    alike = data.mapInArrow(binned, "y double, bins binary").groupBy("bins").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("y"))
+    held, since = stored(alike.mapInArrow(packed, schema), "binned"), 0
+
+    def unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        bins, n, y, margin = (flat(b.column(k), kind) for k, kind in kinds.items())
+        bins = bins.reshape(len(n), -1)
+        for at in range(0, len(n), AT_ONCE):
+            x = bins[at : at + AT_ONCE]
+            yield x, n[at : at + AT_ONCE], y[at : at + AT_ONCE], margin[at : at + AT_ONCE] + model_now.value.margins(x, written)
 
     for _ in range(rounds):
         if len(model.trees) - since >= WRITE:
@@ -168,11 +203,10 @@ def fit(rows: DataFrame, names: list[str], label: str, rounds: int = ROUNDS, lea
 
             def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    if b.num_rows:
-                        _, _, margin = unpacked(b)
-                        yield pa.RecordBatch.from_arrays([b.column("y"), b.column("bins"), pa.array(margin)], names=["y", "bins", "margin"])
+                    for columns in unpacked(b) if b.num_rows else ():
+                        yield pa.RecordBatch.from_arrays([blocks(c) for c in columns], names=list(kinds))
 
-            held, since = stored(held.mapInArrow(moved, "y double, bins binary, margin double"), "binned"), len(model.trees)
+            held, since = stored(held.mapInArrow(moved, schema), "binned"), len(model.trees)
         model_now, written = spark.sparkContext.broadcast(model), since
 
         def histogram(tree: Tree, splits: dict[int, tuple[int, int]] | None):
@@ -181,17 +215,14 @@ def fit(rows: DataFrame, names: list[str], label: str, rounds: int = ROUNDS, lea
 
             def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.zeros((2 * len(asked), len(names), width, 3))
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    x, y, margin = unpacked(b)
-                    g, h = gradients(margin, y)
+                for x, n, y, margin in (u for b in batches if b.num_rows for u in unpacked(b)):
+                    g, h = gradients(margin, y / n)
                     leaf = tree.leaves(x)
                     place = np.full(len(x), -1)
                     for k, node in enumerate(asked):
                         f, last = (splits or {0: (0, 255)})[node]
                         place[leaf == node] = 2 * k + (x[leaf == node, f] > last)
-                    total += counted(x, g, h, place, len(total), width)
+                    total += counted(x, n * g, n * h, place, len(total), width, n)
                 at = np.flatnonzero(total[..., 2])
                 flat = total.reshape(-1, 3)[at]
                 yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(flat[:, k]) for k in range(3))], names=["at", "g", "h", "n"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import table_functions as T
 from riskloom.operators import trees
+from riskloom.operators.storage import stored
 from riskloom.plans.registry import query, table
 
 
@@ -43,6 +44,7 @@ def boosted_risk(spark: SparkSession, d: str) -> DataFrame:
     line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     per = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("lines"), F.avg(F.col("l_discount").cast("double")).alias("discount"), F.sum(F.col("l_quantity").cast("double")).alias("quantity"), F.max(F.datediff("l_shipdate", F.lit("1992-01-01"))).cast("double").alias("shipped"), (F.count_if(F.col("l_returnflag") == "R") > 0).cast("int").alias("returned"))
     rows = orders.select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double").alias("ordered")).join(per, "o_orderkey")
+    rows = stored(rows, "orders-lines")  # read for the cuts, for the bins and for the scores
     names = ["price", "ordered", "lines", "discount", "quantity", "shipped"]
     model = trees.fit(rows.withColumn("y", F.when(F.pmod(F.crc32(F.col("o_orderkey").cast("string")), F.lit(5)) != 0, F.col("returned"))), names, "y", rounds=6, rate=0.2)
     return trees.scored(rows, model, "risk").select(F.col("o_orderkey").alias("change_id"), F.round("risk", 6).alias("risk"))

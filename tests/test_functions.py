@@ -102,3 +102,17 @@ def test_wrong_calls_are_errors_of_analysis(spark, sql, what):
     spark.createDataFrame([], "qid int, query string, doc int, text string").createOrReplaceTempView("hits2")
     with pytest.raises(Exception, match=what):
         spark.sql(sql)
+
+
+def test_trees_keep_rows_of_equal_bins_once(spark, monkeypatch):
+    kept, own = [], trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df, name: kept.append(own(df, name)) or kept[-1])
+    df = spark.range(4000).select((F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), (F.col("id") % 4 + F.col("id") % 5 > 4).cast("int").alias("y"))
+    model = trees.fit(df, ["a", "b"], "y", rounds=12, leaves=4, rate=0.3, error=0.0)
+    held = [[np.concatenate([np.frombuffer(r[c]) for r in k.collect()]) for c in ("n", "y", "margin")] for k in kept]
+    assert [len(n) for n, _, _ in held] == [12, 12]  # at first, and when margins are written anew
+    assert all(n.sum() == 4000 and y.sum() == df.where("y = 1").count() for n, y, _ in held)
+    assert len(set(held[0][2])) == 1 < len(set(held[1][2]))
+    rows = trees.scored(df, model).collect()
+    want = plain(np.array([[r.a, r.b] for r in rows]), np.array([r.y for r in rows]), [np.array(e) for e in model.edges], 12, 4, 0.3, trees.LEAST)
+    assert np.abs(np.array([r.score for r in rows]) - 1 / (1 + np.exp(-want))).max() < 1e-6
