@@ -176,9 +176,14 @@ def possible(threshold: float, a: str = "a", b: str = "b", longs: int = LONGS) -
     return F.expr(f"abs({a}0 - {b}0) <= {most} and {places} <= {most}")
 
 
+def _long(k: int) -> Column:
+    """A long of bits, never null: the test of a pair is then short enough that the JVM compiles the method it stands in (8,000 bytes)."""
+    return F.coalesce(F.col("bits")[k], F.lit(0).cast("bigint"))
+
+
 def likely(pairs: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
     """The pairs a, b that possible() does not rule out; bits: node, bits."""
-    side = lambda n: bits.select(F.col("node").alias(n), *(F.col("bits")[k].alias(f"{n}{k}") for k in range(LONGS + 1)))
+    side = lambda n: bits.select(F.col("node").alias(n), *(_long(k).alias(f"{n}{k}") for k in range(LONGS + 1)))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(possible(threshold)).select("a", "b")
 
 
@@ -202,7 +207,7 @@ def across(rows: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
     own = rows.groupBy("node").agg(F.collect_list("band").alias("bands"))  # a node has as many bands as a signature at most
     rows = rows.where("node <> low").join(own.join(bits, "node"), "node")
     i, j = (F.ceil(F.col(c) / BLOCK) for c in ("n_rest", "n"))
-    longs = lambda name: [F.col("bits")[k].alias(f"{name}{k}") for k in range(LONGS + 1)]
+    longs = lambda name: [_long(k).alias(f"{name}{k}") for k in range(LONGS + 1)]
     rest = rows.where("root <> main").select("band", "main", "node", "root", *longs("a"), "bands", F.pmod(F.xxhash64("node", F.lit("i")), i).alias("i"), F.explode(F.sequence(F.lit(0), j - 1)).alias("j"))
     every = rows.select("band", F.col("node").alias("head"), F.col("root").alias("other"), *longs("b"), F.col("bands").alias("head_bands"), F.pmod(F.xxhash64("node", F.lit("j")), j).alias("j"), F.explode(F.sequence(F.lit(0), i - 1)).alias("i"))
     apart = (F.col("root") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("node") < F.col("head")))

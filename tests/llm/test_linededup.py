@@ -1,6 +1,10 @@
 import random
+import re
 
-from riskloom.llm.linededup import deduplicated, line_classes
+from pyspark.sql import functions as F
+
+from riskloom.llm.common import LONGS, across
+from riskloom.llm.linededup import deduplicated, line_classes, prefixes, sketches, verified
 
 
 def sh(line, k=8):
@@ -147,3 +151,35 @@ def test_numbered_short_lines_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in line_classes(docs).collect()}
     assert got == brute(texts)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_shuffled_is_narrow(spark):
+    """Minima are ints, bands and prefix keys have 48 bits; equal lines have equal bands, and near short lines share a key."""
+    lines = spark.createDataFrame([("a line of some length, and more of it",), ("a line of some length, and more of it",), ("short line no. 1",), ("short line no. 12",)], "line string").coalesce(1)
+    made = sketches(lines)
+    assert len(set(re.findall(r"\bmin#\d+", planned(made)))) >= 24 and not re.search(r"\bmin#\d+L", planned(made))
+    bands = {r.h: r.bands for r in made.collect()}
+    assert len(bands) == 3 and all(0 <= b < 1 << 48 for x in bands.values() for b in x)
+    keys = prefixes(lines.select(F.xxhash64("line").alias("h"), F.col("line").alias("short"))).collect()
+    assert keys and all(0 <= r.band < 1 << 48 for r in keys)
+    assert len(keys) == len(set(keys)) and max(sum(r.band == k.band for r in keys) for k in keys) == 2
+
+
+def test_a_line_is_hashed_once_a_pair(spark):
+    texts = spark.createDataFrame([(1, "a line of some length"), (2, "a line of some lengths"), (3, "another one of words")], "h long, line string")
+    found = verified(texts, spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), 0.8)
+    assert planned(found).count("encode(line") == 2
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+
+
+def test_bits_of_a_pair_are_never_null(spark):
+    """Else the test of a pair is too much code for the JVM to make it fast."""
+    rows = spark.createDataFrame([(1, n, 1, n, 3, 2, 1) for n in (1, 2, 3)], "band long, node long, low long, root long, n long, n_rest long, main long")
+    bits = spark.createDataFrame([(n, [9] + [7] * LONGS) for n in (1, 2, 3)], "node long, bits array<bigint>")
+    pairs = across(rows, bits, 0.8)
+    assert "coalesce(bits#" in planned(pairs)
+    assert [tuple(r) for r in pairs.collect()] == [(2, 3)]
