@@ -212,7 +212,8 @@ def across(rows: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
     every = rows.select("band", F.col("node").alias("head"), F.col("root").alias("other"), *longs("b"), F.col("bands").alias("head_bands"), F.pmod(F.xxhash64("node", F.lit("j")), j).alias("j"), F.explode(F.sequence(F.lit(0), i - 1)).alias("i"))
     apart = (F.col("root") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("node") < F.col("head")))
     once = F.array_min(F.array_intersect("bands", "head_bands")) == F.col("band")
-    pairs = rest.join(every, ["band", "i", "j"]).where(apart & possible(threshold) & once)
+    # Spark doesn't know how often blocks go out, and would broadcast them
+    pairs = rest.join(every.hint("merge"), ["band", "i", "j"]).where(apart & possible(threshold) & once)
     return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
 
 

@@ -106,7 +106,8 @@ def prefixes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     short = stored(lines.where("short is not null").select("h", "short").dropDuplicates(["h"]), "lines-short")
     each = short.select("h", F.expr(hashes("short")).alias("s")).select("h", F.explode_outer("s").alias("x"))
     key = F.expr(f"shiftleft(least(n, {(1 << MANY) - 1}), {KEY}) | (x & {(1 << KEY) - 1})")
-    ranked = each.join(each.groupBy("x").agg(F.count("*").alias("n")), "x").groupBy("h").agg(F.sort_array(F.collect_list(key)).alias("s"))  # a short line has SHORT of them at most
+    counts = each.groupBy("x").agg(F.count("*").alias("n")).hint("merge")  # Spark knows the size of the lines only, and would broadcast all their shingles
+    ranked = each.join(counts, "x").groupBy("h").agg(F.sort_array(F.collect_list(key)).alias("s"))  # a short line has SHORT of them at most
     firsts = F.expr(f"slice(s, 1, size(s) - cast(ceil({threshold!r}D * size(s) - 1e-9D) as int) + 1)")
     return ranked.select(F.col("h").alias("node"), F.explode_outer(firsts).alias("k")).where(f"k >= {2 << KEY}").select("node", _band(F.lit(-1), F.col("k")).alias("band")).distinct()
 

@@ -183,3 +183,15 @@ def test_bits_of_a_pair_are_never_null(spark):
     pairs = across(rows, bits, 0.8)
     assert "coalesce(bits#" in planned(pairs)
     assert [tuple(r) for r in pairs.collect()] == [(2, 3)]
+
+
+def test_no_rows_of_an_explode_are_broadcast(spark):
+    """Spark sizes them as the table before it: 6 MB of short lines are 400 MB of shingles."""
+    lines = spark.createDataFrame([("short line no. 1",), ("short line no. 12",)], "line string").select(F.xxhash64("line").alias("h"), F.col("line").alias("short"))
+    keys = prefixes(lines)
+    assert "SortMergeJoin" in planned(keys) and "BroadcastHashJoin" not in planned(keys)
+    assert keys.count() > 0 and "BroadcastHashJoin" not in planned(keys)
+    rows = spark.createDataFrame([(1, n, 1, n, 3, 2, 1) for n in (1, 2, 3)], "band long, node long, low long, root long, n long, n_rest long, main long")
+    bits = spark.createDataFrame([(n, [9] + [7] * LONGS) for n in (1, 2, 3)], "node long, bits array<bigint>")
+    join = re.search(r"(\w+) \[band#\d+L, i#\d+L, j#\d+L\]", planned(across(rows, bits, 0.8)))
+    assert join[1] == "SortMergeJoin"
