@@ -1,13 +1,15 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.functions.text import token_terms, tokenize
 from riskloom.operators import ann
 from riskloom.operators import codesearch as S
-from riskloom.operators.retrieval import best, dense_nearest, top_products
+from riskloom.operators.retrieval import best, dense_nearest, hashed_vector, top_products
 
 PATTERNS = [r"ab+c", r"(foo|bar)baz", r"x[yz]w", r"(ab|cd)?ef+", r"\bdef\b", r"a.c", r"(?:abc|ab\d)def", r"(abc){2}", r"[a-f]oo", r"(foo|b)", r"é{3}n", r"(?=foo)fooba", r"ba(r|z|rb)az", r"^abc$", r"(?i)FOO", r"(foo(bar|baz)+|abcd)", r"a{0}bcd", r"\d+\.\d+"]
 
@@ -86,3 +88,26 @@ def test_trigrams_are_made_without_a_shuffle(spark):
                 want.setdefault((line[at : at + 3], i, n + 1), []).append(at)
     assert {(r.gram, r.doc, r.line_no): r.places for r in rows.collect()} == want and rows.count() == len(want)
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_vectors_are_made_where_the_texts_are(spark):
+    rng = random.Random(5)
+    parts = ["get", "HTTP", "Ses", "boxes", "ies", "flies", "running", "ed", "used", "only", "fly", "_", "__", "1", "42", "x", "The", "self", "classes", "cats", "ABc", "churches", "e", "s"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "é ß!", "one\n\ttwo", "running"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, "of a repeated id")], "id long, body string").repartition(3)
+    want, raws = {}, {}
+    for r in docs.select("id", "body", tokenize(F.col("body")).alias("t")).collect():
+        raws |= {raw: 1 for raw in re.findall(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+", r.body or "")}
+        for g in [*r.t, *(f"{a} {b}" for a, b in zip(r.t, r.t[1:]))]:
+            h = zlib.crc32(g.encode())
+            v = want.setdefault(r.id, {})
+            v[h % 1024] = v.get(h % 1024, 0) + (-1 if h >= 1 << 31 else 1)
+    rows = hashed_vector(docs, "id", "body")
+    got = {(r.doc, r.idx): r.x for r in rows.collect()}
+    damped = {d: {i: float(np.sign(x) * np.log1p(abs(x))) for i, x in v.items() if x} for d, v in want.items()}
+    exact = {(d, i): x / np.sqrt(sum(y * y for y in v.values())) for d, v in damped.items() for i, x in v.items()}
+    assert got.keys() == exact.keys() and max(abs(got[k] - exact[k]) for k in got) < 1e-12
+    known = spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", tokenize(F.col("raw")).alias("t")).collect()
+    assert all(token_terms(r.raw) == r.t for r in known)
+    plan = hashed_vector(docs, "id", "body")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ArrowEvalPython" in plan
